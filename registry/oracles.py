@@ -30,8 +30,8 @@ art_raw AS (
   FROM part),
 art AS (
   SELECT * REPLACE (
-    dense_rank() OVER (ORDER BY product_group_name) - 1 AS product_group_name,
-    dense_rank() OVER (ORDER BY index_code) - 1 AS index_code) FROM art_raw),
+    CAST(dense_rank() OVER (ORDER BY product_group_name) - 1 AS INTEGER) AS product_group_name,
+    CAST(dense_rank() OVER (ORDER BY index_code) - 1 AS INTEGER) AS index_code) FROM art_raw),
 cust_raw AS (
   SELECT c_custkey AS customer_id,
     CASE WHEN c_custkey % 97 = 0 THEN NULL ELSE 16 + floor((c_acctbal + 1000) / 150) END AS age,
@@ -76,14 +76,14 @@ popw AS (
     GROUP BY 1, 2)
   QUALIFY position <= {N}),
 pos AS (
-  SELECT DISTINCT week, customer_id, article_id, round(1 - 0.05 * week, 6) AS target
+  SELECT DISTINCT week, customer_id, article_id, round(CAST(1 - 0.05 * week AS DOUBLE), 6) AS target
   FROM weeks JOIN tx ON t_dat BETWEEN ds AND ds + 6 JOIN popw USING (week, article_id)),
 buyers AS (
   SELECT week, customer_id, size, customer_id % 1000003 AS num
   FROM (SELECT DISTINCT week, customer_id FROM pos)
   JOIN (SELECT week, max(position) AS size FROM popw GROUP BY 1) USING (week)),
 neg AS (
-  SELECT week, customer_id, article_id, 0.0 AS target FROM (
+  SELECT week, customer_id, article_id, CAST(0 AS DOUBLE) AS target FROM (
     SELECT week, customer_id,
       (num * 7919 + week * 104729 + {PARAMS.seed}
         + d * list_extract([{', '.join(map(str, STEPS))}], (num + week) % {len(STEPS)} + 1)) % size + 1 AS position
@@ -109,10 +109,10 @@ s_decay AS (
     SELECT article_id, art_buy_hist_decay AS pred FROM f19 WHERE art_buy_hist_decay > 0
     ORDER BY pred DESC, article_id LIMIT 40)),
 s_repeat AS (
-  SELECT customer_id, article_id, round(count(*) + 1.0 / (1 + min(age_days)), 6) AS pred
+  SELECT customer_id, article_id, CAST(count(*) + CAST(1 AS DOUBLE) / (1 + min(age_days)) AS DOUBLE) AS pred
   FROM hist SEMI JOIN labcust USING (customer_id) GROUP BY 1, 2),
 s_hash AS (
-  SELECT customer_id, article_id, round(h / 1009.0, 6) AS pred FROM (
+  SELECT customer_id, article_id, h / CAST(1009 AS DOUBLE) AS pred FROM (
     SELECT customer_id, article_id, (customer_id * 7919 + article_id * 104729) % 1009 AS h
     FROM labcust, pop WHERE position <= 100) WHERE h <> 0),
 scores AS (
@@ -292,7 +292,7 @@ def _assembled() -> str:
             d.append(f"art_buy_hist_{ch} * rate_sales_channel_{w} AS art_buy_hist_{ch}_x_u_{w}")
     for a, users in {"median": ("median", "max", "min"), "max": ("max", "median"), "min": ("min", "median")}.items():
         for u in users:
-            d.append(f"round(art_price_hist_{a} - user_price_hist_{u}, 4) AS diff_price_hist_{a}_{u}")
+            d.append(f"round(art_price_hist_{a} - user_price_hist_{u}, 6) AS diff_price_hist_{a}_{u}")
     for small, large in (("yesterday", "recent"), ("recent", "hist"), ("recent", "hist_short"), ("recent", "hist_mid")):
         d.append(f"art_buy_{small} * 1.0 / NULLIF(art_buy_{large}, 0) AS art_buy_{small}_{large}_rate")
         d.append(f"art_buy_{large} - art_buy_{small} AS art_buy_{small}_{large}_diff")
@@ -306,7 +306,7 @@ SELECT * REPLACE ({_round(['rebuy_rate', 'code_rebuy_rate', 'cust_rebuy_rate', *
   'art_buy_hist_ch2_x_u_hist', 'art_buy_hist_ch2_x_u_recent', 'art_buy_yesterday_recent_rate',
   'art_buy_recent_hist_rate', 'art_buy_recent_hist_short_rate', 'art_buy_recent_hist_mid_rate',
   'n_buy_recent_hist_rate', 'rate_sales_channel_recent_hist_rate', *[f'n_buy_rate_{s}' for s in TREND_SUFFIXES]])},
-  {_round([f'{p}_price_hist_{s}' for p in ('art', 'user', 'age_id') for s in ('mean', 'median', 'max', 'min')], 4)})
+  {_round([f'{p}_price_hist_{s}' for p in ('art', 'user', 'age_id') for s in ('mean', 'median', 'max', 'min')])})
 FROM (SELECT *, {', '.join(d)} FROM filled)"""
     return _sql(body, *ctes)
 
@@ -343,7 +343,7 @@ def oracles() -> dict[str, str]:
         ),
         "postal_rare_grouping": _sql("SELECT * FROM postal"),
         "label_encode_index_code": _sql(
-            "SELECT index_code, count(*) AS n_articles, dense_rank() OVER (ORDER BY index_code) - 1 AS code "
+            "SELECT index_code, count(*) AS n_articles, CAST(dense_rank() OVER (ORDER BY index_code) - 1 AS INTEGER) AS code "
             "FROM art_raw GROUP BY 1"
         ),
         "schema_narrowing_report": _sql(
@@ -378,7 +378,7 @@ def oracles() -> dict[str, str]:
         "article_recency": _sql(f"SELECT article_id, {RECENCY} FROM hist GROUP BY 1"),
         "article_modal_day": _sql(MODAL),
         "article_price_age_stats": _sql(
-            f"SELECT * REPLACE (round(art_price_hist_mean, 4) AS art_price_hist_mean, "
+            f"SELECT * REPLACE (round(art_price_hist_mean, 6) AS art_price_hist_mean, "
             f"round(art_price_hist_median, 6) AS art_price_hist_median, round(art_age_hist_mean, 6) AS art_age_hist_mean) "
             f"FROM (SELECT article_id, {_price('art_price_hist')}, {AGES} "
             "FROM hist JOIN cust USING (customer_id) GROUP BY 1)"
@@ -401,13 +401,13 @@ def oracles() -> dict[str, str]:
         ),
         "age_group_features": _sql(
             "SELECT * REPLACE (round(age_id_rate_sales_channel_hist, 6) AS age_id_rate_sales_channel_hist, "
-            f"round(age_id_price_hist_mean, 4) AS age_id_price_hist_mean, "
+            f"round(age_id_price_hist_mean, 6) AS age_id_price_hist_mean, "
             f"round(age_id_price_hist_median, 6) AS age_id_price_hist_median) FROM ({AGE_GROUP})"
         ),
         "age_group_article_features": _sql(AGE_ARTICLE),
         "customer_features": _sql(
             "SELECT * REPLACE (" + _round(["rate_sales_channel_hist", "rate_sales_channel_recent", "user_price_hist_median", "cust_rebuy_rate"])
-            + f", round(user_price_hist_mean, 4) AS user_price_hist_mean) FROM ({CUSTOMER}) JOIN ("
+            + f", round(user_price_hist_mean, 6) AS user_price_hist_mean) FROM ({CUSTOMER}) JOIN ("
             + _rebuy("hist", "customer_id", "article_id", "cust_rebuy_rate") + ") USING (customer_id)"
         ),
         "customer_article_features": _sql(
@@ -427,13 +427,13 @@ def oracles() -> dict[str, str]:
             "SELECT customer_id, count(DISTINCT article_id) AS group_size, "
             "row_number() OVER (ORDER BY count(DISTINCT article_id) DESC, customer_id) - 1 AS p FROM scores GROUP BY 1)"
         ),
-        "score_tables_normalised": _sql("SELECT * FROM scores"),
+        "score_tables_normalised": _sql("SELECT * REPLACE (round(pred, 6) AS pred) FROM scores"),
         "list_format_scores": _sql(
             "SELECT customer_id, article_id, CAST(1 - row_number() OVER (PARTITION BY customer_id ORDER BY pred DESC, article_id) AS DOUBLE) AS pred, "
-            "'listed' AS model FROM scores WHERE model = 'pop_recent' QUALIFY pred > -12"
+            "'listed' AS model FROM scores WHERE model = 'pop_recent' QUALIFY row_number() OVER (PARTITION BY customer_id ORDER BY scores.pred DESC, article_id) <= 12"
         ),
         "model_registry": _sql(
-            "SELECT model, count(*) AS n_scores, count(DISTINCT customer_id) AS n_customers, lb, cv, round(cv - lb, 6) AS cv_lb_gap "
+            "SELECT model, count(*) AS n_scores, count(DISTINCT customer_id) AS n_customers, CAST(lb AS DOUBLE) AS lb, CAST(cv AS DOUBLE) AS cv, CAST(round(cv - lb, 6) AS DOUBLE) AS cv_lb_gap "
             "FROM scores JOIN (VALUES ('pop_recent', 0.021, 0.0234), ('pop_decay', 0.02, 0.0229), ('repeat', 0.017, 0.0201), "
             "('hash', NULL, 0.0011)) r(model, lb, cv) USING (model) GROUP BY model, lb, cv"
         ),
@@ -442,7 +442,7 @@ def oracles() -> dict[str, str]:
             "SELECT model, customer_id, article_id, count(*) AS n FROM (SELECT model, customer_id, article_id FROM scores "
             "UNION ALL SELECT 'purchases', customer_id, lpad(CAST(article_id AS VARCHAR), 10, '0') FROM tx_raw) GROUP BY 1, 2, 3) GROUP BY 1"
         ),
-        "top24_rank_zscore": _sql("SELECT * REPLACE (round(pred_norm, 6) AS pred_norm) FROM stack"),
+        "top24_rank_zscore": _sql("SELECT * REPLACE (round(pred, 6) AS pred, round(pred_norm, 6) AS pred_norm) FROM stack"),
         "pivot_scores": _sql(
             "SELECT customer_id, article_id, " + _round([f"{k}_{m}" for m in MODELS for k in ("pred", "pred_rank", "pred_norm")]) + " FROM wide0", WIDE
         ),
@@ -470,7 +470,7 @@ def oracles() -> dict[str, str]:
             "FROM (SELECT customer_id, sum(CAST((customer_id, article_id) IN (SELECT (customer_id, article_id) FROM truth) AS BIGINT)) AS h FROM wide0 GROUP BY 1)", WIDE
         ),
         "topk_customer": _sql(
-            f"SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY pred DESC, article_id) AS place FROM hash_scores QUALIFY place <= {PARAMS.keep}"
+            f"SELECT customer_id, article_id, round(pred, 6) AS pred, row_number() OVER (PARTITION BY customer_id ORDER BY hash_scores.pred DESC, article_id) AS place FROM hash_scores QUALIFY place <= {PARAMS.keep}"
         ),
         "topk_customer_tiebreak": _sql(
             "SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY pred DESC, art_buy_recent DESC, article_id) AS place FROM ("

@@ -20,19 +20,19 @@ from shelfrank.plans.assembly import all_candidates
 from shelfrank.plans.candidates import (
     customers_by_articles, negatives, popular_by_week, positives, training_set,
 )
-from shelfrank.plans.catalogue import ATTRIBUTE_KEYS, PAIR
+from shelfrank.plans.catalogue import ATTRIBUTE_KEYS, PAIR, stale_filled
 from shelfrank.plans.clean import enrich
 from shelfrank.plans.ranker import TreeParams, fit_ranker, mean_score, out_of_fold, score, shared_top
 from shelfrank.plans.recommend import (
     ground_truth, ground_truth_lists, inputs_at, popularity_with_history, published, ranked_lists,
-    training_features,
+    training_features, weekly_pairs,
 )
 from shelfrank.plans.stacking import (
     from_lists, long_stack, stack_features, wide_stack, with_article_counts, with_stack_label,
 )
 from shelfrank.session import tune
 from shelfrank.sources.bindings import AFTER_LAST, DS, MODELS, PARAMS, Tables
-from shelfrank.sources.store import TableStore, unfinished
+from shelfrank.sources.store import unfinished
 
 Query = Callable[[SparkSession, str], DataFrame]
 _REGISTRY: dict[str, Query] = {}
@@ -73,17 +73,17 @@ def as_long(df: DataFrame, *cols: str) -> DataFrame:
 
 @query("transactions_dedup")
 def transactions_dedup(t: Tables) -> DataFrame:
-    return t.transactions()
+    return t.make_transactions()
 
 
 @query("transactions_enriched")
 def transactions_enriched(t: Tables) -> DataFrame:
-    return enrich(t.transactions(), t.articles(), t.customers(), bins=True)
+    return enrich(t.make_transactions(), t.make_articles(), t.make_customers(), bins=True)
 
 
 @query("customers_clean")
 def customers_clean(t: Tables) -> DataFrame:
-    return t.customers()
+    return t.make_customers()
 
 
 @query("postal_count_encoding")
@@ -197,7 +197,7 @@ def article_price_age_stats(t: Tables) -> DataFrame:
         F.col("art_age_hist_max").cast("long").alias("art_age_hist_max"),
         F.col("art_age_hist_min").cast("long").alias("art_age_hist_min"),
     )
-    return rounded(stats, art_price_hist_mean=4)
+    return rounded(stats)
 
 
 @query("article_rebuy_rate")
@@ -234,12 +234,12 @@ def code_features(t: Tables) -> DataFrame:
 @query("age_group_features")
 def age_group_features(t: Tables) -> DataFrame:
     found = feat.age_group_features(_pairs(t), t.hist(), t.customers(), [])
-    return rounded(as_long(found, "age_id"), age_id_price_hist_mean=4)
+    return rounded(found)
 
 
 @query("age_group_article_features")
 def age_group_article_features(t: Tables) -> DataFrame:
-    return as_long(feat.age_group_article_features(_pairs(t), t.customers(), []), "age_id")
+    return feat.age_group_article_features(_pairs(t), t.customers(), [])
 
 
 @query("customer_features")
@@ -248,7 +248,7 @@ def customer_features(t: Tables) -> DataFrame:
     hist = t.hist().join(t.label_customers(), "customer_id", "left_semi")
     found = feat.customer_features(feat.pair_activity(hist, t.lengths(), []), hist, PARAMS, [])
     found = as_long(found, "days_after_buy_all", "days_from_oldest_buy_all")
-    return rounded(found, user_price_hist_mean=4)
+    return rounded(found)
 
 
 @query("customer_article_features")
@@ -259,7 +259,8 @@ def customer_article_features(t: Tables) -> DataFrame:
 
 def _attribute_query(key) -> Callable[[Tables], DataFrame]:
     def build(t: Tables) -> DataFrame:
-        found = feat.attribute_features(_measures(t), t.articles(), key, [])
+        articles = t.articles() if "index_code" in key.columns else t.raw_articles()
+        found = feat.attribute_features(_measures(t), articles, key, [])
         found = found.withColumns({c: F.col(c).cast("string") for c in key.columns})
         return as_long(found, key.recency)
 
@@ -282,7 +283,8 @@ def candidate_cross_join(t: Tables) -> DataFrame:
 
 def _candidate_features(t: Tables) -> DataFrame:
     x = inputs_at(
-        t.transactions(), t.articles(), t.customers(), t.label_customers(), t.popular(), DS, PARAMS
+        t.transactions(), t.articles(), t.customers(), t.label_customers(), t.popular(), DS, PARAMS,
+        pairs=t.stored("pairs", lambda: _pairs(t)),
     )
     return all_candidates(x)
 
@@ -290,9 +292,7 @@ def _candidate_features(t: Tables) -> DataFrame:
 @query("candidate_features_assembled")
 def candidate_features_assembled(t: Tables) -> DataFrame:
     rows = _candidate_features(t)
-    whole = [c for c, kind in rows.dtypes if kind in ("int", "tinyint", "smallint")]
-    prices = {c: 4 for c in rows.columns if "price" in c}
-    return rounded(as_long(rows, *whole), **prices)
+    return rounded(as_long(rows, *stale_filled(), "art_age_hist_max", "art_age_hist_min"))
 
 
 @query("positives_decayed")
@@ -406,9 +406,7 @@ def _stack_features(t: Tables) -> DataFrame:
 
 @query("stack_features_assembled")
 def stack_features_assembled(t: Tables) -> DataFrame:
-    rows = _stack_features(t)
-    whole = [c for c, kind in rows.dtypes if kind == "int"]
-    return rounded(as_long(rows, *whole))
+    return rounded(as_long(_stack_features(t), "preds_cnt"))
 
 
 def _bought(t: Tables) -> DataFrame:
@@ -527,11 +525,10 @@ def unfinished_customers(t: Tables) -> DataFrame:
 @query("intermediate_round_trip")
 def intermediate_round_trip(t: Tables) -> DataFrame:
     """The enriched history written once to the shared folder and read back."""
-    store = TableStore(t.spark)
-    day = f"{DS.isoformat()}_{abs(hash(t.folder)):x}"
-    return store.reuse(
-        "history_enriched", day,
+    return t.stored(
+        "history_enriched",
         lambda: enrich(t.hist(), t.articles(), t.customers()).drop("age_days"),
+        ["t_dat"],
     )
 
 
@@ -540,7 +537,13 @@ def intermediate_round_trip(t: Tables) -> DataFrame:
 
 @query("training_features")
 def training_features_query(t: Tables) -> DataFrame:
-    return training_features(t.transactions(), t.articles(), t.customers(), AFTER_LAST, PARAMS)
+    trans = t.transactions()
+    popular = t.stored("popular_by_week", lambda: popular_by_week(trans, AFTER_LAST, PARAMS))
+    labelled = t.stored("training_set", lambda: training_set(trans, popular, AFTER_LAST, PARAMS))
+    pairs = t.stored("weekly_pairs", lambda: weekly_pairs(trans, AFTER_LAST, PARAMS))
+    return training_features(
+        trans, t.articles(), t.customers(), labelled, popular, AFTER_LAST, PARAMS, pairs
+    )
 
 
 @query("ranker_fit_score")

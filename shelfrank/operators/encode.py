@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfrank.operators.ordering import number_rows, with_bucket
+from shelfrank.operators.ordering import number_rows
 
 
 def value_counts(df: DataFrame, c: str, name: str = "cnt") -> DataFrame:
@@ -24,8 +24,8 @@ def count_encode(df: DataFrame, c: str, name: str) -> DataFrame:
 def frequency_codes(counts: DataFrame, c: str, name: str, rare_limit: int) -> DataFrame:
     """Code table: 0 for values seen ``rare_limit`` times or less, the others 1, 2 ... by
     falling count (ties in value order)."""
-    common = with_bucket(counts.where(F.col("cnt") > rare_limit), c, "_bucket", 64)
-    ranked = number_rows(common, [("cnt", False), ("_bucket", True)], [F.col(c)], name)
+    common = counts.where(F.col("cnt") > rare_limit)
+    ranked = number_rows(common, [("cnt", False), (c, True)], c, name)
     rare = counts.where(F.col("cnt") <= rare_limit).select(c, "cnt", F.lit(0).cast("long").alias(name))
     return rare.unionByName(ranked.select(c, "cnt", name))
 
@@ -33,7 +33,7 @@ def frequency_codes(counts: DataFrame, c: str, name: str, rare_limit: int) -> Da
 def ordinal_codes(df: DataFrame, c: str, name: str) -> DataFrame:
     """Code table: the distinct values numbered 0, 1 ... in sorted order."""
     values = df.where(F.col(c).isNotNull()).select(c).distinct()
-    ranked = number_rows(with_bucket(values, c, "_bucket", 64), [("_bucket", True)], [F.col(c)], name)
+    ranked = number_rows(values, [(c, True)], c, name)
     return ranked.select(c, (F.col(name) - 1).cast("int").alias(name))
 
 

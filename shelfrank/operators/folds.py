@@ -3,16 +3,14 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfrank.operators.ordering import number_rows, with_bucket
+from shelfrank.operators.ordering import number_rows
 
 
 def consecutive_group_ids(df: DataFrame, keys: list[str], name: str) -> DataFrame:
     """One row per distinct key: its size and its number 0, 1 ... in key order."""
     sizes = df.groupBy(*keys).agg(F.count("*").alias("group_size"))
-    bucketed = with_bucket(sizes, keys[0], "_bucket")
-    fine = [F.col(k) for k in keys]
-    numbered = number_rows(bucketed, [("_bucket", True)], fine, name)
-    return numbered.withColumn(name, F.col(name) - 1).drop("_bucket")
+    numbered = number_rows(sizes, [(k, True) for k in keys], keys[0], name)
+    return numbered.withColumn(name, F.col(name) - 1)
 
 
 def hash_folds(df: DataFrame, key: str, n_folds: int, seed: int, name: str = "fold") -> DataFrame:
@@ -24,12 +22,9 @@ def balanced_folds(df: DataFrame, key: str, n_folds: int, name: str = "fold") ->
     """Fold per key so that folds get about as many rows: keys by falling size are dealt
     forwards and backwards in turn. One row per key."""
     sizes = df.groupBy(key).agg(F.count("*").alias("group_size"))
-    bucketed = with_bucket(sizes, key, "_bucket", 64)
-    dealt = number_rows(
-        bucketed, [("group_size", False), ("_bucket", True)], [F.col(key)], "_place"
-    )
+    dealt = number_rows(sizes, [("group_size", False), (key, True)], key, "_place")
     at = F.col("_place") - 1
     turn = F.floor(at / n_folds) % 2
     place = at % n_folds
     fold = F.when(turn == 0, place).otherwise(n_folds - 1 - place)
-    return dealt.withColumn(name, fold.cast("int")).drop("_bucket", "_place")
+    return dealt.withColumn(name, fold.cast("int")).drop("_place")

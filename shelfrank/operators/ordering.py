@@ -2,14 +2,26 @@
 
 Values are first put into order-preserving buckets cut at approximate quantiles of the whole
 column, so a bucket holds about ``1 / n_buckets`` of the rows however they spread over groups. Exact
-results then need only bucket totals (few rows) and work inside single buckets.
+results then need only bucket totals (few rows) and work inside single buckets. The cuts only
+steer balance; they are fetched once (a few hundred numbers) and enter the plan as constants, so
+that every branch and every retried task sees the same buckets.
 """
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from shelfrank.session import shared_folder
+
 N_BUCKETS = 256  # a power of two
+# A table known to be at most this long may be ordered in one task.
+ONE_TASK_ROWS = 200_000
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Compute a table once and cut its lineage, in the shared folder."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
 
 
 def order_number(df: DataFrame, c: str) -> Column:
@@ -26,54 +38,63 @@ def order_number(df: DataFrame, c: str) -> Column:
     raise TypeError(f"no order number for {kind}")
 
 
-def with_bucket(df: DataFrame, c: str, name: str, n_buckets: int = N_BUCKETS) -> DataFrame:
-    """Add the order-preserving bucket 0..n-1 of a column."""
-    number = order_number(df, c)
+def range_cuts(df: DataFrame, c: str, n_buckets: int = N_BUCKETS) -> list[float]:
+    """Values that cut a column into about equal parts."""
     shares = [i / n_buckets for i in range(1, n_buckets)]
-    cuts = df.agg(F.percentile_approx(number, shares, 8 * n_buckets)).scalar()
-    steps = []
-    step = n_buckets // 2
+    cuts = F.percentile_approx(order_number(df, c), shares, 8 * n_buckets)
+    return df.agg(cuts.alias("cuts")).first()["cuts"] or [0.0] * (n_buckets - 1)
+
+
+def with_bucket(df: DataFrame, c: str, name: str, cuts: list[float]) -> DataFrame:
+    """Add the order-preserving bucket of a column: how many cuts lie below its value."""
+    steps, step = [], (len(cuts) + 1) // 2
     while step:
         steps.append(F.lit(step))
         step //= 2
-    # binary search: how many cuts lie below the value
-    bucket = F.aggregate(
+    bounds = F.array(*[F.lit(x) for x in cuts])
+    number = order_number(df, c)
+    bucket = F.aggregate(  # binary search
         F.array(*steps),
         F.lit(0),
-        lambda at, s: F.when(F.get("_cuts", at + s - 1) < F.col("_number"), at + s).otherwise(at),
-    )
-    return (
-        df.withColumns({"_cuts": cuts, "_number": number})
-        .withColumn(name, bucket)
-        .drop("_cuts", "_number")
+        lambda at, s: F.when(F.get(bounds, at + s - 1) < number, at + s).otherwise(at),
     )
+    return df.withColumn(name, bucket)
 
 
 def number_rows(
-    df: DataFrame, coarse: list[tuple[str, bool]], fine: list[Column], name: str
+    df: DataFrame, order: list[tuple[str, bool]], cut_by: str, name: str,
+    one_task_rows: int = ONE_TASK_ROWS,
 ) -> DataFrame:
-    """Number all rows from 1 by ``(coarse, fine)``.
-
-    ``coarse`` holds (column, ascending) pairs with few distinct combinations; only their counts
-    are summed up in one place. Rows are ordered within one combination at a time."""
-    keys = [c for c, _ in coarse]
-    order = [F.col(c).asc() if up else F.col(c).desc() for c, up in coarse]
-    before = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    """Number all rows from 1 in the order of (column, ascending) pairs.
+
+    A short table is ordered directly. A longer one is split by the columns before ``cut_by``
+    (which must have few distinct values) and the ordered buckets of ``cut_by``: the sizes of
+    these parts are summed up in one place, rows are ordered within a part."""
+    rows = settle(df)
+    sort = [F.col(c).asc() if up else F.col(c).desc() for c, up in order]
+    if rows.count() <= one_task_rows:
+        return rows.withColumn(name, F.row_number().over(Window.orderBy(*sort)).cast("long"))
+    names = [c for c, _ in order]
+    at = names.index(cut_by)
+    parts = [*names[:at], "_bucket"]
+    part_order = [*sort[:at], F.col("_bucket").asc() if order[at][1] else F.col("_bucket").desc()]
+    bucketed = with_bucket(rows, cut_by, "_bucket", range_cuts(rows, cut_by))
+    before = Window.orderBy(*part_order).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        df.groupBy(*keys)
+        bucketed.groupBy(*parts)
         .agg(F.count("*").alias("_n"))
-        .select(*keys, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+        .select(*parts, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     )
-    inside = Window.partitionBy(*keys).orderBy(*fine)
+    inside = Window.partitionBy(*parts).orderBy(*sort[at:])
     return (
-        df.join(offsets, keys)
+        bucketed.join(offsets, parts)
         .withColumn(name, F.col("_before") + F.row_number().over(inside))
-        .drop("_before")
+        .drop("_before", "_bucket")
     )
 
 
 def exact_median(
-    df: DataFrame, keys: list[str], value: str, name: str, n_buckets: int = N_BUCKETS
+    df: DataFrame, keys: list[str], value: str, name: str, cuts: list[float] | None = None
 ) -> DataFrame:
     """Exact median per group; a group may hold most of the table.
 
@@ -81,7 +102,7 @@ def exact_median(
     the middle ranks, and only that bucket's values are ordered."""
     rows = df.select(*keys, F.col(value).cast("double").alias("_v")).dropna()
     counts = (
-        with_bucket(rows, "_v", "_bucket", n_buckets)
+        with_bucket(rows, "_v", "_bucket", cuts or range_cuts(rows, "_v"))
         .groupBy(*keys, "_bucket", "_v")
         .agg(F.count("*").alias("_n"))
     )

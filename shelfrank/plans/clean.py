@@ -27,21 +27,28 @@ def clean_articles(articles: DataFrame) -> DataFrame:
     return articles.select("article_id", *ARTICLE_COLUMNS)
 
 
+def customer_ages(customers: DataFrame, age_groups: DataFrame) -> DataFrame:
+    """Whole ages, missing ones at the mean, with their groups."""
+    aged = customers.withColumn("age", mean_filled(customers, "age").cast("int"))
+    return lookup(aged, age_groups, "age")
+
+
 def clean_customers(customers: DataFrame, age_groups: DataFrame, params: RecoParams) -> DataFrame:
-    """Mean-filled whole ages with their groups, 0/1 flags, and postal codes by frequency."""
-    flat = customers.withColumns(
+    """Ages, 0/1 flags, and postal codes by frequency."""
+    flat = customer_ages(customers, age_groups).withColumns(
         {
-            "age": mean_filled(customers, "age").cast("int"),
             "FN": F.coalesce(F.col("FN"), F.lit(0)),
             "Active": F.coalesce(F.col("Active"), F.lit(0)),
             "club_member_status": flag_if("club_member_status", "ACTIVE"),
             "fashion_news_frequency": flag_unless("fashion_news_frequency", "NONE"),
+            "age_id_1": capped_bin("age", 61, 10),
+            "age_id_2": capped_bin("age", 61, 5),
         }
-    ).withColumns({"age_id_1": capped_bin("age", 61, 10), "age_id_2": capped_bin("age", 61, 5)})
+    )
     postal = frequency_codes(
         value_counts(customers, "postal_code"), "postal_code", "_code", params.rare_limit
     ).withColumnRenamed("cnt", "postal_code_ce")
-    coded = lookup(lookup(flat, age_groups, "age"), postal, "postal_code")
+    coded = lookup(flat, postal, "postal_code")
     return coded.drop("postal_code").withColumnRenamed("_code", "postal_code").select(
         "customer_id", *CUSTOMER_COLUMNS, *CUSTOMER_BINS
     )

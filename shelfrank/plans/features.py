@@ -57,7 +57,8 @@ def age_stats_aggregates() -> list[Column]:
 
 
 def article_features(
-    pairs: DataFrame, hist: DataFrame, customers: DataFrame, params: RecoParams, ref: list[str]
+    pairs: DataFrame, hist: DataFrame, customers: DataFrame, params: RecoParams, ref: list[str],
+    cuts: list[float] | None = None,
 ) -> DataFrame:
     keys = [*ref, "article_id"]
     aged = pairs.join(customers.select("customer_id", "age"), "customer_id", "left")
@@ -66,7 +67,7 @@ def article_features(
         activity.repeat_rate_of_pairs(params.smoothing).alias("rebuy_rate"),
         *age_stats_aggregates(),
     )
-    medians = exact_median(hist, keys, "price", "art_price_hist_median")
+    medians = exact_median(hist, keys, "price", "art_price_hist_median", cuts)
     modes = modal_day_age(hist, keys, "age_days", "art_days_from_mode_buy")
     return base.join(medians, keys, "left").join(modes, keys, "left").select(
         *keys,
@@ -94,14 +95,15 @@ def code_features(
 
 
 def age_group_features(
-    pairs: DataFrame, hist: DataFrame, customers: DataFrame, ref: list[str]
+    pairs: DataFrame, hist: DataFrame, customers: DataFrame, ref: list[str],
+    cuts: list[float] | None = None,
 ) -> DataFrame:
     """A few very large groups: partial sums per task, and the bucketed median."""
     keys = [*ref, "age_id"]
     groups = customers.select("customer_id", "age_id")
     base = activity.roll_up(pairs.join(groups, "customer_id", "left"), keys)
     medians = exact_median(
-        hist.join(groups, "customer_id"), keys, "price", "age_id_price_hist_median"
+        hist.join(groups, "customer_id"), keys, "price", "age_id_price_hist_median", cuts
     )
     return base.join(medians, keys, "left").select(
         *keys,
@@ -122,14 +124,15 @@ def age_group_article_features(
 
 
 def customer_features(
-    pairs: DataFrame, hist: DataFrame, params: RecoParams, ref: list[str]
+    pairs: DataFrame, hist: DataFrame, params: RecoParams, ref: list[str],
+    cuts: list[float] | None = None,
 ) -> DataFrame:
     keys = [*ref, "customer_id"]
     base = pairs.groupBy(*keys).agg(
         *activity.merged(),
         activity.repeat_rate_of_pairs(params.smoothing).alias("cust_rebuy_rate"),
     )
-    medians = exact_median(hist, keys, "price", "user_price_hist_median")
+    medians = exact_median(hist, keys, "price", "user_price_hist_median", cuts)
     return base.join(medians, keys, "left").select(
         *keys,
         *channel_rates(""),

@@ -5,15 +5,13 @@ from datetime import date
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfrank.functions.lookback import (
-    history, label_period, reference_days, replay, window_lengths,
-)
+from shelfrank.functions.lookback import history, label_period, replay, window_lengths
 from shelfrank.functions.scalars import padded_id
 from shelfrank.operators.joins import bounded, keep_keys, lookup, pair_with_list
 from shelfrank.operators.topk import top_k, top_n
 from shelfrank.params import RecoParams
 from shelfrank.plans.assembly import Inputs, given_candidates
-from shelfrank.plans.candidates import popular_by_week, training_set
+from shelfrank.plans.features import pair_activity
 from shelfrank.plans.metrics import best_first
 
 PAIR = ["customer_id", "article_id"]
@@ -22,28 +20,38 @@ PAIR = ["customer_id", "article_id"]
 def inputs_at(
     trans: DataFrame, articles: DataFrame, customers: DataFrame, targets: DataFrame,
     listed: DataFrame, ds: date, params: RecoParams, extra_day: int = 0,
+    pairs: DataFrame | None = None,
 ) -> Inputs:
+    """Feature inputs at one reference day."""
     lengths = window_lengths(params, extra_day)
     hist = history(trans, ds, lengths["hist"])
+    if pairs is None:
+        pairs = pair_activity(hist, lengths, [])
     return Inputs(
-        hist, targets, listed, articles, customers, lengths, params, [], params.n_popular
+        hist, pairs, targets, listed, articles, customers, lengths, params, [], params.n_popular
     )
 
 
+def weekly_pairs(trans: DataFrame, after_last: date, params: RecoParams) -> DataFrame:
+    """Purchases per customer and article within the history of every replayed week."""
+    lengths = window_lengths(params)
+    return pair_activity(replay(trans, after_last, params, 1, lengths["hist"]), lengths, ["week"])
+
+
 def training_features(
-    trans: DataFrame, articles: DataFrame, customers: DataFrame, after_last: date, params: RecoParams
+    trans: DataFrame, articles: DataFrame, customers: DataFrame, labelled: DataFrame,
+    popular: DataFrame, after_last: date, params: RecoParams, pairs: DataFrame | None = None,
 ) -> DataFrame:
     """The labelled rows of all replayed weeks with the features known at each week's start."""
-    popular = popular_by_week(trans, after_last, params)
-    rows = training_set(trans, popular, after_last, params)
     lengths = window_lengths(params)
     x = Inputs(
         replay(trans, after_last, params, 1, lengths["hist"]),
-        rows.select("week", "customer_id").distinct(),
-        popular,
-        articles, customers, lengths, params, ["week"], params.n_popular * params.n_weeks,
+        pairs if pairs is not None else weekly_pairs(trans, after_last, params),
+        labelled.select("week", "customer_id").distinct(),
+        popular, articles, customers, lengths, params, ["week"],
+        params.n_popular * params.n_weeks,
     )
-    return given_candidates(x, rows)
+    return given_candidates(x, labelled)
 
 
 def additive_top_k(
@@ -111,7 +119,3 @@ def published(scored: DataFrame, k: int, *tie_break: Column) -> DataFrame:
     """Top k per customer as strings, in customer order."""
     ranked = top_k(scored, ["customer_id"], best_first(*tie_break), k, "place")
     return ranked_lists(ranked).orderBy("customer_id")
-
-
-def first_reference_day(after_last: date, params: RecoParams) -> date:
-    return reference_days(after_last, params)[0]

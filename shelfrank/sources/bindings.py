@@ -3,7 +3,9 @@
 See FIXTURES.md for the mapping.
 """
 
+from collections.abc import Callable
 from datetime import date
+import hashlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +19,7 @@ from shelfrank.plans.candidates import customers_by_articles, label_customers, p
 from shelfrank.plans.clean import clean_articles, clean_customers
 from shelfrank.plans.features import decayed_article_features
 from shelfrank.plans.stacking import ScoreFormat, normalise_all
+from shelfrank.sources.store import TableStore
 from shelfrank.sources.tables import load_transactions
 
 AFTER_LAST = date(2001, 8, 2)  # the day after the newest order
@@ -38,6 +41,12 @@ class Tables:
 
     def __init__(self, spark: SparkSession, folder: str, params: RecoParams = PARAMS):
         self.spark, self.folder, self.params = spark, folder.rstrip("/"), params
+        self.store = TableStore(spark)
+
+    def stored(self, name: str, make: Callable[[], DataFrame], cluster_by: list[str] | None = None) -> DataFrame:
+        """A table computed once per application and input folder."""
+        source = hashlib.sha1(self.folder.encode()).hexdigest()[:12]
+        return self.store.reuse(f"{name}-{source}", OLDEST.isoformat(), make, cluster_by)
 
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
@@ -60,10 +69,14 @@ class Tables:
             "l_orderkey", "l_linenumber", "l_linestatus",
         )
 
-    def transactions(self, oldest: date = OLDEST) -> DataFrame:
+    def make_transactions(self, oldest: date = OLDEST) -> DataFrame:
         order = ["l_orderkey", "l_linenumber", "price", "l_linestatus"]
         return load_transactions(self.purchases(), oldest, order)
 
+    def transactions(self) -> DataFrame:
+        """Clustered by day: a look-back reads the files of its days only."""
+        return self.stored("transactions", self.make_transactions, ["t_dat", "customer_id"])
+
     def raw_articles(self) -> DataFrame:
         size, name = F.col("p_size"), F.col("p_name")
         words = F.split(name, " ")
@@ -83,9 +96,12 @@ class Tables:
             F.get(words, F.lit(1)).alias("garment_group_no"),
         )
 
-    def articles(self) -> DataFrame:
+    def make_articles(self) -> DataFrame:
         return clean_articles(self.raw_articles())
 
+    def articles(self) -> DataFrame:
+        return self.stored("articles", self.make_articles)
+
     def raw_customers(self) -> DataFrame:
         key, segment = F.col("c_custkey"), F.col("c_mktsegment")
         age = F.lit(16) + F.floor((F.col("c_acctbal") + 1000) / 150)
@@ -111,9 +127,12 @@ class Tables:
             F.col("age").cast("int"), F.floor(F.col("age") / 10).cast("int").alias("age_id")
         )
 
-    def customers(self) -> DataFrame:
+    def make_customers(self) -> DataFrame:
         return clean_customers(self.raw_customers(), self.age_groups(), self.params)
 
+    def customers(self) -> DataFrame:
+        return self.stored("customers", self.make_customers)
+
     def label_customers(self, ds: date = DS) -> DataFrame:
         return label_customers(self.transactions(), ds, self.params)
 

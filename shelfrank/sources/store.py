@@ -9,11 +9,15 @@ from shelfrank.session import shared_folder
 
 
 class TableStore:
-    """Parquet tables named by what they hold and the day they start at."""
+    """Parquet tables named by what they hold and the day they start at.
+
+    Without a root, tables live in the shared folder under this application's own name, so they
+    are never stale; give a root to reuse tables across applications."""
 
     def __init__(self, spark: SparkSession, root: str | None = None):
         self.spark = spark
-        self.root = (root or shared_folder(spark)).rstrip("/")
+        own = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}"
+        self.root = (root or own).rstrip("/")
 
     def path(self, name: str, day: str) -> str:
         return f"{self.root}/{name}/{day}"
@@ -26,17 +30,24 @@ class TableStore:
     def has(self, name: str, day: str) -> bool:
         return self._has(self.path(name, day))
 
-    def write(self, name: str, day: str, df: DataFrame) -> DataFrame:
+    def write(self, name: str, day: str, df: DataFrame, cluster_by: list[str] | None = None) -> DataFrame:
+        """``cluster_by`` keeps nearby values in the same files, so that scans can skip files."""
+        if cluster_by:
+            df = df.repartitionByRange(*cluster_by).sortWithinPartitions(cluster_by[0])
         df.write.mode("overwrite").parquet(self.path(name, day))
         return self.read(name, day)
 
     def read(self, name: str, day: str) -> DataFrame:
         return self.spark.read.parquet(self.path(name, day))
 
-    def reuse(self, name: str, day: str, make: Callable[[], DataFrame]) -> DataFrame:
+    def reuse(
+        self, name: str, day: str, make: Callable[[], DataFrame], cluster_by: list[str] | None = None
+    ) -> DataFrame:
         """The stored table if there is one, else make and store it. What is read back has no
         lineage, so a lost executor costs no recomputation of what went before."""
-        return self.read(name, day) if self.has(name, day) else self.write(name, day, make())
+        if self.has(name, day):
+            return self.read(name, day)
+        return self.write(name, day, make(), cluster_by)
 
 
 def unfinished(customers: DataFrame, finished: DataFrame) -> DataFrame:
