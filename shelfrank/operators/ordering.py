@@ -51,14 +51,16 @@ def with_bucket(df: DataFrame, c: str, name: str, cuts: list[float]) -> DataFram
     while step:
         steps.append(F.lit(step))
         step //= 2
-    bounds = F.array(*[F.lit(x) for x in cuts])
+    # one text constant keeps the plan short while it is analysed; it is folded to an array
+    bounds = F.split(F.lit(",".join(map(repr, cuts))), ",").cast("array<double>")
     number = order_number(df, c)
     bucket = F.aggregate(  # binary search
         F.array(*steps),
         F.lit(0),
         lambda at, s: F.when(F.get(bounds, at + s - 1) < number, at + s).otherwise(at),
     )
-    return df.withColumn(name, bucket)
+    # never NULL, so that no branch gains a filter of its own and the shuffle can be shared
+    return df.withColumn(name, F.coalesce(bucket, F.lit(0)))
 
 
 def number_rows(
@@ -100,7 +102,9 @@ def exact_median(
 
     Equal values are merged into counts before the shuffle, bucket totals locate the bucket of
     the middle ranks, and only that bucket's values are ordered."""
-    rows = df.select(*keys, F.col(value).cast("double").alias("_v")).dropna()
+    rows = df.select(*keys, F.col(value).cast("double").alias("_v"))
+    for c in rows.columns:
+        rows = rows.where(F.col(c).isNotNull())
     counts = (
         with_bucket(rows, "_v", "_bucket", cuts or range_cuts(rows, "_v"))
         .groupBy(*keys, "_bucket", "_v")
