@@ -7,6 +7,8 @@ steer balance; they are fetched once (a few hundred numbers) and enter the plan
 that every branch and every retried task sees the same buckets.
 """
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,6 +16,9 @@ from pyspark.sql import types as T
 from shelfrank.session import shared_folder
 
 N_BUCKETS = 256  # a power of two
+# The built-in median keeps a counter per distinct value of a group in one task's memory; it is
+# used when the whole table is known to be at most this long.
+ONE_GROUP_ROWS = 1_000_000
 # A table known to be at most this long may be ordered in one task.
 ONE_TASK_ROWS = 200_000
 
@@ -38,21 +43,29 @@ def order_number(df: DataFrame, c: str) -> Column:
     raise TypeError(f"no order number for {kind}")
 
 
-def range_cuts(df: DataFrame, c: str, n_buckets: int = N_BUCKETS) -> list[float]:
-    """Values that cut a column into about equal parts."""
+@dataclass(frozen=True)
+class Cuts:
+    """Number of rows and the values that cut a column into about equal parts."""
+
+    rows: int
+    bounds: list[float]
+
+
+def range_cuts(df: DataFrame, c: str, n_buckets: int = N_BUCKETS) -> Cuts:
     shares = [i / n_buckets for i in range(1, n_buckets)]
-    cuts = F.percentile_approx(order_number(df, c), shares, 8 * n_buckets)
-    return df.agg(cuts.alias("cuts")).first()["cuts"] or [0.0] * (n_buckets - 1)
+    bounds = F.percentile_approx(order_number(df, c), shares, 8 * n_buckets)
+    found = df.agg(F.count("*").alias("n"), bounds.alias("bounds")).first()
+    return Cuts(found["n"], found["bounds"] or [0.0] * (n_buckets - 1))
 
 
-def with_bucket(df: DataFrame, c: str, name: str, cuts: list[float]) -> DataFrame:
+def with_bucket(df: DataFrame, c: str, name: str, cuts: Cuts) -> DataFrame:
     """Add the order-preserving bucket of a column: how many cuts lie below its value."""
-    steps, step = [], (len(cuts) + 1) // 2
+    steps, step = [], (len(cuts.bounds) + 1) // 2
     while step:
         steps.append(F.lit(step))
         step //= 2
     # one text constant keeps the plan short while it is analysed; it is folded to an array
-    bounds = F.split(F.lit(",".join(map(repr, cuts))), ",").cast("array<double>")
+    bounds = F.split(F.lit(",".join(map(repr, cuts.bounds))), ",").cast("array<double>")
     number = order_number(df, c)
     bucket = F.aggregate(  # binary search
         F.array(*steps),
@@ -96,17 +109,24 @@ def number_rows(
 
 
 def exact_median(
-    df: DataFrame, keys: list[str], value: str, name: str, cuts: list[float] | None = None
+    df: DataFrame, keys: list[str], value: str, name: str, cuts: Cuts | None = None,
+    one_group_rows: int = ONE_GROUP_ROWS,
 ) -> DataFrame:
     """Exact median per group; a group may hold most of the table.
 
+    ``cuts`` may come from any table that holds these rows. If that is short, no group can be
+    long and the built-in median does. Otherwise:
+
     Equal values are merged into counts before the shuffle, bucket totals locate the bucket of
     the middle ranks, and only that bucket's values are ordered."""
     rows = df.select(*keys, F.col(value).cast("double").alias("_v"))
     for c in rows.columns:
         rows = rows.where(F.col(c).isNotNull())
+    cuts = cuts or range_cuts(rows, "_v")
+    if cuts.rows <= one_group_rows:
+        return rows.groupBy(*keys).agg(F.median("_v").alias(name))
     counts = (
-        with_bucket(rows, "_v", "_bucket", cuts or range_cuts(rows, "_v"))
+        with_bucket(rows, "_v", "_bucket", cuts)
         .groupBy(*keys, "_bucket", "_v")
         .agg(F.count("*").alias("_n"))
     )

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from shelfrank.functions.scalars import ratio, weekly_decay
 from shelfrank.operators import activity
 from shelfrank.operators.joins import bounded
-from shelfrank.operators.ordering import exact_median, modal_day_age
+from shelfrank.operators.ordering import Cuts, exact_median, modal_day_age
 from shelfrank.plans.catalogue import (
     AGE_ARTICLE_COUNTS, ARTICLE_COUNTS, ATTRIBUTE_KEYS, CODE_COUNTS, CUSTOMER_COUNTS, PAIR,
     AttributeKey,
@@ -58,7 +58,7 @@ def age_stats_aggregates() -> list[Column]:
 
 def article_features(
     pairs: DataFrame, hist: DataFrame, customers: DataFrame, params: RecoParams, ref: list[str],
-    cuts: list[float] | None = None,
+    cuts: Cuts | None = None,
 ) -> DataFrame:
     keys = [*ref, "article_id"]
     aged = pairs.join(customers.select("customer_id", "age"), "customer_id", "left")
@@ -96,7 +96,7 @@ def code_features(
 
 def age_group_features(
     pairs: DataFrame, hist: DataFrame, customers: DataFrame, ref: list[str],
-    cuts: list[float] | None = None,
+    cuts: Cuts | None = None,
 ) -> DataFrame:
     """A few very large groups: partial sums per task, and the bucketed median."""
     keys = [*ref, "age_id"]
@@ -125,7 +125,7 @@ def age_group_article_features(
 
 def customer_features(
     pairs: DataFrame, hist: DataFrame, params: RecoParams, ref: list[str],
-    cuts: list[float] | None = None,
+    cuts: Cuts | None = None,
 ) -> DataFrame:
     keys = [*ref, "customer_id"]
     base = pairs.groupBy(*keys).agg(

@@ -13,6 +13,9 @@ RUNTIME_SETTINGS = {
     # Split a skewed join partition even where that costs one more exchange: a hot key may
     # hold a third of the rows.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Medians and map columns keep small buffers; the default of 128 groups before sorting
+    # instead would sort nearly every partition.
+    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "4096",
 }
 
 
