@@ -343,7 +343,7 @@ def grouped_folds_hash(t: Tables) -> DataFrame:
 
 @query("score_tables_normalised")
 def score_tables_normalised(t: Tables) -> DataFrame:
-    return rounded(t.scores())
+    return rounded(t.make_scores())
 
 
 @query("list_format_scores")
@@ -548,21 +548,20 @@ def training_features_query(t: Tables) -> DataFrame:
 
 @query("ranker_fit_score")
 def ranker_fit_score(t: Tables) -> DataFrame:
-    model, names = fit_ranker(training_features_query(t), TREES)
+    labelled = t.stored("training_features", lambda: training_features_query(t))
+    model, names = fit_ranker(labelled, TREES)
     scored = score([model], _candidate_features(t), names, KEYS)
     return top_k(scored, ["customer_id"], metrics.best_first(), PARAMS.keep, "place")
 
 
-def _out_of_fold(t: Tables) -> DataFrame:
-    labelled = with_stack_label(_stack_features(t), _bought(t))
-    return out_of_fold(labelled, PARAMS.n_folds, TREES, KEYS)[0]
-
-
 @query("ranker_oof")
 def ranker_oof(t: Tables) -> DataFrame:
-    return _out_of_fold(t)
+    labelled = with_stack_label(_stack_features(t), _bought(t))
+    return out_of_fold(labelled, PARAMS.n_folds, TREES, KEYS)[0]
 
 
 @query("ranker_top30")
 def ranker_top30(t: Tables) -> DataFrame:
-    return shared_top(_out_of_fold(t), PARAMS.share_top)
+    """The best out-of-fold rows per customer, from the stored scores."""
+    scored = t.stored("out_of_fold", lambda: ranker_oof(t))
+    return shared_top(scored, PARAMS.share_top)

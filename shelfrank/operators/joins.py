@@ -3,10 +3,11 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A table is only sent to every executor when the caller knows a bound on its rows and the bound
-# is at most this. Tables whose size depends on the data carry no hint: Spark measures them at
+# A table is only sent to every executor when the caller knows a bound on its rows, and the bound
+# times the width of a row is at most this. Tables whose size depends on the data carry no hint: Spark measures them at
 # run time and broadcasts, sort-merges or splits a skewed partition accordingly.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_BYTES = 128 * 1024 * 1024
+KEY_BYTES = 64  # a row of keys and a few numbers
 SPREAD = 64
 
 
@@ -27,13 +28,18 @@ def keep_keys(df: DataFrame, keys: DataFrame, on: str | list[str]) -> DataFrame:
     return df.join(keys, on, "left_semi")
 
 
-def bounded(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast hint for a table with at most ``max_rows`` rows, if that is few enough."""
-    return F.broadcast(df) if max_rows <= BROADCAST_ROWS else df
+def fits(max_rows: int, row_bytes: int = KEY_BYTES) -> bool:
+    return max_rows * row_bytes <= BROADCAST_BYTES
+
+
+def bounded(df: DataFrame, max_rows: int, row_bytes: int = KEY_BYTES) -> DataFrame:
+    """Broadcast hint for a table with at most ``max_rows`` rows, if that is small enough."""
+    return F.broadcast(df) if fits(max_rows, row_bytes) else df
 
 
 def pair_with_list(
-    rows: DataFrame, listed: DataFrame, n_listed: int, position: str, block: int, spread_by: str
+    rows: DataFrame, listed: DataFrame, n_listed: int, position: str, block: int, spread_by: str,
+    row_bytes: int = KEY_BYTES,
 ) -> DataFrame:
     """Give every row of ``rows`` every entry of a list of at most ``n_listed`` entries.
 
@@ -44,7 +50,7 @@ def pair_with_list(
     n_blocks = -(-n_listed // block)
     left = rows.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
     right = listed.withColumn("_block", F.floor((F.col(position) - 1) / block).cast("int"))
-    if n_listed <= BROADCAST_ROWS:
+    if fits(n_listed, row_bytes):
         return left.join(F.broadcast(right), "_block").drop("_block")
     left = left.withColumn("_part", F.pmod(F.xxhash64(spread_by), F.lit(SPREAD)).cast("int"))
     right = right.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))

@@ -184,10 +184,17 @@ def key_text(key: AttributeKey) -> Column:
     return parts[0] if len(parts) == 1 else F.concat(parts[0], F.lit("|"), parts[1])
 
 
-def article_keys(articles: DataFrame) -> DataFrame:
-    return articles.select(
-        "article_id", *[key_text(k).alias(f"key_{k.suffix}") for k in ATTRIBUTE_KEYS]
-    )
+def article_entries(articles: DataFrame, listed: DataFrame, max_listed: int) -> DataFrame:
+    """Per article the (set, key) entries that some listed article shares; other keys are never
+    looked up. The article itself is the set ``art``."""
+    sets = [(F.lit("art"), F.col("article_id").cast("string"))]
+    sets += [(F.lit(k.suffix), key_text(k)) for k in ATTRIBUTE_KEYS]
+    each = F.explode(F.array(*[F.struct(s.alias("set"), key.alias("key")) for s, key in sets]))
+    entries = articles.select("article_id", each.alias("entry")).where(F.col("entry.key").isNotNull())
+    ids = listed.select("article_id").distinct()
+    wanted = entries.join(bounded(ids, max_listed), "article_id", "left_semi").select("entry").distinct()
+    kept = entries.join(bounded(wanted, max_listed * len(sets)), "entry", "left_semi")
+    return kept.groupBy("article_id").agg(F.collect_list("entry").alias("entries"))
 
 
 def customer_maps(
@@ -196,32 +203,23 @@ def customer_maps(
     """One row per customer with a map per key-set: key -> merged measures.
 
     Pairs move once, to their customer; the key-sets are then grouped in place. What is held
-    per customer is at most one entry per attribute value or listed article."""
-    keyed = pairs.join(article_keys(articles), "article_id", "left")
-    on_list = listed.select(*ref, "article_id", F.lit(True).alias("_listed"))
-    keyed = keyed.join(bounded(on_list, max_listed), [*ref, "article_id"], "left")
+    per customer is at most one entry per attribute value of the listed articles."""
     home = [*ref, "customer_id"]
-    moved = keyed.select(
-        *home,
-        *_ENTRY,
-        F.when(F.col("_listed"), F.col("article_id").cast("string")).alias("key_art"),
-        *[f"key_{k.suffix}" for k in ATTRIBUTE_KEYS],
-    ).repartition(*home)
-    suffixes = ["art", *[k.suffix for k in ATTRIBUTE_KEYS]]
-    each = F.explode(
-        F.array(*[F.struct(F.lit(s).alias("set"), F.col(f"key_{s}").alias("key")) for s in suffixes])
+    moved = (
+        pairs.join(article_entries(articles, listed, max_listed), "article_id")
+        .select(*home, *_ENTRY, "entries")
+        .repartition(*home)
     )
     grouped = (
-        moved.select(*home, *_ENTRY, each.alias("at"))
-        .select(*home, *_ENTRY, "at.set", "at.key")
-        .where(F.col("key").isNotNull())
-        .groupBy(*home, "set", "key")
+        moved.select(*home, *_ENTRY, F.explode("entries").alias("entry"))
+        .groupBy(*home, "entry")
         .agg(*activity.merged(list(_ENTRY)))
     )
-    entry = F.struct("key", F.struct(*_ENTRY).alias("value"))
+    value = F.struct(F.col("entry.key").alias("key"), F.struct(*_ENTRY).alias("value"))
+    suffixes = ["art", *[k.suffix for k in ATTRIBUTE_KEYS]]
     return grouped.groupBy(*home).agg(
         *[
-            F.map_from_entries(F.collect_list(F.when(F.col("set") == s, entry))).alias(f"map_{s}")
+            F.map_from_entries(F.collect_list(F.when(F.col("entry.set") == s, value))).alias(f"map_{s}")
             for s in suffixes
         ]
     )

@@ -43,10 +43,13 @@ class Tables:
         self.spark, self.folder, self.params = spark, folder.rstrip("/"), params
         self.store = TableStore(spark)
 
-    def stored(self, name: str, make: Callable[[], DataFrame], cluster_by: list[str] | None = None) -> DataFrame:
+    def stored(
+        self, name: str, make: Callable[[], DataFrame],
+        cluster_by: list[str] | None = None, partition_by: list[str] | None = None,
+    ) -> DataFrame:
         """A table computed once per application and input folder."""
         source = hashlib.sha1(self.folder.encode()).hexdigest()[:12]
-        return self.store.reuse(f"{name}-{source}", OLDEST.isoformat(), make, cluster_by)
+        return self.store.reuse(f"{name}-{source}", OLDEST.isoformat(), make, cluster_by, partition_by)
 
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
@@ -179,9 +182,13 @@ class Tables:
             "hash": hashed,
         }
 
-    def scores(self) -> DataFrame:
+    def make_scores(self) -> DataFrame:
         return normalise_all(self.score_tables(), SCORE_FORMATS)
 
+    def scores(self) -> DataFrame:
+        """One folder per model, so that reading one model leaves the others alone."""
+        return self.stored("scores", self.make_scores, partition_by=["model"])
+
     def registry(self) -> DataFrame:
         """Published scores of the models above (own numbers)."""
         rows = [

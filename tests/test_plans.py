@@ -169,7 +169,7 @@ def test_ranker_learns_and_averages(labelled):
     trees = TreeParams(depth=2, rounds=3)
     names = feature_names(labelled)
     assert names == ["x", "y"]
-    model = fit(ready(labelled, names), names, trees)
+    model = fit(ready(labelled, names), trees)
     one = score([model], labelled, names, ["customer_id", "article_id", "target"])
     two = score([model, model], labelled, names, ["customer_id", "article_id"])
     means = {r["target"]: r["m"] for r in one.groupBy("target").agg(F.avg("pred").alias("m")).collect()}
