@@ -22,7 +22,8 @@ from shelfrank.plans.candidates import (
 )
 from shelfrank.plans.catalogue import ATTRIBUTE_KEYS, PAIR, stale_filled
 from shelfrank.plans.clean import enrich
-from shelfrank.plans.ranker import TreeParams, fit_ranker, mean_score, out_of_fold, score, shared_top
+from shelfrank.plans.flows import predict, train, train_stack
+from shelfrank.plans.ranker import TreeParams, mean_score, shared_top
 from shelfrank.plans.recommend import (
     ground_truth, ground_truth_lists, inputs_at, popularity_with_history, published, ranked_lists,
     training_features, weekly_pairs,
@@ -548,20 +549,40 @@ def training_features_query(t: Tables) -> DataFrame:
 
 @query("ranker_fit_score")
 def ranker_fit_score(t: Tables) -> DataFrame:
-    labelled = t.stored("training_features", lambda: training_features_query(t))
-    model, names = fit_ranker(labelled, TREES)
-    scored = score([model], _candidate_features(t), names, KEYS)
+    trans, articles, customers = t.transactions(), t.articles(), t.customers()
+    model = train(t.store, trans, articles, customers, AFTER_LAST, PARAMS, TREES)
+    scored = predict(model, trans, articles, customers, t.label_customers(), DS, PARAMS)
     return top_k(scored, ["customer_id"], metrics.best_first(), PARAMS.keep, "place")
 
 
 @query("ranker_oof")
 def ranker_oof(t: Tables) -> DataFrame:
-    labelled = with_stack_label(_stack_features(t), _bought(t))
-    return out_of_fold(labelled, PARAMS.n_folds, TREES, KEYS)[0]
+    return train_stack(
+        t.store, t.scores(), MODELS, t.transactions(), t.articles(), t.customers(), DS, PARAMS, TREES
+    )[0]
+
+
+def _oof(t: Tables) -> DataFrame:
+    """The stored out-of-fold scores, made if there are none yet."""
+    return t.store.reuse("out_of_fold", DS.isoformat(), lambda: ranker_oof(t))
 
 
 @query("ranker_top30")
 def ranker_top30(t: Tables) -> DataFrame:
-    """The best out-of-fold rows per customer, from the stored scores."""
-    scored = t.stored("out_of_fold", lambda: ranker_oof(t))
-    return shared_top(scored, PARAMS.share_top)
+    return shared_top(_oof(t), PARAMS.share_top)
+
+
+@query("ranker_oof_map")
+def ranker_oof_map(t: Tables) -> DataFrame:
+    """MAP@10 and MAP@12 of the out-of-fold lists, over all customers and as the mean of folds."""
+    scored, truth = _oof(t), _bought(t)
+    shown = top_k(scored, ["customer_id"], metrics.best_first(), 12, "place")
+    folds = scored.select("customer_id", "fold").distinct()
+    parts = []
+    for k in (10, 12):
+        ap = lookup(metrics.average_precision(shown, truth, k), folds, "customer_id")
+        per_fold = ap.groupBy("fold").agg(F.avg("ap").alias("_map"), F.sum("ap").alias("_sum"), F.count("*").alias("_n"))
+        parts.append(per_fold.agg(
+            F.lit(k).alias("k"), (F.sum("_sum") / F.sum("_n")).alias("map_at_k"), F.avg("_map").alias("mean_of_folds")
+        ))
+    return parts[0].unionByName(parts[1])

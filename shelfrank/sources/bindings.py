@@ -41,15 +41,15 @@ class Tables:
 
     def __init__(self, spark: SparkSession, folder: str, params: RecoParams = PARAMS):
         self.spark, self.folder, self.params = spark, folder.rstrip("/"), params
-        self.store = TableStore(spark)
+        source = hashlib.sha1(self.folder.encode()).hexdigest()[:12]
+        self.store = TableStore(spark, f"{TableStore(spark).root}/{source}")
 
     def stored(
         self, name: str, make: Callable[[], DataFrame],
         cluster_by: list[str] | None = None, partition_by: list[str] | None = None,
     ) -> DataFrame:
         """A table computed once per application and input folder."""
-        source = hashlib.sha1(self.folder.encode()).hexdigest()[:12]
-        return self.store.reuse(f"{name}-{source}", OLDEST.isoformat(), make, cluster_by, partition_by)
+        return self.store.reuse(name, OLDEST.isoformat(), make, cluster_by, partition_by)
 
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")

@@ -2,7 +2,7 @@
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfrank.session import shared_folder
@@ -59,11 +59,14 @@ def unfinished(customers: DataFrame, finished: DataFrame) -> DataFrame:
     return customers.join(finished.select("customer_id"), "customer_id", "left_anti")
 
 
+def customer_bucket(n_buckets: int) -> Column:
+    return F.pmod(F.xxhash64("customer_id"), F.lit(n_buckets)).cast("int")
+
+
 def write_restartable(df: DataFrame, path: str, n_buckets: int) -> None:
     """One folder per customer bucket; a repeated write replaces only the buckets it holds."""
-    bucket = F.pmod(F.xxhash64("customer_id"), F.lit(n_buckets)).cast("int")
     (
-        df.withColumn("bucket", bucket)
+        df.withColumn("bucket", customer_bucket(n_buckets))
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("bucket")

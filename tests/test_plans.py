@@ -7,13 +7,15 @@ import pytest
 
 from conftest import as_set, plan_of
 from __spark_entry__ import queries
-from shelfrank.plans import metrics
+from shelfrank.plans import flows, metrics
 from shelfrank.plans.catalogue import candidate_policy, stack_policy
 from shelfrank.plans.candidates import negatives, popular_by_week, positives
-from shelfrank.plans.ranker import TreeParams, feature_names, fit, out_of_fold, ready, score
+from shelfrank.plans.ranker import (
+    TreeParams, feature_names, fit, load_models, out_of_fold, ready, save_models, score,
+)
 from shelfrank.plans.recommend import additive_top_k
 from shelfrank.plans.stacking import ScoreFormat, normalise, with_stack_label
-from shelfrank.sources.bindings import AFTER_LAST, PARAMS, Tables
+from shelfrank.sources.bindings import AFTER_LAST, DS, MODELS, PARAMS
 from shelfrank.sources.store import TableStore, unfinished, write_restartable
 from shelfrank.sources.tables import SCHEMAS, load_transactions, read_csv, write_csv
 from test_operators import plain_ap
@@ -179,16 +181,54 @@ def test_ranker_learns_and_averages(labelled):
 
 
 def test_out_of_fold_scores_every_row_once(labelled):
-    scored, models = out_of_fold(labelled, 3, TreeParams(depth=2, rounds=2), ["customer_id", "article_id"])
+    scored, models, _ = out_of_fold(labelled, 3, TreeParams(depth=2, rounds=2), ["customer_id", "article_id"])
     assert len(models) == 3 and scored.count() == labelled.count()
     folds = scored.groupBy("customer_id").agg(F.count_distinct("fold").alias("n"))
     assert folds.where("n > 1").isEmpty()
 
 
+def test_models_are_saved_with_their_features(labelled, tmp_path):
+    names = feature_names(labelled)
+    model = fit(ready(labelled, names), TreeParams(depth=2, rounds=2))
+    save_models([model], names, (tmp_path / "m").as_uri())
+    models, loaded = load_models((tmp_path / "m").as_uri())
+    assert loaded == names
+    keys = ["customer_id", "article_id", "pred"]
+    assert as_set(score(models, labelled, names, keys[:2]), *keys) == as_set(score([model], labelled, names, keys[:2]), *keys)
+
+
+def test_waves_finish_everyone_and_restart_does_nothing(spark, tmp_path):
+    targets = spark.range(50).withColumnRenamed("id", "customer_id")
+    path = (tmp_path / "lists").as_uri()
+
+    def recommend(part):
+        listed = F.explode(F.sequence(F.lit(1), F.lit(20))).alias("article_id")
+        return part.select("customer_id", listed).withColumn("pred", F.col("article_id") * 1.0)
+
+    assert flows.recommend_in_waves(targets, recommend, path, PARAMS, 8, 4) == 4
+    assert flows.recommend_in_waves(targets, recommend, path, PARAMS, 8, 4) == 0
+    got = spark.read.parquet(path)
+    assert got.count() == 50
+    assert got.first()["prediction"].startswith("0000000020 0000000019")
+
+
+def test_stack_job_end_to_end(tables):
+    params = PARAMS.scaled(n_folds=2)
+    store = TableStore(tables.spark, tables.store.root + "/stack-test")
+    args = (tables.scores(), MODELS, tables.transactions(), tables.articles(), tables.customers(), DS, params)
+    scored, model = flows.train_stack(store, *args, TreeParams(depth=2, rounds=2))
+    assert scored.count() == store.read("stack_rows", DS.isoformat()).count()
+    lists, shared = flows.predict_stack(model, *args)
+    customers = tables.scores().select("customer_id").distinct().count()
+    assert lists.count() == customers
+    per = shared.groupBy("customer_id").count().agg(F.max("count")).first()[0]
+    assert per <= params.share_top
+
+
 # --- what plans must not contain
 
 
-LEARNED = {"ranker_fit_score", "ranker_oof", "ranker_top30"}
+LEARNED = {"ranker_fit_score", "ranker_oof", "ranker_oof_map", "ranker_top30"}
 
 
 @pytest.mark.parametrize("name", sorted(set(queries()) - LEARNED))
