@@ -140,7 +140,7 @@ def week_calendar_query(t: Tables) -> DataFrame:
 
 @query("popular_articles_topn")
 def popular_articles_topn(t: Tables) -> DataFrame:
-    return as_long(t.popular(), "position")
+    return as_long(t.make_popular(), "position")
 
 
 @query("popular_articles_by_week")
@@ -298,22 +298,19 @@ def candidate_features_assembled(t: Tables) -> DataFrame:
 
 @query("positives_decayed")
 def positives_decayed(t: Tables) -> DataFrame:
-    trans = t.transactions()
-    found = positives(trans, popular_by_week(trans, AFTER_LAST, PARAMS), AFTER_LAST, PARAMS)
+    found = positives(t.transactions(), t.popular_by_week(), AFTER_LAST, PARAMS)
     return rounded(as_long(found, "week"))
 
 
 @query("negatives_sampled")
 def negatives_sampled(t: Tables) -> DataFrame:
-    trans = t.transactions()
-    popular = popular_by_week(trans, AFTER_LAST, PARAMS)
-    drawn = negatives(positives(trans, popular, AFTER_LAST, PARAMS), popular, PARAMS)
+    popular = t.popular_by_week()
+    drawn = negatives(positives(t.transactions(), popular, AFTER_LAST, PARAMS), popular, PARAMS)
     return as_long(drawn, "week")
 
 
 def _training(t: Tables) -> DataFrame:
-    trans = t.transactions()
-    return training_set(trans, popular_by_week(trans, AFTER_LAST, PARAMS), AFTER_LAST, PARAMS)
+    return training_set(t.transactions(), t.popular_by_week(), AFTER_LAST, PARAMS)
 
 
 @query("training_set")
@@ -474,22 +471,16 @@ def _shown(t: Tables, k: int) -> DataFrame:
 
 @query("ap_at_k")
 def ap_at_k(t: Tables) -> DataFrame:
-    return rounded(metrics.average_precision(_shown(t, 12), _bought(t), 12))
+    return rounded(metrics.average_precision(_shown(t, 12), _bought(t), 12).drop("k"))
 
 
 @query("map_at_k")
 def map_at_k(t: Tables) -> DataFrame:
     """MAP@10 and MAP@12 of every model's list."""
-    shown = top_k(t.scores(), ["model", "customer_id"], metrics.best_first(), 12, "place")
     names = F.explode(F.array(*[F.lit(m) for m in MODELS]))
     truth = _bought(t).withColumn("model", names)
-    parts = []
-    for k in (10, 12):
-        per_customer = metrics.average_precision(shown, truth, k, ["model"])
-        parts.append(per_customer.groupBy("model").agg(
-            F.lit(k).cast("long").alias("k"), F.avg("ap").alias("map_at_k"), F.count("*").alias("n_customers")
-        ))
-    return rounded(parts[0].unionByName(parts[1]))
+    found = metrics.mean_average_precision(t.scores(), truth, [10, 12], by=["model"])
+    return rounded(as_long(found, "k"))
 
 
 @query("map_by_candidate_cutoff")
@@ -539,7 +530,7 @@ def intermediate_round_trip(t: Tables) -> DataFrame:
 @query("training_features")
 def training_features_query(t: Tables) -> DataFrame:
     trans = t.transactions()
-    popular = t.stored("popular_by_week", lambda: popular_by_week(trans, AFTER_LAST, PARAMS))
+    popular = t.popular_by_week()
     labelled = t.stored("training_set", lambda: training_set(trans, popular, AFTER_LAST, PARAMS))
     pairs = t.stored("weekly_pairs", lambda: weekly_pairs(trans, AFTER_LAST, PARAMS))
     return training_features(
@@ -578,11 +569,10 @@ def ranker_oof_map(t: Tables) -> DataFrame:
     scored, truth = _oof(t), _bought(t)
     shown = top_k(scored, ["customer_id"], metrics.best_first(), 12, "place")
     folds = scored.select("customer_id", "fold").distinct()
-    parts = []
-    for k in (10, 12):
-        ap = lookup(metrics.average_precision(shown, truth, k), folds, "customer_id")
-        per_fold = ap.groupBy("fold").agg(F.avg("ap").alias("_map"), F.sum("ap").alias("_sum"), F.count("*").alias("_n"))
-        parts.append(per_fold.agg(
-            F.lit(k).alias("k"), (F.sum("_sum") / F.sum("_n")).alias("map_at_k"), F.avg("_map").alias("mean_of_folds")
-        ))
-    return parts[0].unionByName(parts[1])
+    ap = lookup(metrics.average_precision(shown, truth, [10, 12]), folds, "customer_id")
+    per_fold = ap.groupBy("k", "fold").agg(
+        F.avg("ap").alias("_map"), F.sum("ap").alias("_sum"), F.count("*").alias("_n")
+    )
+    return per_fold.groupBy("k").agg(
+        (F.sum("_sum") / F.sum("_n")).alias("map_at_k"), F.avg("_map").alias("mean_of_folds")
+    )

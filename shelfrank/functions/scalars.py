@@ -96,10 +96,10 @@ def average_precision(actual: Column | str, predicted: Column | str, k: int) ->
         ),
         lambda place: place.isNotNull(),
     )
-    return precision_from_places(hit_places, F.size(truth), k)
+    return precision_from_places(hit_places, F.size(truth), F.lit(k))
 
 
-def precision_from_places(places: Column, n_actual: Column, k: int) -> Column:
+def precision_from_places(places: Column, n_actual: Column, k: Column) -> Column:
     """AP@k from the sorted 1-based places of the hits and the number of truths."""
     total = F.aggregate(
         F.transform(places, lambda place, i: (i + 1).cast("double") / place),
@@ -107,5 +107,5 @@ def precision_from_places(places: Column, n_actual: Column, k: int) -> Column:
         lambda acc, x: acc + x,
     )
     return F.when(
-        F.coalesce(n_actual, F.lit(0)) > 0, total / F.least(n_actual, F.lit(k))
+        F.coalesce(n_actual, F.lit(0)) > 0, total / F.least(n_actual, k)
     ).otherwise(F.lit(0.0))

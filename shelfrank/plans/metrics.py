@@ -17,15 +17,17 @@ def best_first(*more: Column) -> list[Column]:
 
 
 def average_precision(
-    predicted: DataFrame, truth: DataFrame, k: int, by: list[str] | None = None
+    predicted: DataFrame, truth: DataFrame, ks: int | list[int], by: list[str] | None = None
 ) -> DataFrame:
-    """AP@k for every customer that has predictions. ``predicted`` has ``place`` from 1; a
-    repeated article counts at its first place, a truth bought on two days counts twice in the
-    denominator, a customer without truth gets 0. ``by`` adds keys (say, a cut-off) that both
-    tables carry."""
+    """AP@k for every customer that has predictions, one row per customer and ``k``.
+
+    ``predicted`` has ``place`` from 1; a repeated article counts at its first place, a truth
+    bought on two days counts twice in the denominator, a customer without truth gets 0. ``by``
+    adds keys (say, a cut-off) that both tables carry. Several ``ks`` share one grouping."""
+    ks = [ks] if isinstance(ks, int) else sorted(ks)
     home = [*(by or []), "customer_id"]
     keys = [*home, "article_id"]
-    shown = predicted.where(F.col("place") <= k).select(
+    shown = predicted.where(F.col("place") <= ks[-1]).select(
         *keys, F.col("place").cast("int"), F.lit(0).cast("long").alias("bought")
     )
     bought = truth.select(*keys, F.lit(None).cast("int").alias("place"), F.lit(1).cast("long").alias("bought"))
@@ -34,24 +36,31 @@ def average_precision(
     )
     hit = F.when(F.col("bought") > 0, F.col("place"))
     per_customer = per_article.groupBy(*home).agg(
-        F.sort_array(F.collect_list(hit)).alias("_places"),
+        F.sort_array(F.collect_list(hit)).alias("_all"),
         F.sum("bought").alias("n_actual"),
         F.count("place").alias("n_predicted"),
     )
-    return per_customer.where(F.col("n_predicted") > 0).select(
+    per_k = per_customer.where(F.col("n_predicted") > 0).withColumn(
+        "k", F.explode(F.array(*[F.lit(k) for k in ks]))
+    )
+    return per_k.withColumn("_places", F.filter("_all", lambda p: p <= F.col("k"))).select(
         *home,
+        "k",
         "n_actual",
         F.size("_places").cast("long").alias("n_hits"),
-        precision_from_places(F.col("_places"), F.col("n_actual"), k).alias("ap"),
+        precision_from_places(F.col("_places"), F.col("n_actual"), F.col("k")).alias("ap"),
     )
 
 
 def mean_average_precision(
-    scored: DataFrame, truth: DataFrame, k: int, order: list[Column] | None = None
+    scored: DataFrame, truth: DataFrame, ks: int | list[int], order: list[Column] | None = None,
+    by: list[str] | None = None,
 ) -> DataFrame:
-    """MAP@k of scored candidates: rank, cut to k, average over customers."""
-    shown = top_k(scored, ["customer_id"], order or best_first(), k, "place")
-    return average_precision(shown, truth, k).agg(
+    """MAP@k of scored candidates: rank, cut, average over customers (per ``by`` if given)."""
+    keys = by or []
+    longest = ks if isinstance(ks, int) else max(ks)
+    shown = top_k(scored, [*keys, "customer_id"], order or best_first(), longest, "place")
+    return average_precision(shown, truth, ks, by).groupBy(*keys, "k").agg(
         F.avg("ap").alias("map_at_k"), F.count("*").alias("n_customers")
     )
 
@@ -62,13 +71,9 @@ def map_by_cutoff(
     """MAP@k when only the first n listed articles are candidates, for several n at once."""
     sizes = F.array(*[F.lit(n) for n in cutoffs])
     at = F.explode(F.filter(sizes, lambda n: n >= F.col(position)))
-    shown = top_k(
-        scored.withColumn("cutoff", at), ["cutoff", "customer_id"], best_first(), k, "place"
-    )
     per_cutoff = truth.withColumn("cutoff", F.explode(sizes))
-    return average_precision(shown, per_cutoff, k, ["cutoff"]).groupBy("cutoff").agg(
-        F.avg("ap").alias("map_at_k"), F.count("*").alias("n_customers")
-    )
+    found = mean_average_precision(scored.withColumn("cutoff", at), per_cutoff, k, by=["cutoff"])
+    return found.drop("k")
 
 
 def recall_and_coverage(labelled: DataFrame, truth: DataFrame) -> DataFrame:

@@ -15,7 +15,9 @@ from shelfrank.functions.scalars import padded_id
 from shelfrank.operators.joins import keep_keys
 from shelfrank.operators.topk import top_n
 from shelfrank.params import RecoParams
-from shelfrank.plans.candidates import customers_by_articles, label_customers, popular_articles
+from shelfrank.plans.candidates import (
+    customers_by_articles, label_customers, popular_articles, popular_by_week,
+)
 from shelfrank.plans.clean import clean_articles, clean_customers
 from shelfrank.plans.features import decayed_article_features
 from shelfrank.plans.stacking import ScoreFormat, normalise_all
@@ -46,10 +48,10 @@ class Tables:
 
     def stored(
         self, name: str, make: Callable[[], DataFrame],
-        cluster_by: list[str] | None = None, partition_by: list[str] | None = None,
+        sort_by: list[str] | None = None, partition_by: list[str] | None = None,
     ) -> DataFrame:
         """A table computed once per application and input folder."""
-        return self.store.reuse(name, OLDEST.isoformat(), make, cluster_by, partition_by)
+        return self.store.reuse(name, OLDEST.isoformat(), make, sort_by, partition_by)
 
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
@@ -77,8 +79,8 @@ class Tables:
         return load_transactions(self.purchases(), oldest, order)
 
     def transactions(self) -> DataFrame:
-        """Clustered by day: a look-back reads the files of its days only."""
-        return self.stored("transactions", self.make_transactions, ["t_dat", "customer_id"])
+        """Files are sorted by day: a look-back reads the pages of its days only."""
+        return self.stored("transactions", self.make_transactions, ["t_dat"])
 
     def raw_articles(self) -> DataFrame:
         size, name = F.col("p_size"), F.col("p_name")
@@ -139,8 +141,15 @@ class Tables:
     def label_customers(self, ds: date = DS) -> DataFrame:
         return label_customers(self.transactions(), ds, self.params)
 
-    def popular(self, ds: date = DS) -> DataFrame:
-        return popular_articles(self.transactions(), ds, self.params)
+    def make_popular(self) -> DataFrame:
+        return popular_articles(self.transactions(), DS, self.params)
+
+    def popular(self) -> DataFrame:
+        return self.stored("popular", self.make_popular)
+
+    def popular_by_week(self) -> DataFrame:
+        make = lambda: popular_by_week(self.transactions(), AFTER_LAST, self.params)
+        return self.store.reuse("popular_by_week", AFTER_LAST.isoformat(), make)
 
     def hist(self, ds: date = DS) -> DataFrame:
         return history(self.transactions(), ds, self.params.hist_days)

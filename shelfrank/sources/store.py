@@ -32,12 +32,12 @@ class TableStore:
 
     def write(
         self, name: str, day: str, df: DataFrame,
-        cluster_by: list[str] | None = None, partition_by: list[str] | None = None,
+        sort_by: list[str] | None = None, partition_by: list[str] | None = None,
     ) -> DataFrame:
-        """``cluster_by`` keeps nearby values in the same files, so that scans can skip files;
-        ``partition_by`` makes a folder per value."""
-        if cluster_by:
-            df = df.repartitionByRange(*cluster_by).sortWithinPartitions(cluster_by[0])
+        """``sort_by`` orders each file, so that scans skip its row groups and pages by their
+        bounds, without a shuffle of its own; ``partition_by`` makes a folder per value."""
+        if sort_by:
+            df = df.sortWithinPartitions(*sort_by)
         df.write.mode("overwrite").parquet(self.path(name, day), partitionBy=partition_by)
         return self.read(name, day)
 
@@ -46,13 +46,13 @@ class TableStore:
 
     def reuse(
         self, name: str, day: str, make: Callable[[], DataFrame],
-        cluster_by: list[str] | None = None, partition_by: list[str] | None = None,
+        sort_by: list[str] | None = None, partition_by: list[str] | None = None,
     ) -> DataFrame:
         """The stored table if there is one, else make and store it. What is read back has no
         lineage, so a lost executor costs no recomputation of what went before."""
         if self.has(name, day):
             return self.read(name, day)
-        return self.write(name, day, make(), cluster_by, partition_by)
+        return self.write(name, day, make(), sort_by, partition_by)
 
 
 def unfinished(customers: DataFrame, finished: DataFrame) -> DataFrame:
