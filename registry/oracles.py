@@ -195,10 +195,10 @@ def _price(prefix: str) -> str:
     )
 
 
-def _rebuy(source: str, key: str, target: str, name: str) -> str:
+def _rebuy(source: str, key: str, target: str, name: str, ref: str = "") -> str:
     return (
-        f"SELECT {key}, count(*) FILTER (n >= 2) * 1.0 / (count(*) + 5) AS {name} FROM "
-        f"(SELECT {key}, {target}, count(*) AS n FROM {source} GROUP BY 1, 2) GROUP BY 1"
+        f"SELECT {ref}{key}, count(*) FILTER (n >= 2) * 1.0 / (count(*) + 5) AS {name} FROM "
+        f"(SELECT {ref}{key}, {target}, count(*) AS n FROM {source} GROUP BY ALL) GROUP BY ALL"
     )
 
 
@@ -212,35 +212,48 @@ AGES = (
     "CAST(max(age) AS BIGINT) AS art_age_hist_max, CAST(min(age) AS BIGINT) AS art_age_hist_min"
 )
 RECENCY = "min(age_days) AS art_days_after_buy, max(age_days) AS art_days_from_oldest_buy"
-MODAL = (
-    "SELECT article_id, age_days AS art_days_from_mode_buy FROM "
-    "(SELECT article_id, age_days, count(*) AS n FROM hist GROUP BY 1, 2) "
-    "QUALIFY row_number() OVER (PARTITION BY article_id ORDER BY n DESC, age_days) = 1"
-)
-CODE = (
-    "SELECT product_code, count(*) AS code_buy_hist, count(*) FILTER (age_days <= 7) AS code_buy_recent, "
-    "count(*) FILTER (age_days <= 1) AS code_buy_yesterday "
-    "FROM hist JOIN art_raw USING (article_id) GROUP BY 1"
-)
-AGE_GROUP = (
-    f"SELECT age_id, avg(sales_channel_id) AS age_id_rate_sales_channel_hist, "
-    f"{_price('age_id_price_hist')}, count(*) AS age_id_n_buy_hist_all "
-    "FROM hist JOIN cust USING (customer_id) GROUP BY 1"
-)
-AGE_ARTICLE = (
-    f"SELECT age_id, article_id, {_counts('age_id_n_buy', {'hist': None, 'recent': 7})} "
-    "FROM hist JOIN cust USING (customer_id) GROUP BY 1, 2"
-)
-CUSTOMER = (
-    f"SELECT customer_id, {_channel('')}, {_price('user_price_hist')}, "
-    "count(*) AS n_buy_hist_all, count(*) FILTER (age_days <= 30) AS n_buy_hist_short_all, "
-    "count(*) FILTER (age_days <= 90) AS n_buy_hist_mid_all, count(*) FILTER (age_days <= 7) AS n_buy_recent_all, "
-    "min(age_days) AS days_after_buy_all, max(age_days) AS days_from_oldest_buy_all "
-    "FROM hist SEMI JOIN labcust USING (customer_id) GROUP BY 1"
-)
+def _modal(ref: str = "", h: str = "hist") -> str:
+    return (
+        f"SELECT {ref}article_id, age_days AS art_days_from_mode_buy FROM "
+        f"(SELECT {ref}article_id, age_days, count(*) AS n FROM {h} GROUP BY ALL) "
+        f"QUALIFY row_number() OVER (PARTITION BY {ref}article_id ORDER BY n DESC, age_days) = 1"
+    )
+
+
+def _code(ref: str = "", h: str = "hist") -> str:
+    return (
+        f"SELECT {ref}product_code, count(*) AS code_buy_hist, count(*) FILTER (age_days <= 7) AS code_buy_recent, "
+        f"count(*) FILTER (age_days <= 1) AS code_buy_yesterday FROM {h} JOIN art_raw USING (article_id) GROUP BY ALL"
+    )
+
+
+def _age_group(ref: str = "", h: str = "hist") -> str:
+    return (
+        f"SELECT {ref}age_id, avg(sales_channel_id) AS age_id_rate_sales_channel_hist, "
+        f"{_price('age_id_price_hist')}, count(*) AS age_id_n_buy_hist_all "
+        f"FROM {h} JOIN cust USING (customer_id) GROUP BY ALL"
+    )
 
 
-def _attribute(key, source: str = "hist JOIN art USING (article_id)", text: bool = True) -> str:
+def _age_article(ref: str = "", h: str = "hist") -> str:
+    return (
+        f"SELECT {ref}age_id, article_id, {_counts('age_id_n_buy', {'hist': None, 'recent': 7})} "
+        f"FROM {h} JOIN cust USING (customer_id) GROUP BY ALL"
+    )
+
+
+def _customer(ref: str = "", source: str = "hist SEMI JOIN labcust USING (customer_id)") -> str:
+    return (
+        f"SELECT {ref}customer_id, {_channel('')}, {_price('user_price_hist')}, "
+        "count(*) AS n_buy_hist_all, count(*) FILTER (age_days <= 30) AS n_buy_hist_short_all, "
+        "count(*) FILTER (age_days <= 90) AS n_buy_hist_mid_all, count(*) FILTER (age_days <= 7) AS n_buy_recent_all, "
+        f"min(age_days) AS days_after_buy_all, max(age_days) AS days_from_oldest_buy_all FROM {source} GROUP BY ALL"
+    )
+
+
+def _attribute(
+    key, source: str = "hist JOIN art USING (article_id)", text: bool = True, ref: str = ""
+) -> str:
     cols = ", ".join(f"CAST({c} AS VARCHAR) AS {c}" if text else c for c in key.columns)
     days = {"n_hist": None, "n_recent": 7, "n_short": 30, "n_mid": 90}
     counts = ", ".join(
@@ -248,41 +261,42 @@ def _attribute(key, source: str = "hist JOIN art USING (article_id)", text: bool
         for name, m in key.counts.items()
     )
     return (
-        f"SELECT customer_id, {cols}, {counts}, min(age_days) AS {key.recency} "
+        f"SELECT {ref}customer_id, {cols}, {counts}, min(age_days) AS {key.recency} "
         f"FROM {source} GROUP BY ALL"
     )
 
 
-def _assembled() -> str:
-    """Candidates with one join per key-set, then fills, then derived columns."""
+def _assembled(candidates: str, ref: str = "", h: str = "hist", *more: str) -> str:
+    """Candidates with one join per key-set, then fills, then derived columns. In a replay every
+    key-set also has the week."""
     ctes = [
-        "hart AS (SELECT * FROM hist JOIN art USING (article_id))",
-        f"f1 AS (SELECT article_id, {ARTICLE_COUNTS}, {RECENCY}, {_price('art_price_hist')} FROM hist GROUP BY 1)",
-        f"f1age AS (SELECT article_id, {AGES} FROM hist JOIN cust USING (customer_id) GROUP BY 1)",
-        f"f1mode AS ({MODAL})",
-        f"f1rate AS ({_rebuy('hist', 'article_id', 'customer_id', 'rebuy_rate')})",
-        f"f2 AS ({CODE})",
-        f"f2rate AS ({_rebuy('hart', 'product_code', 'customer_id', 'code_rebuy_rate')})",
-        f"f3 AS ({AGE_GROUP})",
-        f"f4 AS ({AGE_ARTICLE})",
-        f"f5 AS ({CUSTOMER})",
-        f"f5rate AS ({_rebuy('hist', 'customer_id', 'article_id', 'cust_rebuy_rate')})",
-    ]
-    joins = [
-        "LEFT JOIN f1 USING (article_id)", "LEFT JOIN f1age USING (article_id)",
-        "LEFT JOIN f1mode USING (article_id)", "LEFT JOIN f1rate USING (article_id)",
-        "LEFT JOIN f2 USING (product_code)", "LEFT JOIN f2rate USING (product_code)",
-        "LEFT JOIN f3 USING (age_id)", "LEFT JOIN f4 USING (age_id, article_id)",
-        "LEFT JOIN f5 USING (customer_id)", "LEFT JOIN f5rate USING (customer_id)",
+        *more,
+        f"hart AS (SELECT * FROM {h} JOIN art USING (article_id))",
+        f"f1 AS (SELECT {ref}article_id, {ARTICLE_COUNTS}, {RECENCY}, {_price('art_price_hist')} FROM {h} GROUP BY ALL)",
+        f"f1age AS (SELECT {ref}article_id, {AGES} FROM {h} JOIN cust USING (customer_id) GROUP BY ALL)",
+        f"f1mode AS ({_modal(ref, h)})",
+        f"f1rate AS ({_rebuy(h, 'article_id', 'customer_id', 'rebuy_rate', ref)})",
+        f"f2 AS ({_code(ref, h)})",
+        f"f2rate AS ({_rebuy('hart', 'product_code', 'customer_id', 'code_rebuy_rate', ref)})",
+        f"f3 AS ({_age_group(ref, h)})",
+        f"f4 AS ({_age_article(ref, h)})",
+        f"f5 AS ({_customer(ref, h)})",
+        f"f5rate AS ({_rebuy(h, 'customer_id', 'article_id', 'cust_rebuy_rate', ref)})",
     ]
+    keys = {
+        "f1": "article_id", "f1age": "article_id", "f1mode": "article_id", "f1rate": "article_id",
+        "f2": "product_code", "f2rate": "product_code", "f3": "age_id", "f4": "age_id, article_id",
+        "f5": "customer_id", "f5rate": "customer_id",
+    }
+    joins = [f"LEFT JOIN {name} USING ({ref}{key})" for name, key in keys.items()]
     for i, key in enumerate((PAIR, *ATTRIBUTE_KEYS)):
-        ctes.append(f"k{i} AS ({_attribute(key, 'hart', text=False)})")
-        joins.append(f"LEFT JOIN k{i} USING (customer_id, {', '.join(key.columns)})")
+        ctes.append(f"k{i} AS ({_attribute(key, 'hart', text=False, ref=ref)})")
+        joins.append(f"LEFT JOIN k{i} USING ({ref}customer_id, {', '.join(key.columns)})")
     fills = {**dict.fromkeys(zero_filled(), 0), **dict.fromkeys(stale_filled(), 376),
              **dict.fromkeys(CHANNEL_RATES, 1.5)}
     filled = ", ".join(f"coalesce({c}, {v}) AS {c}" for c, v in fills.items())
     ctes.append(
-        "cand AS (SELECT * EXCLUDE (age_id_1, age_id_2) FROM (SELECT customer_id, article_id FROM labcust, pop) "
+        "cand AS (SELECT * EXCLUDE (age_id_1, age_id_2) FROM " + candidates + " "
         "JOIN art USING (article_id) JOIN cust USING (customer_id) " + " ".join(joins) + ")"
     )
     ctes.append(f"filled AS (SELECT * REPLACE ({filled}) FROM cand)")
@@ -376,7 +390,7 @@ def oracles() -> dict[str, str]:
             + f") FROM (SELECT article_id, {ARTICLE_COUNTS} FROM hist GROUP BY 1)"
         ),
         "article_recency": _sql(f"SELECT article_id, {RECENCY} FROM hist GROUP BY 1"),
-        "article_modal_day": _sql(MODAL),
+        "article_modal_day": _sql(_modal()),
         "article_price_age_stats": _sql(
             f"SELECT * REPLACE (round(art_price_hist_mean, 6) AS art_price_hist_mean, "
             f"round(art_price_hist_median, 6) AS art_price_hist_median, round(art_age_hist_mean, 6) AS art_age_hist_mean) "
@@ -395,26 +409,31 @@ def oracles() -> dict[str, str]:
         ),
         "article_decayed_count": _sql("SELECT * FROM f19"),
         "code_features": _sql(
-            f"SELECT c.*, round(code_rebuy_rate, 6) AS code_rebuy_rate FROM ({CODE}) c JOIN ("
+            f"SELECT c.*, round(code_rebuy_rate, 6) AS code_rebuy_rate FROM ({_code()}) c JOIN ("
             + _rebuy("(SELECT * FROM hist JOIN art_raw USING (article_id))", "product_code", "customer_id", "code_rebuy_rate")
             + ") USING (product_code)"
         ),
         "age_group_features": _sql(
             "SELECT * REPLACE (round(age_id_rate_sales_channel_hist, 6) AS age_id_rate_sales_channel_hist, "
             f"round(age_id_price_hist_mean, 6) AS age_id_price_hist_mean, "
-            f"round(age_id_price_hist_median, 6) AS age_id_price_hist_median) FROM ({AGE_GROUP})"
+            f"round(age_id_price_hist_median, 6) AS age_id_price_hist_median) FROM ({_age_group()})"
         ),
-        "age_group_article_features": _sql(AGE_ARTICLE),
+        "age_group_article_features": _sql(_age_article()),
         "customer_features": _sql(
             "SELECT * REPLACE (" + _round(["rate_sales_channel_hist", "rate_sales_channel_recent", "user_price_hist_median", "cust_rebuy_rate"])
-            + f", round(user_price_hist_mean, 6) AS user_price_hist_mean) FROM ({CUSTOMER}) JOIN ("
+            + f", round(user_price_hist_mean, 6) AS user_price_hist_mean) FROM ({_customer()}) JOIN ("
             + _rebuy("hist", "customer_id", "article_id", "cust_rebuy_rate") + ") USING (customer_id)"
         ),
         "customer_article_features": _sql(
             "SELECT * REPLACE (CAST(article_id AS BIGINT) AS article_id) FROM (" + _attribute(PAIR, "hist", text=False) + ")"
         ),
         "candidate_cross_join": _sql("SELECT customer_id, article_id, position FROM labcust, pop"),
-        "candidate_features_assembled": _assembled(),
+        "candidate_features_assembled": _assembled("(SELECT customer_id, article_id FROM labcust, pop)"),
+        "training_features": _assembled(
+            "train", "week, ", "whist",
+            "whist AS (SELECT week, tx.*, date_diff('day', t_dat, ds) AS age_days "
+            "FROM weeks JOIN tx ON t_dat BETWEEN ds - 366 AND ds - 1)",
+        ),
         "positives_decayed": _sql("SELECT * FROM pos"),
         "negatives_sampled": _sql("SELECT * FROM neg"),
         "training_set": _sql("SELECT * FROM train"),

@@ -529,13 +529,15 @@ def intermediate_round_trip(t: Tables) -> DataFrame:
 
 @query("training_features")
 def training_features_query(t: Tables) -> DataFrame:
-    trans = t.transactions()
-    popular = t.popular_by_week()
+    """The labelled rows of all weeks with the features known at the start of their week."""
+    trans, popular = t.transactions(), t.popular_by_week()
     labelled = t.stored("training_set", lambda: training_set(trans, popular, AFTER_LAST, PARAMS))
     pairs = t.stored("weekly_pairs", lambda: weekly_pairs(trans, AFTER_LAST, PARAMS))
-    return training_features(
+    rows = training_features(
         trans, t.articles(), t.customers(), labelled, popular, AFTER_LAST, PARAMS, pairs
     )
+    whole = [*stale_filled(), "art_age_hist_max", "art_age_hist_min", "week"]
+    return rounded(as_long(rows, *whole))
 
 
 @query("ranker_fit_score")
