@@ -209,7 +209,7 @@ ARTICLE_COUNTS = (
 )
 AGES = (
     "avg(age) AS art_age_hist_mean, median(age) AS art_age_hist_median, "
-    "CAST(max(age) AS BIGINT) AS art_age_hist_max, CAST(min(age) AS BIGINT) AS art_age_hist_min"
+    "CAST(max(age) AS DOUBLE) AS art_age_hist_max, CAST(min(age) AS DOUBLE) AS art_age_hist_min"
 )
 RECENCY = "min(age_days) AS art_days_after_buy, max(age_days) AS art_days_from_oldest_buy"
 def _modal(ref: str = "", h: str = "hist") -> str:

@@ -20,7 +20,7 @@ from shelfrank.plans.assembly import all_candidates
 from shelfrank.plans.candidates import (
     customers_by_articles, negatives, popular_by_week, positives, training_set,
 )
-from shelfrank.plans.catalogue import ATTRIBUTE_KEYS, PAIR, stale_filled
+from shelfrank.plans.catalogue import ATTRIBUTE_KEYS, PAIR, STATISTICS, stale_filled
 from shelfrank.plans.clean import enrich
 from shelfrank.plans.flows import predict, train, train_stack
 from shelfrank.plans.ranker import TreeParams, mean_score, shared_top
@@ -194,9 +194,7 @@ def article_price_age_stats(t: Tables) -> DataFrame:
     )
     medians = exact_median(hist, ["article_id"], "price", "art_price_hist_median")
     stats = base.join(medians, "article_id", "left").select(
-        "article_id", *feat.price_stats("art_price_hist"), *[f"art_age_hist_{s}" for s in ("mean", "median")],
-        F.col("art_age_hist_max").cast("long").alias("art_age_hist_max"),
-        F.col("art_age_hist_min").cast("long").alias("art_age_hist_min"),
+        "article_id", *feat.price_stats("art_price_hist"), *[f"art_age_hist_{s}" for s in STATISTICS]
     )
     return rounded(stats)
 
@@ -293,7 +291,7 @@ def _candidate_features(t: Tables) -> DataFrame:
 @query("candidate_features_assembled")
 def candidate_features_assembled(t: Tables) -> DataFrame:
     rows = _candidate_features(t)
-    return rounded(as_long(rows, *stale_filled(), "art_age_hist_max", "art_age_hist_min"))
+    return rounded(as_long(rows, *stale_filled()))
 
 
 @query("positives_decayed")
@@ -536,8 +534,7 @@ def training_features_query(t: Tables) -> DataFrame:
     rows = training_features(
         trans, t.articles(), t.customers(), labelled, popular, AFTER_LAST, PARAMS, pairs
     )
-    whole = [*stale_filled(), "art_age_hist_max", "art_age_hist_min", "week"]
-    return rounded(as_long(rows, *whole))
+    return rounded(as_long(rows, *stale_filled(), "week"))
 
 
 @query("ranker_fit_score")

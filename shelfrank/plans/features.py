@@ -51,8 +51,8 @@ def age_stats_aggregates() -> list[Column]:
     return [
         (F.sum(F.col("age") * F.col("n_hist")) / F.sum(counted)).alias("art_age_hist_mean"),
         F.percentile("age", F.lit(0.5), F.col("n_hist")).alias("art_age_hist_median"),
-        F.max("age").alias("art_age_hist_max"),
-        F.min("age").alias("art_age_hist_min"),
+        F.max("age").cast("double").alias("art_age_hist_max"),
+        F.min("age").cast("double").alias("art_age_hist_min"),
     ]
 
 
