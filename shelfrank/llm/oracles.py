@@ -79,6 +79,21 @@ FROM documents JOIN fill
   ON fill.slot = ('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 15))::BIGINT % 8191
 """
 
+OP10 = r"""
+WITH codes AS (
+  SELECT vec_id, list_transform(embedding, lambda x: coalesce(x > 0, false)::INTEGER) AS code
+  FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) = 64),
+pairs AS (
+  SELECT q.vec_id AS query_id, r.vec_id AS neighbor_id,
+    list_sum(list_transform(range(1, 65), lambda i: abs(q.code[i] - r.code[i])))::BIGINT AS distance
+  FROM codes q, codes r WHERE q.vec_id % 20 = 0)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbor_id) AS rank,
+  neighbor_id, distance
+FROM pairs QUALIFY rank <= 10
+"""
+
 
 def oracles() -> dict[str, str]:
-    return {"op5_chat_format": OP5, "op6_line_dedup": OP6, "op7_sharding": OP7}
+    return {
+        "op5_chat_format": OP5, "op6_line_dedup": OP6, "op7_sharding": OP7, "op10_hamming_topk": OP10,
+    }

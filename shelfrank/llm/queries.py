@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfrank.llm.chat_format import chat_digests, format_chats
+from shelfrank.llm.hamming_search import sign_codes, top_k
 from shelfrank.llm.line_dedup import drop_boilerplate
 from shelfrank.llm.sharding import place
 from shelfrank.session import tune
@@ -52,3 +53,10 @@ def op6_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 def op7_sharding(spark: SparkSession, folder: str) -> DataFrame:
     """The shard of every document."""
     return place(read(spark, folder, "documents").select("doc_id", "n_chars"), "doc_id", SHARDS)
+
+
+@query
+def op10_hamming_topk(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten nearest rows, by signs of components, of every row whose id is divisible by 20."""
+    codes = sign_codes(read(spark, folder, "embeddings"), "vec_id", "embedding", bits=64)
+    return top_k(codes.where(F.col("id") % 20 == 0), codes, k=10)
