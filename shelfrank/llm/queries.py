@@ -1,10 +1,13 @@
 """Registered queries of this package: each takes (session, folder) and returns a DataFrame."""
 
 from collections.abc import Callable
+from pathlib import Path
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfrank.llm.bpe import encode_documents
 from shelfrank.llm.chat_format import chat_digests, format_chats
 from shelfrank.llm.hamming_search import sign_codes, top_k
 from shelfrank.llm.line_dedup import drop_boilerplate
@@ -32,6 +35,10 @@ def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
 
+def tokenizer_json(name: str = "byte_bpe_50k.json") -> str:
+    return Path(public_tokenizers.path(name)).read_text(encoding="utf-8")
+
+
 @query
 def op5_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     """All conversations, and one whose texts are control strings of the template."""
@@ -67,3 +74,9 @@ def op10_hamming_topk(spark: SparkSession, folder: str) -> DataFrame:
 def op4_warc(spark: SparkSession, folder: str) -> DataFrame:
     """Every page written to WARC archives and read back."""
     return archive_pages(read(spark, folder, "pages"))
+
+
+@query
+def op8_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document encoded and decoded."""
+    return encode_documents(read(spark, folder, "documents"), tokenizer_json())
