@@ -12,6 +12,7 @@ from shelfrank.llm.chat_format import chat_digests, format_chats
 from shelfrank.llm.hamming_search import sign_codes, top_k
 from shelfrank.llm.line_dedup import drop_boilerplate
 from shelfrank.llm.sharding import place
+from shelfrank.llm.substring_dedup import repeated_runs
 from shelfrank.llm.toxicity import learn, score
 from shelfrank.llm.warc import archive_pages
 from shelfrank.session import tune
@@ -88,3 +89,9 @@ def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     """Scores of all documents by a model learned from the labels that are not held out."""
     documents = read(spark, folder, "documents")
     return score(documents, learn(documents, read(spark, folder, "labels")))
+
+
+@query
+def op1_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Repeated passages of all documents."""
+    return repeated_runs(read(spark, folder, "documents"))

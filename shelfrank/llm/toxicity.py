@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from shelfrank.llm.scratch import Scratch
 
 TRAIN_ROWS = 200_000  # labelled rows learned from at most: the bound of what is broadcast
-PRIOR = 0.1  # weight of the Dirichlet prior as a share of the counts
-MIN_Z = 3.0
+PRIOR = 0.05  # weight of the Dirichlet prior as a share of the counts
+MIN_Z = 4.0
 PREFIXES = (4, 5, 6)  # letters
 EVIDENCE_STEP, MAX_EVIDENCE = 0.05, 60.0
 CUT = 0.7
