@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from shelfrank.llm.bpe import encode_documents
 from shelfrank.llm.chat_format import chat_digests, format_chats
+from shelfrank.llm.decontaminate import find_items
 from shelfrank.llm.hamming_search import sign_codes, top_k
 from shelfrank.llm.line_dedup import drop_boilerplate
 from shelfrank.llm.sharding import place
@@ -95,3 +96,9 @@ def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 def op1_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Repeated passages of all documents."""
     return repeated_runs(read(spark, folder, "documents"))
+
+
+@query
+def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """The benchmark items that each document holds."""
+    return find_items(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
