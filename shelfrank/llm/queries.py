@@ -11,6 +11,7 @@ from shelfrank.llm.bpe import encode_documents
 from shelfrank.llm.chat_format import chat_digests, format_chats
 from shelfrank.llm.decontaminate import find_items
 from shelfrank.llm.hamming_search import sign_codes, top_k
+from shelfrank.llm.jaccard_join import classify
 from shelfrank.llm.line_dedup import drop_boilerplate
 from shelfrank.llm.sharding import place
 from shelfrank.llm.substring_dedup import repeated_runs
@@ -102,3 +103,9 @@ def op1_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
 def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     """The benchmark items that each document holds."""
     return find_items(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
+
+
+@query
+def op3_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    """The class and the number of near duplicates of every document."""
+    return classify(read(spark, folder, "documents")).drop("text_hash")
