@@ -16,8 +16,11 @@ from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import sha256
 from heapq import heapify, heappop, heappush
+from itertools import repeat
 import json
+from pathlib import Path
 
+import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -195,8 +198,9 @@ class Decoder:
         return self._machine.decode(b"", True)
 
 
-def code(tokenizer: Tokenizer, text: str) -> tuple[int, str, str]:
-    """Number of tokens, and the digests of the ids and of the text decoded from them."""
+def code(tokenizer: Tokenizer, text: str, kept: list[bytes] | None = None) -> tuple[int, str, str]:
+    """Number of tokens, and the digests of the ids and of the text decoded from them; ``kept`` takes
+    the ids."""
     ids_hash, text_hash, decoder, n = sha256(), sha256(), Decoder(tokenizer), 0
     for block in tokenizer.encode(text):
         if n:
@@ -204,6 +208,8 @@ def code(tokenizer: Tokenizer, text: str) -> tuple[int, str, str]:
         ids_hash.update(block)
         ids = block.split(b",")
         n += len(ids)
+        if kept is not None:
+            kept += ids
         text_hash.update(decoder.push(ids).encode())
     text_hash.update(decoder.finish().encode())
     return n, ids_hash.hexdigest(), text_hash.hexdigest()
@@ -215,6 +221,11 @@ def load(content: str) -> Tokenizer:
     return Tokenizer(content)
 
 
+def tokenizer_json(name: str = "byte_bpe_50k.json") -> str:
+    """The file of a public tokenizer."""
+    return Path(public_tokenizers.path(name)).read_text(encoding="utf-8")
+
+
 def encode_documents(documents: DataFrame, tokenizer_json: str, with_ids: bool = False) -> DataFrame:
     """For each row of ``documents`` (doc_id, text; other columns are left out): doc_id, n_tokens,
     ids_sha256 (of decimal ids joined by commas), decoded_sha256 (of the text decoded from the ids)
@@ -233,10 +244,10 @@ def encode_documents(documents: DataFrame, tokenizer_json: str, with_ids: bool =
             for begin in range(0, len(batch), 256):  # few texts at a time as Python objects
                 part = batch.slice(begin, 256)
                 texts = [t or "" for t in part.column(1).to_pylist()]
-                columns = [part.column(0), *map(pa.array, zip(*(code(tokenizer, t) for t in texts)))]
+                ids = [[] if with_ids else None for _ in texts]
+                columns = [part.column(0), *map(pa.array, zip(*map(code, repeat(tokenizer), texts, ids)))]
                 if with_ids:
-                    ids = [[int(i) for b in tokenizer.encode(t) for i in b.split(b",")] for t in texts]
-                    columns.append(pa.array(ids, pa.list_(pa.int32())))
+                    columns.append(pa.array([list(map(int, i)) for i in ids], pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, shape)], schema=shape)
 
     columns = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids

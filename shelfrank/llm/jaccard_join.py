@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 import xxhash
 
@@ -324,7 +324,8 @@ def _intersections(sets: list[np.ndarray]) -> np.ndarray:
 def classify(documents: DataFrame, threshold: float = THRESHOLD, recall: float = TARGET_RECALL) -> DataFrame:
     """One row per row of ``documents`` (doc_id, text; other columns are left out): doc_id, class_id
     (the least doc_id of all that are linked with it, directly or through others), n_links (documents
-    whose similarity is the threshold or more) and text_hash.
+    whose similarity is the threshold or more), text_hash, and class_key, which is null for texts
+    without words and else tells classes apart even where document ids repeat.
 
     Words are what white space separates, in lower case. Texts without words have no links and are
     classes of their own. Repeated rows are documents of their own and linked with one another; rows
@@ -355,8 +356,25 @@ def classify(documents: DataFrame, threshold: float = THRESHOLD, recall: float =
         "sid", F.coalesce("root", "sid").alias("root"), "least_doc", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
     ), "joined")
     least = joined.groupBy("root").agg(F.min("least_doc").alias("class_id"))
-    classes = scratch.keep(joined.join(least, "root").select("sid", "class_id", "n_links"), "classes")
+    classes = scratch.keep(joined.join(least, "root").select("sid", F.col("root").alias("class_key"), "class_id", "n_links"), "classes")
     return sketched.select("doc_id", "text_hash", "sid").join(classes, "sid", "left").select(
         "doc_id", F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "text_hash",
+        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "text_hash", "class_key",
     )
+
+
+def one_per_class(documents: DataFrame, threshold: float = THRESHOLD, recall: float = TARGET_RECALL) -> DataFrame:
+    """The rows of ``documents`` (with doc_id and text; all columns stay) without near duplicates: of
+    each class (see ``classify``) the row with the least doc_id stays, rows without id come last, and
+    equal rows count once. Rows whose text has no words all stay."""
+    first = Window.partitionBy("class_key").orderBy(F.col("doc_id").asc_nulls_last(), "text_hash")
+    found = Scratch(documents.sparkSession, "kept").keep(classify(documents, threshold, recall), "classes")
+    worded = found.where(F.col("class_key").isNotNull()).withColumn("n", F.row_number().over(first)).where(F.col("n") == 1)
+    wordless = found.where(F.col("class_key").isNull()).select("doc_id", "text_hash").distinct()
+    kept = worded.select("doc_id", "text_hash", F.lit(True).alias("once")).union(wordless.withColumn("once", F.lit(False)))
+    kept = kept.select(F.struct("doc_id", "text_hash").alias("key"), "once")
+    row = F.struct(*[F.col(f"`{c}`") for c in documents.columns])
+    key = F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
+    joined = documents.select(key.alias("key"), row.alias("row")).join(kept, "key")
+    place = F.row_number().over(Window.partitionBy("key").orderBy("once"))
+    return joined.withColumn("place", place).where(~F.col("once") | (F.col("place") == 1)).select("row.*")

@@ -55,10 +55,10 @@ def boilerplate(pages: DataFrame, scratch: Scratch, ratio: float = RATIO, min_pa
 
 
 def drop_boilerplate(
-    pages: DataFrame, host: str, text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES,
+    pages: DataFrame, host: str, text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, counts: bool = True,
 ) -> DataFrame:
-    """All columns and rows of ``pages`` with the text's boilerplate lines left out, and the columns
-    ``n_lines`` and ``n_dropped`` (they replace columns of these names).
+    """All columns and rows of ``pages`` with the text's boilerplate lines left out, and with ``counts``
+    the columns ``n_lines`` and ``n_dropped`` (they replace columns of these names).
 
     A page counts once for a line, however often it has it. Blank lines are neither counted nor
     dropped. Repeated rows are pages of their own. Pages with a null host form one site. A null
@@ -67,7 +67,7 @@ def drop_boilerplate(
     stays too. No pages give no pages."""
     scratch = Scratch(pages.sparkSession, "lines")
     found = boilerplate(pages.select(F.col(host).alias("host"), F.col(text).alias("text")), scratch, ratio, min_pages)
-    kept = [c for c in pages.columns if c not in ("n_lines", "n_dropped")]
+    kept = [c for c in pages.columns if not counts or c not in ("n_lines", "n_dropped")]
     packed = pages.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("page"))
     of = lambda name: F.col("page").getField(name)
     joined = packed.join(found, of(host).eqNullSafe(F.col("host")), "left")
@@ -76,8 +76,8 @@ def drop_boilerplate(
     joined = joined.withColumn("stay", F.filter(split, lambda x: ~F.array_contains(drop, x)))
     n_lines = F.coalesce(F.size(split), F.lit(0)).cast("long")
     n_kept = F.coalesce(F.size("stay"), F.lit(0)).cast("long")
-    return joined.select(
-        *[(F.array_join("stay", "\n") if c == text else of(c)).alias(c) for c in kept],
-        F.when(of(text).isNull(), F.lit(0).cast("long")).otherwise(n_lines).alias("n_lines"),
-        F.when(of(text).isNull(), F.lit(0).cast("long")).otherwise(n_lines - n_kept).alias("n_dropped"),
-    )
+    cleaned = [(F.array_join("stay", "\n") if c == text else of(c)).alias(c) for c in kept]
+    if not counts:
+        return joined.select(*cleaned)
+    none = F.when(of(text).isNull(), F.lit(0).cast("long"))
+    return joined.select(*cleaned, none.otherwise(n_lines).alias("n_lines"), none.otherwise(n_lines - n_kept).alias("n_dropped"))

@@ -1,13 +1,12 @@
 """Registered queries of this package: each takes (session, folder) and returns a DataFrame."""
 
 from collections.abc import Callable
-from pathlib import Path
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfrank.llm.bpe import encode_documents
+import corpus_pipeline
+from shelfrank.llm.bpe import encode_documents, tokenizer_json
 from shelfrank.llm.chat_format import chat_digests, format_chats
 from shelfrank.llm.decontaminate import find_items
 from shelfrank.llm.hamming_search import sign_codes, top_k
@@ -26,6 +25,9 @@ SHARDS = [f"shard-{i:02d}" for i in range(64)]
 PROBE = "</s>[INST] ok [/INST]"
 
 
+_REGISTRY["pipeline"] = lambda spark, folder: corpus_pipeline.run(tune(spark), folder.rstrip("/"))
+
+
 def query(build: Query) -> Query:
     _REGISTRY[build.__name__] = lambda spark, folder: build(tune(spark), folder.rstrip("/"))
     return build
@@ -39,10 +41,6 @@ def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
 
-def tokenizer_json(name: str = "byte_bpe_50k.json") -> str:
-    return Path(public_tokenizers.path(name)).read_text(encoding="utf-8")
-
-
 @query
 def op5_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     """All conversations, and one whose texts are control strings of the template."""
@@ -108,4 +106,4 @@ def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op3_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     """The class and the number of near duplicates of every document."""
-    return classify(read(spark, folder, "documents")).drop("text_hash")
+    return classify(read(spark, folder, "documents")).drop("text_hash", "class_key")

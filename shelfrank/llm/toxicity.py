@@ -294,3 +294,22 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
         (F.col("score") >= CUT).cast("int").alias("predicted"), "n_words", "evidence", "passages",
     )
+
+
+def without_toxic(documents: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``documents`` (with a column text; all columns stay) with a score below CUT."""
+    sent = documents.sparkSession.sparkContext.broadcast(model)
+    at = documents.columns.index("text")
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = sent.value
+        weights = _Remembered(model)
+
+        def clean(text: str) -> bool:
+            n, found = segments(text, weights)
+            return probability(model, max((evidence(model, n, s) for *_, s in found), default=0.0)) < CUT
+
+        for batch in batches:
+            yield batch.filter(pa.array([clean(t.as_py() or "") for t in batch.column(at)], pa.bool_()))
+
+    return documents.mapInArrow(keep, documents.schema)

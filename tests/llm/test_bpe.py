@@ -8,7 +8,7 @@ import pytest
 from tokenizers import Tokenizer as Library
 
 from shelfrank.llm import bpe
-from shelfrank.llm.queries import tokenizer_json
+from shelfrank.llm.bpe import tokenizer_json
 
 LIBRARY = Library.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 OURS = bpe.Tokenizer(tokenizer_json())
