@@ -1,6 +1,5 @@
 """SQL that each registered query must agree with, run by DuckDB over the same tables."""
 
-from shelfrank.operators.sample import STEPS
 from shelfrank.plans.catalogue import (
     ATTRIBUTE_KEYS, CHANNEL_RATES, PAIR, TREND_SUFFIXES, stale_filled, zero_filled,
 )
@@ -79,14 +78,17 @@ pos AS (
   SELECT DISTINCT week, customer_id, article_id, round(CAST(1 - 0.05 * week AS DOUBLE), 6) AS target
   FROM weeks JOIN tx ON t_dat BETWEEN ds AND ds + 6 JOIN popw USING (week, article_id)),
 buyers AS (
-  SELECT week, customer_id, size, customer_id % 1000003 AS num
+  SELECT week, customer_id, size, customer_id % 2147483647 AS num
   FROM (SELECT DISTINCT week, customer_id FROM pos)
   JOIN (SELECT week, max(position) AS size FROM popw GROUP BY 1) USING (week)),
+steps AS ( -- the first 1009 primes from 15485863 on
+  SELECT p FROM range(15485863, 15485863 + 40360) t(p)
+  WHERE NOT EXISTS (SELECT 1 FROM range(2, 3941) u(d) WHERE p % d = 0) ORDER BY p LIMIT 1009),
 neg AS (
   SELECT week, customer_id, article_id, CAST(0 AS DOUBLE) AS target FROM (
     SELECT week, customer_id,
       (num * 7919 + week * 104729 + {PARAMS.seed}
-        + d * list_extract([{', '.join(map(str, STEPS))}], (num + week) % {len(STEPS)} + 1)) % size + 1 AS position
+        + d * list_extract((SELECT list(p ORDER BY p) FROM steps), (num * 31 + week * 17) % 1009 + 1)) % size + 1 AS position
     FROM buyers JOIN range({PARAMS.n_negatives}) r(d) ON d < size)
   JOIN popw USING (week, position)),
 train AS (

@@ -553,8 +553,8 @@ def ranker_oof(t: Tables) -> DataFrame:
 
 
 def _oof(t: Tables) -> DataFrame:
-    """The stored out-of-fold scores, made if there are none yet."""
-    return t.store.reuse("out_of_fold", DS.isoformat(), lambda: ranker_oof(t))
+    """The stored out-of-fold scores; ``train_stack`` makes and stores them if there are none yet."""
+    return ranker_oof(t)
 
 
 @query("ranker_top30")

@@ -25,7 +25,7 @@ def frequency_codes(counts: DataFrame, c: str, name: str, rare_limit: int) -> Da
     """Code table: 0 for values seen ``rare_limit`` times or less, the others 1, 2 ... by
     falling count (ties in value order)."""
     common = counts.where(F.col("cnt") > rare_limit)
-    ranked = number_rows(common, [("cnt", False), (c, True)], c, name)
+    ranked = number_rows(common, [("cnt", False), (c, True)], name)
     rare = counts.where(F.col("cnt") <= rare_limit).select(c, "cnt", F.lit(0).cast("long").alias(name))
     return rare.unionByName(ranked.select(c, "cnt", name))
 
@@ -33,7 +33,7 @@ def frequency_codes(counts: DataFrame, c: str, name: str, rare_limit: int) -> Da
 def ordinal_codes(df: DataFrame, c: str, name: str) -> DataFrame:
     """Code table: the distinct values numbered 0, 1 ... in sorted order."""
     values = df.where(F.col(c).isNotNull()).select(c).distinct()
-    ranked = number_rows(values, [(c, True)], c, name)
+    ranked = number_rows(values, [(c, True)], name)
     return ranked.select(c, (F.col(name) - 1).cast("int").alias(name))
 
 

@@ -9,7 +9,7 @@ from shelfrank.operators.ordering import number_rows
 def consecutive_group_ids(df: DataFrame, keys: list[str], name: str) -> DataFrame:
     """One row per distinct key: its size and its number 0, 1 ... in key order."""
     sizes = df.groupBy(*keys).agg(F.count("*").alias("group_size"))
-    numbered = number_rows(sizes, [(k, True) for k in keys], keys[0], name)
+    numbered = number_rows(sizes, [(k, True) for k in keys], name)
     return numbered.withColumn(name, F.col(name) - 1)
 
 
@@ -22,7 +22,7 @@ def balanced_folds(df: DataFrame, key: str, n_folds: int, name: str = "fold") ->
     """Fold per key so that folds get about as many rows: keys by falling size are dealt
     forwards and backwards in turn. One row per key."""
     sizes = df.groupBy(key).agg(F.count("*").alias("group_size"))
-    dealt = number_rows(sizes, [("group_size", False), (key, True)], key, "_place")
+    dealt = number_rows(sizes, [("group_size", False), (key, True)], "_place")
     at = F.col("_place") - 1
     turn = F.floor(at / n_folds) % 2
     place = at % n_folds

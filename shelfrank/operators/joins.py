@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 # times the width of a row is at most this. Tables whose size depends on the data carry no hint: Spark measures them at
 # run time and broadcasts, sort-merges or splits a skewed partition accordingly.
 BROADCAST_BYTES = 128 * 1024 * 1024
-KEY_BYTES = 64  # a row of keys and a few numbers
+KEY_BYTES = 160  # a row of two text keys and a few numbers
 SPREAD = 64
 
 
@@ -37,17 +37,25 @@ def bounded(df: DataFrame, max_rows: int, row_bytes: int = KEY_BYTES) -> DataFra
     return F.broadcast(df) if fits(max_rows, row_bytes) else df
 
 
+def longest(listed: DataFrame, position: str) -> int:
+    """The largest position of a list."""
+    return listed.agg(F.max(position)).first()[0] or 0
+
+
 def pair_with_list(
-    rows: DataFrame, listed: DataFrame, n_listed: int, position: str, block: int, spread_by: str,
-    row_bytes: int = KEY_BYTES,
+    rows: DataFrame, listed: DataFrame, position: str, block: int, spread_by: str,
+    row_bytes: int = KEY_BYTES, n_listed: int | None = None,
 ) -> DataFrame:
-    """Give every row of ``rows`` every entry of a list of at most ``n_listed`` entries.
+    """Give every row of ``rows`` every entry of a list.
 
-    ``position`` numbers the list from 1. Rows are expanded per block of the list and meet its
+    ``position`` numbers the list from 1. Its largest value is looked up, so ``listed`` should be a
+    stored or settled table, unless the caller knows it (``n_listed``). Rows are expanded per block of the list and meet its
     entries through an equi-join on the block number, so ``rows`` is neither moved nor sorted
     while the list is small enough to broadcast. A longer list is copied ``SPREAD`` times and
     joined by shuffle, which spreads each block over as many tasks."""
-    n_blocks = -(-n_listed // block)
+    if n_listed is None:
+        n_listed = longest(listed, position)
+    n_blocks = max(1, -(-n_listed // block))
     left = rows.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
     right = listed.withColumn("_block", F.floor((F.col(position) - 1) / block).cast("int"))
     if fits(n_listed, row_bytes):

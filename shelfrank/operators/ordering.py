@@ -11,16 +11,10 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from shelfrank.session import shared_folder
 
-N_BUCKETS = 256  # a power of two
-# The built-in median keeps a counter per distinct value of a group in one task's memory; it is
-# used when the whole table is known to be at most this long.
-ONE_GROUP_ROWS = 1_000_000
-# A table known to be at most this long may be ordered in one task.
-ONE_TASK_ROWS = 200_000
+ROWS_PER_PART = 1_000_000  # rows that one task orders
 
 
 def settle(df: DataFrame) -> DataFrame:
@@ -29,20 +23,6 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def order_number(df: DataFrame, c: str) -> Column:
-    """A number that sorts like the column (ties allowed), for cutting buckets."""
-    kind = df.schema[c].dataType
-    if isinstance(kind, T.NumericType):
-        return F.col(c).cast("double")
-    if isinstance(kind, T.StringType):
-        # the first six bytes of the text, read as a number
-        head = F.rpad(F.substring(F.hex(F.encode(F.col(c), "utf-8")), 1, 12), 12, "0")
-        return F.conv(head, 16, 10).cast("double")
-    if isinstance(kind, T.DateType):
-        return F.unix_date(c).cast("double")
-    raise TypeError(f"no order number for {kind}")
-
-
 @dataclass(frozen=True)
 class Cuts:
     """Number of rows and the values that cut a column into about equal parts."""
@@ -51,11 +31,13 @@ class Cuts:
     bounds: list[float]
 
 
-def range_cuts(df: DataFrame, c: str, n_buckets: int = N_BUCKETS) -> Cuts:
+def range_cuts(df: DataFrame, c: str, rows_per_part: int = ROWS_PER_PART) -> Cuts:
+    """Cuts of a numeric column for one bucket per ``rows_per_part`` rows, 16 at least."""
+    rows = df.count()
+    n_buckets = 1 << max(4, (rows // rows_per_part).bit_length())
     shares = [i / n_buckets for i in range(1, n_buckets)]
-    bounds = F.percentile_approx(order_number(df, c), shares, 8 * n_buckets)
-    found = df.agg(F.count("*").alias("n"), bounds.alias("bounds")).first()
-    return Cuts(found["n"], found["bounds"] or [0.0] * (n_buckets - 1))
+    bounds = df.agg(F.percentile_approx(F.col(c).cast("double"), shares, 8 * n_buckets)).first()[0]
+    return Cuts(rows, bounds or [0.0] * (n_buckets - 1))
 
 
 def with_bucket(df: DataFrame, c: str, name: str, cuts: Cuts) -> DataFrame:
@@ -66,7 +48,7 @@ def with_bucket(df: DataFrame, c: str, name: str, cuts: Cuts) -> DataFrame:
         step //= 2
     # one text constant keeps the plan short while it is analysed; it is folded to an array
     bounds = F.split(F.lit(",".join(map(repr, cuts.bounds))), ",").cast("array<double>")
-    number = order_number(df, c)
+    number = F.col(c).cast("double")
     bucket = F.aggregate(  # binary search
         F.array(*steps),
         F.lit(0),
@@ -77,45 +59,33 @@ def with_bucket(df: DataFrame, c: str, name: str, cuts: Cuts) -> DataFrame:
 
 
 def number_rows(
-    df: DataFrame, order: list[tuple[str, bool]], cut_by: str, name: str,
-    one_task_rows: int = ONE_TASK_ROWS,
+    df: DataFrame, order: list[tuple[str, bool]], name: str, rows_per_part: int = ROWS_PER_PART,
 ) -> DataFrame:
-    """Number all rows from 1 in the order of (column, ascending) pairs.
+    """Number all rows from 1 in the order of (column, ascending) pairs, which should leave no ties.
 
-    A short table is ordered directly. A longer one is split by the columns before ``cut_by``
-    (which must have few distinct values) and the ordered buckets of ``cut_by``: the sizes of
-    these parts are summed up in one place, rows are ordered within a part."""
-    rows = settle(df)
+    Rows are dealt into ranges of the whole order (Spark samples the bounds), the sizes of the ranges
+    are summed up in one place, and rows are ordered within their range."""
     sort = [F.col(c).asc() if up else F.col(c).desc() for c, up in order]
-    if rows.count() <= one_task_rows:
-        return rows.withColumn(name, F.row_number().over(Window.orderBy(*sort)).cast("long"))
-    names = [c for c, _ in order]
-    at = names.index(cut_by)
-    parts = [*names[:at], "_bucket"]
-    part_order = [*sort[:at], F.col("_bucket").asc() if order[at][1] else F.col("_bucket").desc()]
-    bucketed = with_bucket(rows, cut_by, "_bucket", range_cuts(rows, cut_by))
-    before = Window.orderBy(*part_order).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        bucketed.groupBy(*parts)
-        .agg(F.count("*").alias("_n"))
-        .select(*parts, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    rows = settle(df)
+    parts = rows.count() // rows_per_part + 1
+    dealt = settle(rows.repartitionByRange(parts, *sort).withColumn("_part", F.spark_partition_id()))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = dealt.groupBy("_part").agg(F.count("*").alias("_n")).select(
+        "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")
     )
-    inside = Window.partitionBy(*parts).orderBy(*sort[at:])
+    inside = Window.partitionBy("_part").orderBy(*sort)
     return (
-        bucketed.join(offsets, parts)
+        dealt.join(offsets, "_part")
         .withColumn(name, F.col("_before") + F.row_number().over(inside))
-        .drop("_before", "_bucket")
+        .drop("_before", "_part")
     )
 
 
 def exact_median(
     df: DataFrame, keys: list[str], value: str, name: str, cuts: Cuts | None = None,
-    one_group_rows: int = ONE_GROUP_ROWS,
 ) -> DataFrame:
-    """Exact median per group; a group may hold most of the table.
-
-    ``cuts`` may come from any table that holds these rows. If that is short, no group can be
-    long and the built-in median does. Otherwise:
+    """Exact median per group; a group may hold most of the table. ``cuts`` may come from any table
+    that holds these rows.
 
     Equal values are merged into counts before the shuffle, bucket totals locate the bucket of
     the middle ranks, and only that bucket's values are ordered."""
@@ -123,8 +93,6 @@ def exact_median(
     for c in rows.columns:
         rows = rows.where(F.col(c).isNotNull())
     cuts = cuts or range_cuts(rows, "_v")
-    if cuts.rows <= one_group_rows:
-        return rows.groupBy(*keys).agg(F.median("_v").alias(name))
     counts = (
         with_bucket(rows, "_v", "_bucket", cuts)
         .groupBy(*keys, "_bucket", "_v")
@@ -170,10 +138,14 @@ def exact_median(
     )
 
 
+DAYS = 1 << 20  # more than any age
+
+
 def modal_day_age(df: DataFrame, keys: list[str], age: str, name: str) -> DataFrame:
-    """Age of the day with most rows per group; the latest of tied days."""
+    """Age of the day with most rows per group; the latest of tied days. Count and age are packed
+    into one number, so that the maximum is found by hashing."""
     daily = df.groupBy(*keys, age).agg(F.count("*").alias("_n"))
-    best = F.max(F.struct(F.col("_n"), (-F.col(age)).alias("_newest")))
+    best = F.max(F.col("_n") * DAYS - F.col(age))
     return daily.groupBy(*keys).agg(best.alias("_best")).select(
-        *keys, (-F.col("_best._newest")).alias(name)
+        *keys, F.pmod(-F.col("_best"), F.lit(DAYS)).cast("int").alias(name)
     )

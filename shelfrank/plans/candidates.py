@@ -41,11 +41,9 @@ def label_customers(trans: DataFrame, ds: date, params: RecoParams) -> DataFrame
 
 
 def customers_by_articles(
-    customers: DataFrame, listed: DataFrame, params: RecoParams, n_listed: int | None = None
+    customers: DataFrame, listed: DataFrame, params: RecoParams
 ) -> DataFrame:
-    return pair_with_list(
-        customers, listed, n_listed or params.n_popular, "position", params.block, "customer_id"
-    )
+    return pair_with_list(customers, listed, "position", params.block, "customer_id")
 
 
 def _listed(popular: DataFrame, params: RecoParams) -> DataFrame:

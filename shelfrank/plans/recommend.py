@@ -66,7 +66,7 @@ def additive_top_k(
     bases and the customer's own pairs hold the whole answer."""
     order = [F.desc("base"), F.asc("article_id")]
     head = top_n(articles.select("article_id", "base"), k, order, "position")
-    shown = pair_with_list(customers, head, k, "position", k, "customer_id").select(
+    shown = pair_with_list(customers, head, "position", k, "customer_id", n_listed=k).select(
         *PAIR, "base", F.lit(0.0).alias("bonus")
     )
     own = pairs.join(bounded(articles.select("article_id", "base"), n_listed), "article_id").select(

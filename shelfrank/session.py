@@ -5,6 +5,8 @@ import tempfile
 
 from pyspark.sql import SparkSession
 
+_LOCAL_FOLDERS: dict[str, str] = {}  # by application
+
 # SQL settings that can be set on a live session.
 RUNTIME_SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -13,9 +15,6 @@ RUNTIME_SETTINGS = {
     # Split a skewed join partition even where that costs one more exchange: a hot key may
     # hold a third of the rows.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
-    # Medians and map columns keep small buffers; the default of 128 groups before sorting
-    # instead would sort nearly every partition.
-    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "4096",
 }
 
 
@@ -45,11 +44,16 @@ def local_session(cores: str = "8", app: str = "shelfrank", memory: str = "12g")
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder for intermediate tables: the one the cluster names, else a local one for tests."""
+    """Folder for intermediate tables: the one that spark.checkpoint.dir names. Only where it is unset
+    and all executors are threads of this process, as in tests, a temporary folder does."""
+    context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        named = Path(tempfile.mkdtemp(prefix="shelfrank-")).as_uri()
-        spark.conf.set("spark.checkpoint.dir", named)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(named)
+        if not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = _LOCAL_FOLDERS.get(context.applicationId)
+    if not named:
+        named = _LOCAL_FOLDERS[context.applicationId] = Path(tempfile.mkdtemp(prefix="shelfrank-")).as_uri()
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(named)
     return named.rstrip("/")

@@ -5,7 +5,6 @@ See FIXTURES.md for the mapping.
 
 from collections.abc import Callable
 from datetime import date
-import hashlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,8 +42,7 @@ class Tables:
 
     def __init__(self, spark: SparkSession, folder: str, params: RecoParams = PARAMS):
         self.spark, self.folder, self.params = spark, folder.rstrip("/"), params
-        source = hashlib.sha1(self.folder.encode()).hexdigest()[:12]
-        self.store = TableStore(spark, f"{TableStore(spark).root}/{source}")
+        self.store = TableStore(spark).about(self.folder, params)
 
     def stored(
         self, name: str, make: Callable[[], DataFrame],
@@ -75,8 +73,9 @@ class Tables:
         )
 
     def make_transactions(self, oldest: date = OLDEST) -> DataFrame:
-        order = ["l_orderkey", "l_linenumber", "price", "l_linestatus"]
-        return load_transactions(self.purchases(), oldest, order)
+        # a line's number within its order is far below 1024
+        line = F.col("l_orderkey").cast("long") * 1024 + F.col("l_linenumber")
+        return load_transactions(self.purchases().withColumn("line", line), oldest, ["line"], unique=True)
 
     def transactions(self) -> DataFrame:
         """Files are sorted by day: a look-back reads the pages of its days only."""
@@ -159,14 +158,14 @@ class Tables:
 
     # --- score tables -------------------------------------------------------------------------
 
-    def _for_everyone(self, listed: DataFrame, n: int) -> DataFrame:
-        return customers_by_articles(self.label_customers(), listed, self.params, n)
+    def _for_everyone(self, listed: DataFrame) -> DataFrame:
+        return customers_by_articles(self.label_customers(), listed, self.params)
 
     def _popularity_scores(self, measure: str, score: str) -> DataFrame:
         counts = decayed_article_features(self.hist(), self.lengths()).where(F.col(measure) > 0)
         scored = counts.select("article_id", F.round(F.col(measure).cast("double"), 6).alias(score))
         top = top_n(scored, 40, [F.desc(score), F.asc("article_id")], "position")
-        return self._for_everyone(top, 40).select("customer_id", "article_id", score)
+        return self._for_everyone(top).select("customer_id", "article_id", score)
 
     def score_tables(self) -> dict[str, DataFrame]:
         """Raw score tables of four simple models, each in its own format."""
@@ -179,7 +178,7 @@ class Tables:
         listed = self.popular().where(F.col("position") <= 100)
         mixed = F.col("customer_id") * 7919 + F.col("article_id") * 104729
         oof = (mixed % 1009) / 1009.0
-        hashed = self._for_everyone(listed, 100).select(
+        hashed = self._for_everyone(listed).select(
             "customer_id", "article_id",
             F.when(mixed % 1009 == 0, -1.0).otherwise(oof).alias("oof"),
             F.col("position").alias("oof_rank"),

@@ -1,6 +1,8 @@
 """Intermediate tables in the shared folder, and restartable output."""
 
 from collections.abc import Callable
+from hashlib import sha1
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -8,24 +10,41 @@ from pyspark.sql import functions as F
 from shelfrank.session import shared_folder
 
 
+def identity(part: object) -> str:
+    """What tells inputs and parameters apart: of a table its files and its plan, else the text."""
+    if not isinstance(part, DataFrame):
+        return repr(part)
+    plan = part._jdf.queryExecution().optimizedPlan().canonicalized().toString()
+    return f"{sorted(part.inputFiles())} {plan}"
+
+
 class TableStore:
     """Parquet tables named by what they hold and the day they start at.
 
     Without a root, tables live in the shared folder under this application's own name, so they
-    are never stale; give a root to reuse tables across applications."""
+    are never stale; give a root to reuse tables across applications. ``about`` narrows a store to
+    tables made with the given parameters and from the given inputs."""
 
     def __init__(self, spark: SparkSession, root: str | None = None):
         self.spark = spark
         own = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}"
         self.root = (root or own).rstrip("/")
 
+    def about(self, *parts: object) -> "TableStore":
+        digest = sha1("\n".join(map(identity, parts)).encode()).hexdigest()[:16]
+        return TableStore(self.spark, f"{self.root}/{digest}")
+
     def path(self, name: str, day: str) -> str:
         return f"{self.root}/{name}/{day}"
 
+    def _hadoop(self, path: str):
+        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()), hadoop
+
     def _has(self, path: str) -> bool:
         """Only a finished write leaves the marker file."""
-        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-        return hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(hadoop)
+        files, marker = self._hadoop(f"{path}/_SUCCESS")
+        return files.exists(marker)
 
     def has(self, name: str, day: str) -> bool:
         return self._has(self.path(name, day))
@@ -35,10 +54,21 @@ class TableStore:
         sort_by: list[str] | None = None, partition_by: list[str] | None = None,
     ) -> DataFrame:
         """``sort_by`` orders each file, so that scans skip its row groups and pages by their
-        bounds, without a shuffle of its own; ``partition_by`` makes a folder per value."""
+        bounds, without a shuffle of its own; ``partition_by`` makes a folder per value. The table
+        is written beside its place and moved there, so it is never seen half done. A plan that
+        reads the table it is to replace is refused."""
+        path = self.path(name, day)
+        files, target = self._hadoop(path)
+        within = files.makeQualified(target).toUri().getPath().rstrip("/") + "/"
+        if any(within in f for f in df.inputFiles()):
+            raise ValueError(f"{path} would be written from itself")
         if sort_by:
             df = df.sortWithinPartitions(*sort_by)
-        df.write.mode("overwrite").parquet(self.path(name, day), partitionBy=partition_by)
+        beside = f"{path}.{uuid4().hex}"
+        df.write.parquet(beside, partitionBy=partition_by)
+        files.delete(target, True)
+        if not files.rename(self._hadoop(beside)[1], target):
+            raise OSError(f"could not move {beside} to {path}")
         return self.read(name, day)
 
     def read(self, name: str, day: str) -> DataFrame:

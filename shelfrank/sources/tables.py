@@ -39,10 +39,10 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
-def load_transactions(raw: DataFrame, oldest: date, order: list[str]) -> DataFrame:
+def load_transactions(raw: DataFrame, oldest: date, order: list[str], unique: bool = False) -> DataFrame:
     """Days parsed, older purchases left out, one row per customer, article and day. ``order``
-    names the columns that decide which of several rows stays."""
+    names the columns that decide which of several rows stays; see ``first_per_key``."""
     dated = raw.withColumn("t_dat", parse_day("t_dat")) if dict(raw.dtypes)["t_dat"] == "string" else raw
     recent = dated.where(F.col("t_dat") >= F.lit(oldest))
     keys = ["customer_id", "article_id", "t_dat"]
-    return first_per_key(recent, keys, [F.col(c) for c in order], ["price", "sales_channel_id"])
+    return first_per_key(recent, keys, [F.col(c) for c in order], ["price", "sales_channel_id"], unique)

@@ -17,7 +17,7 @@ from shelfrank.operators.encode import count_encode, frequency_codes, narrow, va
 from shelfrank.operators.fill import FillPolicy
 from shelfrank.operators.folds import balanced_folds, consecutive_group_ids, hash_folds
 from shelfrank.operators.joins import lookup, pair_with_list
-from shelfrank.operators.ordering import exact_median, modal_day_age, number_rows
+from shelfrank.operators.ordering import exact_median, modal_day_age, number_rows, range_cuts
 from shelfrank.operators.sample import draw_places
 from shelfrank.operators.topk import fold_top_k, top_k, with_rank_and_z
 from shelfrank.params import RecoParams
@@ -103,31 +103,32 @@ def test_bucketed_median_is_exact(skewed):
     groups = {}
     for g, v in rows:
         groups.setdefault(g, []).append(v)
-    got = {r["g"]: r["m"] for r in exact_median(df, ["g"], "v", "m", one_group_rows=0).collect()}
+    got = {r["g"]: r["m"] for r in exact_median(df, ["g"], "v", "m").collect()}
     assert got == {g: pytest.approx(statistics.median(v)) for g, v in groups.items()}
-    direct = {r["g"]: r["m"] for r in exact_median(df, ["g"], "v", "m").collect()}
-    assert direct == {g: pytest.approx(m) for g, m in got.items()}
+    fine = range_cuts(df, "v", rows_per_part=100)
+    assert len(fine.bounds) == 63
+    split = {r["g"]: r["m"] for r in exact_median(df, ["g"], "v", "m", fine).collect()}
+    assert split == {g: pytest.approx(m) for g, m in got.items()}
 
 
 def test_bucketed_median_orders_no_group_as_a_whole(skewed):
-    plan = plan_of(exact_median(skewed[1], ["g"], "v", "m", one_group_rows=0))
+    plan = plan_of(exact_median(skewed[1], ["g"], "v", "m"))
     assert "median" not in plan and "percentile" not in plan
 
 
 def test_median_skips_missing(spark):
     df = spark.createDataFrame([(1, 1.0), (1, None), (1, 4.0), (None, 3.0)], "g int, v double")
-    for limit in (0, 100):
-        assert as_set(exact_median(df, ["g"], "v", "m", one_group_rows=limit), "g", "m") == {(1, 2.5)}
+    assert as_set(exact_median(df, ["g"], "v", "m"), "g", "m") == {(1, 2.5)}
 
 
 @pytest.mark.parametrize("kind", ["bigint", "string"])
 def test_bucketed_numbering_equals_one_sort(spark, kind):
     rng = random.Random(3)
-    rows = [(rng.randrange(4), str(k) if kind == "string" else k) for k in rng.sample(range(100000), 3000)]
+    rows = [(rng.randrange(4), f"https://same-head/{k}" if kind == "string" else k) for k in rng.sample(range(100000), 3000)]
     df = spark.createDataFrame(rows, f"c int, k {kind}")
     order = [("c", False), ("k", True)]
-    split = as_set(number_rows(df, order, "k", "n", one_task_rows=0), "c", "k", "n")
-    assert split == as_set(number_rows(df, order, "k", "n"), "c", "k", "n")
+    split = as_set(number_rows(df, order, "n", rows_per_part=200), "c", "k", "n")
+    assert split == as_set(number_rows(df, order, "n"), "c", "k", "n")
     want = sorted(sorted(rows, key=lambda r: r[1]), key=lambda r: -r[0])
     assert split == {(*r, i) for i, r in enumerate(want, 1)}
 
@@ -147,6 +148,15 @@ def test_first_row_per_key(spark):
     got = first_per_key(df, ["k"], [F.col("o"), F.col("p")], ["p"])
     assert as_set(got, "k", "p") == {(1, "a"), (2, "z")}
     assert "Window" not in plan_of(got)
+    numbered = df.withColumn("n", F.col("o") * 1000 + F.ascii("p"))
+    hashed = first_per_key(numbered, ["k"], [F.col("n")], ["p"], unique=True)
+    assert as_set(hashed, "k", "p") == {(1, "a"), (2, "z")}
+
+
+def test_merging_needs_no_sort(spark, tables):
+    for df in (tables.make_transactions(), modal_day_age(spark.createDataFrame([(1, 2)], "g int, age int"), ["g"], "age", "m")):
+        plan = plan_of(df)
+        assert "HashAggregate" in plan and "SortAggregate" not in plan
 
 
 def test_positive_wins_equals_anti_join(spark):
@@ -256,11 +266,17 @@ def test_lookup_keeps_rows_and_can_check(spark):
     assert lookup(df, dim.limit(1), "k").count() == 3
 
 
-@pytest.mark.parametrize("longest", [None, 10_000_000])
-def test_pairing_gives_every_entry_once(spark, longest):
+def test_draws_differ_between_customers(spark):
+    df = spark.createDataFrame([(c * 1_000_003, 0, 700) for c in range(3000)], "customer_id bigint, week int, size int")
+    sets = draw_places(df, "customer_id", "week", "size", 10, 46, "place").groupBy("customer_id").agg(F.sort_array(F.collect_set("place")).alias("s"))
+    assert sets.select("s").distinct().count() > 2500
+
+
+@pytest.mark.parametrize("row_bytes", [160, 10_000_000])
+def test_pairing_gives_every_entry_once(spark, row_bytes):
     rows = spark.range(6).withColumnRenamed("id", "customer_id")
     listed = spark.range(1, 24).select(F.col("id").alias("article_id"), F.col("id").cast("int").alias("position"))
-    got = pair_with_list(rows, listed, longest or 23, "position", 10 if longest is None else 1_000_000, "customer_id")
+    got = pair_with_list(rows, listed, "position", 10, "customer_id", row_bytes)
     assert got.count() == got.select("customer_id", "article_id").distinct().count() == 6 * 23
     assert "NestedLoop" not in plan_of(got) and "Cartesian" not in plan_of(got)
 

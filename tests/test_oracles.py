@@ -5,10 +5,12 @@ import math
 import duckdb
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from registry.oracles import oracles
+from registry.queries import registered
 
 NAMES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-QUERIES, SQL = queries(), oracle_sql()
+QUERIES, SQL = registered(), oracles()
 
 
 @pytest.fixture(scope="module")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 import pytest
 
 from conftest import as_set, plan_of
-from __spark_entry__ import queries
+from registry.queries import registered as queries
 from shelfrank.plans import flows, metrics
 from shelfrank.plans.catalogue import candidate_policy, stack_policy
 from shelfrank.plans.candidates import negatives, popular_by_week, positives
@@ -132,6 +132,35 @@ def test_store_computes_once(spark, tmp_path):
     assert len(calls) == 1
 
 
+def test_store_tells_parameters_and_inputs_apart(spark, tmp_path):
+    store = TableStore(spark, (tmp_path / "s").as_uri())
+    a = store.write("a", "d", spark.range(3))
+    b = store.write("b", "d", spark.range(3))
+    roots = {store.about(*x).root for x in ((PARAMS, a), (PARAMS, b), (PARAMS.scaled(keep=1), a), (PARAMS, a.where("id > 1")))}
+    assert len(roots) == 4
+    assert store.about(PARAMS, a).root == store.about(PARAMS, spark.read.parquet(store.path("a", "d"))).root
+
+
+def test_store_refuses_to_write_a_table_from_itself(spark, tmp_path):
+    store = TableStore(spark, (tmp_path / "s").as_uri())
+    rows = store.write("t", "d", spark.range(5))
+    with pytest.raises(ValueError):
+        store.write("t", "d", rows.where("id > 2"))
+    with pytest.raises(ValueError):
+        store.reuse("u", "d", lambda: store.write("u", "d", spark.range(2)))
+    assert store.read("t", "d").count() == 5
+
+
+@pytest.mark.parametrize("name", ["ranker_top30", "ranker_oof_map", "ranker_oof", "ranker_fit_score"])
+def test_learned_queries_run_alone_and_again(name, spark, folder, tmp_path):
+    """Each in a store of its own: the tables of another folder's name are not there yet."""
+    alone = tmp_path / name
+    alone.symlink_to(folder)
+    first = queries()[name](spark, str(alone))
+    again = queries()[name](spark, str(alone))
+    assert first.count() == again.count() > 0
+
+
 def test_stored_transactions_skip_files_by_day(tables):
 
     plan = plan_of(tables.hist())
@@ -214,10 +243,13 @@ def test_waves_finish_everyone_and_restart_does_nothing(spark, tmp_path):
 
 def test_stack_job_end_to_end(tables):
     params = PARAMS.scaled(n_folds=2)
-    store = TableStore(tables.spark, tables.store.root + "/stack-test")
+    store = tables.store
     args = (tables.scores(), MODELS, tables.transactions(), tables.articles(), tables.customers(), DS, params)
     scored, model = flows.train_stack(store, *args, TreeParams(depth=2, rounds=2))
-    assert scored.count() == store.read("stack_rows", DS.isoformat()).count()
+    about = store.about(params, TreeParams(depth=2, rounds=2), MODELS, args[0], *args[2:5])
+    assert scored.count() == about.read("stack_rows", DS.isoformat()).count()
+    again, (models, names) = flows.train_stack(store, *args, TreeParams(depth=2, rounds=2))
+    assert sorted(again.inputFiles()) == sorted(scored.inputFiles()) and names == model[1] and len(models) == 2
     lists, shared = flows.predict_stack(model, *args)
     customers = tables.scores().select("customer_id").distinct().count()
     assert lists.count() == customers
