@@ -11,7 +11,7 @@ def first_per_key(
 
     Written as a minimum rather than a window, so that copies are merged before the shuffle and
     a key with very many copies never meets in one task. ``unique`` states that ``order`` is one
-    number that no two rows of a key share; rows are then merged by hashing, without a sort."""
+    number that only equal rows of a key share; rows are then merged by hashing, without a sort."""
     if unique:
         return df.groupBy(*keys).agg(*[F.min_by(c, order[0]).alias(c) for c in payload])
     first = F.min(F.struct(*[o.alias(f"_o{i}") for i, o in enumerate(order)], *payload))

@@ -73,8 +73,10 @@ class Tables:
         )
 
     def make_transactions(self, oldest: date = OLDEST) -> DataFrame:
-        # a line's number within its order is far below 1024
-        line = F.col("l_orderkey").cast("long") * 1024 + F.col("l_linenumber")
+        # order, line, price in cents and status packed into one number: rows that share it are alike
+        line = F.col("l_orderkey").cast("decimal(20,0)") * 1024 + F.col("l_linenumber")
+        cents = F.round(F.col("price") * 100).cast("long") * 2 + (F.col("l_linestatus") == "O").cast("int")
+        line = (line * 10**12).cast("decimal(38,0)") + cents
         return load_transactions(self.purchases().withColumn("line", line), oldest, ["line"], unique=True)
 
     def transactions(self) -> DataFrame:
