@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ESCAPES = {"~": "~0", "[": "~1", "<": "~2"}
+ROLE_ESCAPES = ESCAPES | {"]": "~3"}  # a role stands inside the brackets of its mark
 
 
 @dataclass(frozen=True)
@@ -52,14 +53,14 @@ class Template:
     final: tuple[str, ...] = ("assistant",)
 
 
-def escape(text: Column) -> Column:
-    for plain, code in ESCAPES.items():
+def escape(text: Column, codes: Mapping[str, str] = ESCAPES) -> Column:
+    for plain, code in codes.items():
         text = F.replace(text, F.lit(plain), F.lit(code))
     return text
 
 
-def unescape(text: Column) -> Column:
-    for plain, code in reversed(ESCAPES.items()):
+def unescape(text: Column, codes: Mapping[str, str] = ESCAPES) -> Column:
+    for plain, code in reversed(codes.items()):
         text = F.replace(text, F.lit(code), F.lit(plain))
     return text
 
@@ -76,7 +77,7 @@ def _segments(turn: Column, template: Template) -> Column:
     """Three segments of a turn: its opening mark, its escaped text and its closing mark."""
     role, text = turn["role"], turn["text"]
     named = _choose(role, template, lambda m: F.lit("" if m is template.other else m.begin))
-    opening = F.when(named == "", F.concat(F.lit(f"[{template.other.tag} "), escape(role), F.lit("] "))).otherwise(named)
+    opening = F.when(named == "", F.concat(F.lit(f"[{template.other.tag} "), escape(role, ROLE_ESCAPES), F.lit("] "))).otherwise(named)
     closing = _choose(role, template, lambda m: F.lit(m.end))
     loss = _choose(role, template, lambda m: F.lit(m.loss))
     part = lambda value, learned: F.struct(value.alias("text"), learned.alias("loss"))
@@ -144,7 +145,7 @@ def parse_chats(formatted: Column, template: Template = Template()) -> Column:
     skip = len(template.other.tag) + 2
 
     def turn(tag: Column, text: Column) -> Column:
-        named = F.coalesce(F.element_at(role, tag), unescape(F.substring(tag, skip, 1 << 30)))
+        named = F.coalesce(F.element_at(role, tag), unescape(F.substring(tag, skip, 1 << 30), ROLE_ESCAPES))
         return F.struct(named.alias("role"), unescape(text).alias("text"))
 
     return F.zip_with(found(1), found(2), turn)

@@ -22,7 +22,7 @@ sized AS (
     length(text) + length(text) - length(replace(replace(replace(text, '~', ''), '[', ''), '<', ''))
       + CASE role WHEN 'system' THEN 6 + 7 WHEN 'user' THEN 7 + 8 WHEN 'assistant' THEN 6 + 4
         ELSE 8 + length(role) + length(role)
-          - length(replace(replace(replace(role, '~', ''), '[', ''), '<', '')) + 8 END AS chars
+          - length(replace(replace(replace(replace(role, '~', ''), '[', ''), '<', ''), ']', '')) + 8 END AS chars
   FROM turns WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)),
 judged AS (
   SELECT *, CASE WHEN before IS NULL THEN role IN ('system', 'user')
