@@ -1,10 +1,29 @@
 """SQL that each registered query must agree with, run by DuckDB over the same tables."""
 
 from shelfrank.plans.catalogue import (
-    ATTRIBUTE_KEYS, CHANNEL_RATES, PAIR, TREND_SUFFIXES, stale_filled, zero_filled,
+    ATTRIBUTE_KEYS, PAIR,
 )
 from shelfrank.sources.bindings import PARAMS
 
+# Columns by what a missing value becomes, written out here so that an omission elsewhere shows.
+OWN_SETS = ("prod", "ptype", "graph", "col", "dep", "idx", "idxg", "sec", "garm", "code_pcol", "idxg_sec", "idxg_gram")
+TREND_SUFFIXES = ("ptype", "graph", "col", "dep", "idx", "idxg", "sec", "garm")
+CHANNEL_RATES = (
+    "rate_sales_channel_hist", "rate_sales_channel_recent", "art_rate_sales_channel_hist", "art_rate_sales_channel_recent",
+)
+ZERO_FILLED = [
+    *"n_buy_hist n_buy_recent n_buy_hist_short n_buy_hist_mid n_buy_hist_all n_buy_recent_all n_buy_hist_short_all".split(),
+    *"n_buy_hist_mid_all n_buy_hist_short_dep n_buy_hist_mid_dep n_buy_hist_short_sec n_buy_hist_mid_sec".split(),
+    *(f"n_buy_{window}_{key}" for key in OWN_SETS for window in ("hist", "recent")),
+    *"art_buy_hist art_buy_hist_short art_buy_hist_mid art_buy_recent art_buy_yesterday art_buy_hist_ch1".split(),
+    *"art_buy_hist_ch2 code_buy_hist code_buy_recent code_buy_yesterday age_id_n_buy_hist age_id_n_buy_recent".split(),
+    *"rebuy_rate code_rebuy_rate cust_rebuy_rate".split(),
+]
+STALE_FILLED = [
+    *"days_after_buy days_after_buy_all days_from_oldest_buy_all art_days_after_buy art_days_from_oldest_buy".split(),
+    "art_days_from_mode_buy", *(f"days_after_buy_{key}" for key in OWN_SETS),
+]
+
 DS = "DATE '2001-07-26'"
 AFTER = "DATE '2001-08-02'"
 N = PARAMS.n_popular
@@ -294,7 +313,7 @@ def _assembled(candidates: str, ref: str = "", h: str = "hist", *more: str) -> s
     for i, key in enumerate((PAIR, *ATTRIBUTE_KEYS)):
         ctes.append(f"k{i} AS ({_attribute(key, 'hart', text=False, ref=ref)})")
         joins.append(f"LEFT JOIN k{i} USING ({ref}customer_id, {', '.join(key.columns)})")
-    fills = {**dict.fromkeys(zero_filled(), 0), **dict.fromkeys(stale_filled(), 376),
+    fills = {**dict.fromkeys(ZERO_FILLED, 0), **dict.fromkeys(STALE_FILLED, 376),
              **dict.fromkeys(CHANNEL_RATES, 1.5)}
     filled = ", ".join(f"coalesce({c}, {v}) AS {c}" for c, v in fills.items())
     ctes.append(
@@ -533,6 +552,26 @@ def oracles() -> dict[str, str]:
             "LEFT JOIN (SELECT customer_id, article_id, count(*) AS n FROM hist GROUP BY 1, 2) p USING (customer_id, article_id) "
             "QUALIFY row_number() OVER (PARTITION BY customer_id ORDER BY pred DESC, article_id) <= 12) GROUP BY 1"
         ),
+        "recommendations_for_everyone": _sql(
+            "SELECT customer_id, string_agg(lpad(CAST(article_id AS VARCHAR), 10, '0'), ' ' ORDER BY pred DESC, article_id) AS prediction FROM ("
+            "SELECT customer_id, article_id, coalesce(a.n, 0) + 50 * coalesce(p.n, 0) AS pred FROM (SELECT c_custkey AS customer_id FROM customer) CROSS JOIN pop "
+            "LEFT JOIN (SELECT article_id, count(*) AS n FROM hist GROUP BY 1) a USING (article_id) "
+            "LEFT JOIN (SELECT customer_id, article_id, count(*) AS n FROM hist GROUP BY 1, 2) p USING (customer_id, article_id) "
+            "QUALIFY row_number() OVER (PARTITION BY customer_id ORDER BY pred DESC, article_id) <= 12) GROUP BY 1"
+        ),
+        "transactions_from_csv": _sql(
+            "SELECT customer_id, article_id, t_dat, price, sales_channel_id FROM tx_raw WHERE t_dat >= DATE '1998-01-01' "
+            "QUALIFY row_number() OVER (PARTITION BY customer_id, article_id, t_dat ORDER BY price, sales_channel_id) = 1"
+        ),
+        "transactions_since": _sql("SELECT * FROM tx WHERE t_dat >= DATE '1998-01-01'"),
+        "grouped_folds_hash": _sql(
+            "SELECT DISTINCT customer_id, (('0x' || substr(md5(customer_id || ':46'), 1, 15))::BIGINT % 10)::INTEGER AS fold FROM scores"
+        ),
+        "ranker_oof_folds": _sql(
+            "SELECT customer_id, article_id, CASE WHEN (p // n) % 2 = 0 THEN p % n ELSE n - 1 - p % n END AS fold, true AS scored FROM wide0 JOIN ("
+            "SELECT customer_id, row_number() OVER (ORDER BY count(*) DESC, customer_id) - 1 AS p, "
+            "least(10, count(*) OVER ()) AS n FROM wide0 GROUP BY 1) USING (customer_id)", WIDE
+        ),
         "unfinished_customers": _sql("SELECT customer_id FROM cust_raw ANTI JOIN hash_scores USING (customer_id)"),
         "intermediate_round_trip": _sql(
             "SELECT * EXCLUDE (age_days, age_id_1, age_id_2) FROM hist LEFT JOIN art USING (article_id) LEFT JOIN cust USING (customer_id)"

@@ -1,6 +1,7 @@
 """Registered queries: each takes (session, folder) and returns a DataFrame."""
 
 from collections.abc import Callable
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,7 +23,7 @@ from shelfrank.plans.candidates import (
 )
 from shelfrank.plans.catalogue import ATTRIBUTE_KEYS, PAIR, STATISTICS, stale_filled
 from shelfrank.plans.clean import enrich
-from shelfrank.plans.flows import predict, train, train_stack
+from shelfrank.plans.flows import lists_folder, predict, recommend_in_waves, train, train_stack
 from shelfrank.plans.ranker import TreeParams, mean_score, shared_top
 from shelfrank.plans.recommend import (
     ground_truth, ground_truth_lists, inputs_at, popularity_with_history, published, ranked_lists,
@@ -34,11 +35,13 @@ from shelfrank.plans.stacking import (
 from shelfrank.session import tune
 from shelfrank.sources.bindings import AFTER_LAST, DS, MODELS, PARAMS, Tables
 from shelfrank.sources.store import unfinished
+from shelfrank.sources.tables import load_transactions, read_csv, write_csv
 
 Query = Callable[[SparkSession, str], DataFrame]
 _REGISTRY: dict[str, Query] = {}
 KEYS = ["customer_id", "article_id"]
 REPEAT_WEIGHT = 50.0
+SINCE = date(1998, 1, 1)
 CUTOFFS = [25, 50, 100, 200]
 TREES = TreeParams(depth=4, rounds=10, rate=0.2)
 
@@ -506,6 +509,36 @@ def flagship(t: Tables) -> DataFrame:
     return ranked_lists(ranked)
 
 
+@query("recommendations_for_everyone")
+def recommendations_for_everyone(t: Tables) -> DataFrame:
+    """Twelve articles for every customer, also those without purchases, in waves of customer buckets."""
+    path, listed = t.store.path("everyone", DS.isoformat()), t.popular()
+
+    def recommend(part: DataFrame) -> DataFrame:
+        return popularity_with_history(t.transactions(), part, listed, DS, PARAMS, REPEAT_WEIGHT, PARAMS.top_k).drop("place")
+
+    recommend_in_waves(t.raw_customers().select("customer_id"), recommend, path, PARAMS, 16, 2)
+    lists = t.spark.read.parquet(lists_folder(path, 16))
+    return lists.select("customer_id", "prediction")
+
+
+@query("transactions_from_csv")
+def transactions_from_csv(t: Tables) -> DataFrame:
+    """Purchases written as CSV to the shared folder, read back, and loaded from SINCE on."""
+    path = t.store.path("purchases_csv", "all")
+    if not t.store.has("purchases_csv", "all"):
+        rows = t.purchases().select(F.date_format("t_dat", "yyyy-MM-dd").alias("t_dat"), "customer_id", "article_id", "price", "sales_channel_id")
+        write_csv(rows, path)
+    loaded = load_transactions(read_csv(t.spark, path, "transactions"), SINCE, ["price"])
+    return as_long(loaded.withColumn("customer_id", F.col("customer_id").cast("long")), "sales_channel_id")
+
+
+@query("transactions_since")
+def transactions_since(t: Tables) -> DataFrame:
+    """Stored purchases from SINCE on; the filter reaches the scan."""
+    return t.transactions().where(F.col("t_dat") >= F.lit(SINCE))
+
+
 @query("unfinished_customers")
 def unfinished_customers(t: Tables) -> DataFrame:
     """All customers without a published list yet."""
@@ -557,6 +590,13 @@ def _oof(t: Tables) -> DataFrame:
     return ranker_oof(t)
 
 
+@query("ranker_oof_folds")
+def ranker_oof_folds(t: Tables) -> DataFrame:
+    """Which fold scored each row; every row is scored."""
+    scored = F.col("pred").isNotNull().alias("scored")
+    return as_long(_oof(t).select(*KEYS, "fold", scored), "fold")
+
+
 @query("ranker_top30")
 def ranker_top30(t: Tables) -> DataFrame:
     return shared_top(_oof(t), PARAMS.share_top)

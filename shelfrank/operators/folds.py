@@ -14,8 +14,10 @@ def consecutive_group_ids(df: DataFrame, keys: list[str], name: str) -> DataFram
 
 
 def hash_folds(df: DataFrame, key: str, n_folds: int, seed: int, name: str = "fold") -> DataFrame:
-    """Fold by key hash: no shuffle, all rows of a key together."""
-    return df.withColumn(name, F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(n_folds)).cast("int"))
+    """Fold by key hash: no shuffle, all rows of a key together. A missing key is hashed as empty text."""
+    text = F.concat(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(f":{seed}"))
+    number = F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+    return df.withColumn(name, (number % n_folds).cast("int"))
 
 
 def balanced_folds(df: DataFrame, key: str, n_folds: int, name: str = "fold") -> DataFrame:

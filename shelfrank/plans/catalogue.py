@@ -105,25 +105,7 @@ def candidate_policy(params: RecoParams) -> FillPolicy:
     )
 
 
-def _stack_extras() -> list[str]:
-    """Further count columns a stacked table may carry."""
-    decayed = ["n_buy_hist", "n_buy_hist_all", "art_buy_hist", "art_buy_hist_ch1",
-               "art_buy_hist_ch2", "code_buy_hist", "age_id_n_buy_hist"]
-    names = [f"{c}_decay" for c in decayed]
-    names += ["art_buy_hist_short_ch1", "art_buy_hist_short_ch2", "n_buy_yesterday"]
-    # fixed values: code numbers that have a share column
-    shares = {"index_group_no": (1, 2, 3, 4, 26), "perceived_colour_value_id": (-1, 1, 2, 3, 4, 5, 6, 7)}
-    names += [
-        f"{window}_{attribute}_{code}_norm_sm"
-        for window in ("hist", "recent")
-        for attribute, codes in shares.items()
-        for code in codes
-    ]
-    areas = ["hist", "hist_short", "hist_mid", "recent", "yesterday", "hist_ch1", "recent_ch1", "yesterday_ch1"]
-    return names + [f"postal_code_n_buy_{a}" for a in areas]
-
-
 def stack_policy(params: RecoParams) -> FillPolicy:
     """As above, and rank 100000 for rows a model did not rank."""
     base = candidate_policy(params).by_name
-    return FillPolicy({**base, **dict.fromkeys(_stack_extras(), 0)}, {"_rank": 100000})
+    return FillPolicy({**base, "art_buy_hist_decay": 0}, {"_rank": 100000})

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from shelfrank.functions.lookback import history, window_lengths
 from shelfrank.functions.scalars import padded_id
-from shelfrank.operators.joins import keep_keys
+from shelfrank.operators.joins import keep_keys, require_unique
 from shelfrank.operators.topk import top_n
 from shelfrank.params import RecoParams
 from shelfrank.plans.candidates import (
@@ -106,7 +106,15 @@ class Tables:
         return clean_articles(self.raw_articles())
 
     def articles(self) -> DataFrame:
-        return self.stored("articles", self.make_articles)
+        return self._dimension("articles", "article_id", self.make_articles)
+
+    def _dimension(self, name: str, key: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """A stored lookup table; that it has one row per key is checked when it is made."""
+        fresh = not self.store.has(name, OLDEST.isoformat())
+        table = self.stored(name, make)
+        if fresh:
+            require_unique(table, [key])
+        return table
 
     def raw_customers(self) -> DataFrame:
         key, segment = F.col("c_custkey"), F.col("c_mktsegment")
@@ -137,7 +145,7 @@ class Tables:
         return clean_customers(self.raw_customers(), self.age_groups(), self.params)
 
     def customers(self) -> DataFrame:
-        return self.stored("customers", self.make_customers)
+        return self._dimension("customers", "customer_id", self.make_customers)
 
     def label_customers(self, ds: date = DS) -> DataFrame:
         return label_customers(self.transactions(), ds, self.params)

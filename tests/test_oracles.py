@@ -39,7 +39,7 @@ def bag(columns, rows):
 def test_every_oracle_has_a_query():
     assert set(SQL) <= set(QUERIES)
     assert {n for n in QUERIES if n not in SQL} == {
-        "grouped_folds_hash", "ranker_fit_score", "ranker_oof", "ranker_oof_map", "ranker_top30",
+        "ranker_fit_score", "ranker_oof", "ranker_oof_map", "ranker_top30",
     }
 
 

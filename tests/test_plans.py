@@ -236,8 +236,9 @@ def test_waves_finish_everyone_and_restart_does_nothing(spark, tmp_path):
 
     assert flows.recommend_in_waves(targets, recommend, path, PARAMS, 8, 4) == 4
     assert flows.recommend_in_waves(targets, recommend, path, PARAMS, 8, 4) == 0
-    got = spark.read.parquet(path)
-    assert got.count() == 50
+    assert flows.recommend_in_waves(targets, recommend, path, PARAMS, 6, 2) == 2
+    got = spark.read.parquet(flows.lists_folder(path, 8))
+    assert got.count() == spark.read.parquet(flows.lists_folder(path, 6)).count() == 50
     assert got.first()["prediction"].startswith("0000000020 0000000019")
 
 
@@ -260,7 +261,7 @@ def test_stack_job_end_to_end(tables):
 # --- what plans must not contain
 
 
-LEARNED = {"ranker_fit_score", "ranker_oof", "ranker_oof_map", "ranker_top30"}
+LEARNED = {"ranker_fit_score", "ranker_oof", "ranker_oof_folds", "ranker_oof_map", "ranker_top30"}
 
 
 @pytest.mark.parametrize("name", sorted(set(queries()) - LEARNED))
