@@ -26,7 +26,7 @@ from shelfrank.sources.tables import load_transactions
 AFTER_LAST = date(2001, 8, 2)  # the day after the newest order
 DS = date(2001, 7, 26)  # first day of the newest label week
 OLDEST = date(1990, 1, 1)  # before the oldest order
-PARAMS = RecoParams(n_popular=200, n_negatives=20, keep=50)
+PARAMS = RecoParams()
 
 SCORE_FORMATS = [
     ScoreFormat("pop_recent", score="preds"),
