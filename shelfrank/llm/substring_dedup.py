@@ -24,7 +24,7 @@ from shelfrank.llm.scratch import Scratch
 WINDOW = 16  # bytes under the rolling hash
 REACH = 20  # bytes to either side over which a border's hash must be the least
 MAX_CHUNK = 256  # bytes, for texts that repeat themselves and so have no borders
-MIN_RUN = 100  # bytes of a reported run
+MIN_RUN = 120  # bytes of a reported run
 BATCH_BYTES = 8 << 20
 NO_ID = (1 << 63) - 1
 

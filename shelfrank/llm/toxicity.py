@@ -2,8 +2,9 @@
 
 Learning: each word of a labelled document counts once, for itself and for its prefixes (stems that
 many words share). A unit's weight is the logarithm of its odds in toxic against other documents
-under an informative Dirichlet prior; units whose weight is significant form the lexicon, and all
-other words share one slightly negative weight, the log-odds of being in no lexicon.
+under an informative Dirichlet prior; units whose odds are surely (by MIN_Z deviations) MIN_ODDS or
+more form the lexicon, so that words that are slightly more frequent do not add up; all other words
+share one slightly negative weight, the log-odds of being in no lexicon.
 
 Scoring: a linear scan of the whole text (Ruzzo and Tompa) finds every maximal segment of positive
 sum. Under the weights' distribution in other documents the best segment's score follows an
@@ -28,7 +29,8 @@ from shelfrank.llm.scratch import Scratch
 
 TRAIN_ROWS = 200_000  # labelled rows learned from at most: the bound of what is broadcast
 PRIOR = 0.05  # weight of the Dirichlet prior as a share of the counts
-MIN_Z = 4.0
+MIN_Z = 3.0  # standard deviations
+MIN_ODDS = 2.0
 PREFIXES = (4, 5, 6)  # letters
 EVIDENCE_STEP, MAX_EVIDENCE = 0.05, 60.0
 CUT = 0.7
@@ -205,7 +207,7 @@ def learn(documents: DataFrame, labels: DataFrame) -> Model:
     parts = F.array(F.concat("word", F.lit("$")), *[F.when(F.length("word") >= n, F.substring("word", 1, n)) for n in PREFIXES])
     units = words.select(F.explode(F.array_compact(parts)).alias("unit"), "toxic", "other")
     units = scratch.keep(units.groupBy("unit").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other")), "units")
-    found = _with_weights(units).where((F.col("z") >= MIN_Z) & (F.col("weight") > 0)).select("unit", "weight", "z")
+    found = _with_weights(units).where(F.col("weight") * (1 - MIN_Z / F.col("z")) >= math.log(MIN_ODDS)).select("unit", "weight", "z")
     model = Model({r["unit"]: (r["weight"], r["z"]) for r in found.toLocalIterator()})
     if model.lexicon:
         _calibrate(model, words)
