@@ -30,6 +30,7 @@ REMEMBERED = 300_000  # short words
 SHORT = 64  # bytes of a word that is remembered
 PIECE = 1 << 16  # characters split into words at once
 WINDOW = 1 << 14  # bytes read beyond the look-ahead
+PAIR, NONE = 20, 1 << 40  # bits of an id; above all ranks
 
 # Fixed value: the splitting rule of byte-level tokenizers.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?{L}+| ?{N}+| ?[^\s{inner}]+|\s+(?!\S)|\s+"
@@ -73,20 +74,34 @@ def sufficient_lookahead(merges: list[tuple[bytes, bytes]]) -> int:
     return max(heaviest.values(), default=0)
 
 
+def _is_latin(text: str) -> bool:
+    """Whether no character is beyond the first 256, none of which is unknown; quick to tell."""
+    try:
+        text.encode("latin-1")
+        return True
+    except UnicodeEncodeError:
+        return False
+
+
 class _Remembered(dict):
-    """Encoded words; forgets all once it is full."""
+    """Encoded words. Once it is full, what it holds becomes the older generation; words of that are
+    taken over when they come again, and the rest is forgotten the next time."""
 
-    def __init__(self, encode):
+    def __init__(self, tokenizer: "Tokenizer"):
         super().__init__()
-        self.encode = encode
+        self.tokenizer, self.older = tokenizer, {}
 
     def __missing__(self, word: str) -> bytes:
-        data = word.encode()
-        ids = b",".join(b"%d" % i for i in self.encode(data))
-        if len(data) <= SHORT:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[word] = ids
+        ids = self.older.get(word)
+        if ids is None:
+            data, known = word.encode(), self.tokenizer
+            if len(data) > SHORT:
+                return b",".join(b"%d" % i for i in known.encode_word(data))
+            ids = b",".join([known.id_text[t] for t in known.merge(data)])
+        if len(self) >= REMEMBERED:
+            self.older = dict(self)
+            self.clear()
+        self[word] = ids
         return ids
 
 
@@ -100,8 +115,15 @@ class Tokenizer:
         self.ids = {as_bytes(token): i for token, i in told["model"]["vocab"].items()}
         pairs = [m if isinstance(m, list) else m.split(" ") for m in told["model"]["merges"]]
         merges = [(as_bytes(a), as_bytes(b)) for a, b in pairs]
-        self.rank = {m: i for i, m in enumerate(merges)}
+        self.id_text = {i: b"%d" % i for i in self.ids.values()}
+        self.size_of = {i: len(token) for token, i in self.ids.items()}
+        self.byte_ids = [self.ids[bytes([b])] for b in range(256)]
+        # a pair of ids as one number; the merged token by rank
+        self.rank = {self.ids[a] << PAIR | self.ids[b]: i for i, (a, b) in enumerate(merges)}
+        self.merged = [self.ids[a + b] for a, b in merges]
         made = {a + b: i for i, (a, b) in reversed(list(enumerate(merges)))}
+        if max(self.ids.values()) >> PAIR:
+            raise ValueError(f"ids must have at most {PAIR} bits")
         if any(made.get(part, -1) >= i for i, m in enumerate(merges) for part in m):
             raise ValueError("a merge uses a token that is made later")
         self.longest = max(map(len, self.ids))
@@ -110,45 +132,46 @@ class Tokenizer:
         self.bytes_of = {b"%d" % i: token for token, i in self.ids.items()}
         self.bytes_of |= {b"%d" % i: token.encode() for token, i in self.special.items()}
         self._special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self._remembered = _Remembered(self.encode_word)
-
-    def _merge(self, data: bytes) -> list[bytes]:
-        """Tokens of a short word or window."""
-        parts = [data[i:i + 1] for i in range(len(data))]
-        rank = self.rank
-        if len(parts) > SHORT:
-            return self._merge_long(parts)
-        ranks = [rank.get(pair, 1 << 30) for pair in zip(parts, parts[1:])]
-        while ranks and (best := min(ranks)) < 1 << 30:
+        self._remembered = _Remembered(self)
+
+    def merge(self, data: bytes) -> list[int]:
+        """Ids of the tokens of a short word or window."""
+        byte_ids, rank, merged = self.byte_ids, self.rank.get, self.merged
+        ids = [byte_ids[b] for b in data]
+        if len(ids) > SHORT:
+            return self._merge_long(ids)
+        ranks = [rank(a << PAIR | b, NONE) for a, b in zip(ids, ids[1:])]
+        while ranks and (best := min(ranks)) < NONE:
             i = ranks.index(best)
-            parts[i:i + 2] = [parts[i] + parts[i + 1]]
-            del ranks[i]
+            ids[i] = merged[best]
+            del ids[i + 1], ranks[i]
             if i < len(ranks):
-                ranks[i] = rank.get((parts[i], parts[i + 1]), 1 << 30)
+                ranks[i] = rank(ids[i] << PAIR | ids[i + 1], NONE)
             if i:
-                ranks[i - 1] = rank.get((parts[i - 1], parts[i]), 1 << 30)
-        return parts
+                ranks[i - 1] = rank(ids[i - 1] << PAIR | ids[i], NONE)
+        return ids
 
-    def _merge_long(self, parts: list[bytes | None]) -> list[bytes]:
+    def _merge_long(self, ids: list[int]) -> list[int]:
         """The same with a heap of merges, leftmost first among equals."""
-        end, rank = len(parts), self.rank
+        end, rank = len(ids), self.rank.get
         after, before = list(range(1, end + 1)), list(range(-1, end - 1))
-        heap = [(r, i, *pair) for i, pair in enumerate(zip(parts, parts[1:])) if (r := rank.get(pair)) is not None]
+        heap = [(r, i, a, b) for i, (a, b) in enumerate(zip(ids, ids[1:])) if (r := rank(a << PAIR | b)) is not None]
         heapify(heap)
         while heap:
-            _, i, a, b = heappop(heap)
+            r, i, a, b = heappop(heap)
             j = after[i]
-            if parts[i] != a or j >= end or parts[j] != b:
+            if ids[i] != a or j >= end or ids[j] != b:
                 continue
-            parts[i], parts[j] = a + b, None
+            new = self.merged[r]
+            ids[i], ids[j] = new, -1
             after[i] = k = after[j]
             if k < end:
                 before[k] = i
-                if (r := rank.get((a + b, parts[k]))) is not None:
-                    heappush(heap, (r, i, a + b, parts[k]))
-            if (h := before[i]) >= 0 and (r := rank.get((parts[h], a + b))) is not None:
-                heappush(heap, (r, h, parts[h], a + b))
-        return [p for p in parts if p is not None]
+                if (r := rank(new << PAIR | ids[k])) is not None:
+                    heappush(heap, (r, i, new, ids[k]))
+            if (h := before[i]) >= 0 and (r := rank(ids[h] << PAIR | new)) is not None:
+                heappush(heap, (r, h, ids[h], new))
+        return [i for i in ids if i >= 0]
 
     def encode_word(self, data: bytes) -> Iterator[int]:
         """Token ids of one word, emitted once no later byte can change them."""
@@ -157,16 +180,16 @@ class Tokenizer:
             window = data[at:at + max(WINDOW, self.longest) + self.lookahead]
             last = at + len(window) == len(data)
             final = len(window) if last else len(window) - self.lookahead
-            for token in self._merge(window):
-                final -= len(token)
+            for token in self.merge(window):
+                final -= self.size_of[token]
                 if final < 0:
                     break
-                at += len(token)
-                yield self.ids[token]
+                at += self.size_of[token]
+                yield token
 
     def words(self, text: str) -> Iterator[list[str]]:
         """Lists of words; the text is split piece by piece at places where a word begins."""
-        split = CAREFUL_WORD if IS_UNKNOWN.search(text) else WORD
+        split = WORD if _is_latin(text) or not IS_UNKNOWN.search(text) else CAREFUL_WORD
         at = 0
         while at < len(text):
             cut = SAFE_CUT.search(text, at + PIECE) if at + PIECE < len(text) else None
