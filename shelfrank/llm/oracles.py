@@ -1,5 +1,30 @@
 """SQL that the registered queries of this package must agree with, run by DuckDB."""
 
+# All pairs that share a shingle; the texts hold no white space beyond blanks and line ends.
+OP3 = r"""
+WITH RECURSIVE
+docs AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+    list_filter(string_split_regex(lower(coalesce(text, '')), '\s+'), lambda x: x <> '') AS words
+  FROM documents),
+grams AS (
+  SELECT DISTINCT rid, unnest(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+    ELSE list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' ')) END) AS gram
+  FROM docs),
+sizes AS (SELECT rid, count(*) AS n FROM grams GROUP BY rid),
+shared AS (
+  SELECT a.rid AS a, b.rid AS b, count(*) AS n FROM grams a JOIN grams b ON a.gram = b.gram AND a.rid < b.rid GROUP BY 1, 2),
+links AS (
+  SELECT a, b FROM shared JOIN sizes x ON x.rid = a JOIN sizes y ON y.rid = b
+  WHERE 5 * shared.n >= 4 * (x.n + y.n - shared.n)),
+ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (
+  SELECT rid AS a, rid AS b FROM docs
+  UNION SELECT reach.a, ways.b FROM reach JOIN ways ON reach.b = ways.a)
+SELECT d.doc_id, min(o.doc_id) AS class_id, (SELECT count(*) FROM ways WHERE ways.a = d.rid) AS n_links
+FROM docs d JOIN reach ON reach.a = d.rid JOIN docs o ON o.rid = reach.b GROUP BY d.rid, d.doc_id
+"""
+
 # The addresses of the test pages have nothing to encode.
 OP4 = r"""
 WITH sized AS (
@@ -108,5 +133,5 @@ FROM pairs QUALIFY rank <= 10
 
 def oracles() -> dict[str, str]:
     return {
-        "op4_warc": OP4, "op5_chat_format": OP5, "op6_line_dedup": OP6, "op7_sharding": OP7, "op10_hamming_topk": OP10,
+        "op3_jaccard_join": OP3, "op4_warc": OP4, "op5_chat_format": OP5, "op6_line_dedup": OP6, "op7_sharding": OP7, "op10_hamming_topk": OP10,
     }
