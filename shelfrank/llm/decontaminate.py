@@ -2,17 +2,21 @@
 
 Texts are canonicalised: numbers, names (capitalised words) and units next to a number become typed
 placeholders, all other words are lower-cased literals. Windows of WINDOW tokens are hashed over the
-template and joined with the windows of the benchmark by hash. Windows with few literals say little
-and are hashed over their own words instead. Along each alignment of a document with an item the
+template and over their own words and joined with the windows of the benchmark by hash; templates
+with few literals say little and are left out. Along each alignment of a document with an item the
 slots must be consistent: one value of the item stands for one value of the document and the other
 way round, for each type, so that a question with other numbers and names is caught but a chance
-match of the template is not. A document holds an item if enough of its windows match.
+match of the template is not.
+
+Edits break windows, so these only lead to an alignment. Along it all tokens are compared: a document
+holds an item if half of the item's tokens are equal or in matched windows, or if windows of equal
+words hold ENOUGH words, which a part of a long item does. Items that a few edits can leave without
+a whole window are found by shorter runs of equal tokens too.
 
 The windows of the benchmark are broadcast in slices of bounded size; each slice holds whole items,
 so the results of the slices add up.
 """
 
-from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 import re
@@ -25,7 +29,11 @@ import xxhash
 
 WINDOW = 8
 MIN_LITERALS = 4
-MIN_COVERAGE = 0.5
+MIN_SHARE = 0.5  # of the item's tokens that are equal or in matched windows
+ENOUGH = 13  # words in equal windows that show an item of any length
+ANCHORS = ((4, 24), (6, 32))  # equal tokens that lead to an item of fewer tokens, of which edits may leave no window
+ANCHOR_PLACES = 64  # of an anchor; one that more share gives way to a longer one
+BAND = 8  # tokens put in or left out between alignments that count together
 SLICE_BYTES = 32 << 20  # text of a slice of the benchmark
 REMEMBERED = 300_000
 BATCH_CHARS = 4 << 20
@@ -60,21 +68,25 @@ class _Codes(dict):
 class Canonical:
     """The tokens of several texts, one after another."""
 
-    own: np.ndarray  # hash of each token
+    word: np.ndarray  # hash of each token
     template: np.ndarray  # the same with placeholders
     kind: np.ndarray  # LITERAL, NUMBER, NAME or UNIT
     edges: np.ndarray  # where each text begins, and the end
 
-    def keys(self, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """First tokens and hashes of all windows of so many tokens that lie in one text."""
-        n = len(self.own) - size + 1
+    def keys(self, size: int, form: str) -> tuple[np.ndarray, np.ndarray]:
+        """First tokens and hashes of the windows of so many tokens that lie in one text: of all over
+        their words, or of those with slots and enough literals over the template."""
+        n = len(self.word) - size + 1
         if n <= 0:
             return np.empty(0, np.int64), np.empty(0, np.uint64)
         ends = np.repeat(self.edges[1:], np.diff(self.edges))
-        starts = np.flatnonzero(np.arange(n) + size <= ends[:n])
-        literals = np.concatenate(([0], np.cumsum(self.kind == LITERAL)))
-        few = literals[size:] - literals[:-size] < MIN_LITERALS
-        return starts, np.where(few, self._roll(self.own, size) ^ _OTHER, self._roll(self.template, size))[starts]
+        inside = np.arange(n) + size <= ends[:n]
+        if form == "template":
+            literals = np.concatenate(([0], np.cumsum(self.kind == LITERAL)))
+            literals = literals[size:] - literals[:-size]
+            inside &= (literals >= MIN_LITERALS) & (literals < size)
+        starts = np.flatnonzero(inside)
+        return starts, self._roll(self.word if form == "word" else self.template, size)[starts]
 
     def _roll(self, codes: np.ndarray, size: int) -> np.ndarray:
         n = len(codes) - size + 1
@@ -100,62 +112,142 @@ def canonical(texts: list[str], codes: _Codes) -> Canonical:
     return Canonical(own, np.where(kind == LITERAL, own, _PLACE[kind]), kind, edges)
 
 
+class _Places:
+    """Windows of one size and form, ordered by hash."""
+
+    def __init__(self, size: int, form: str, keys: np.ndarray, items: np.ndarray, places: np.ndarray):
+        order = np.argsort(keys, kind="stable")
+        self.size, self.form = size, form
+        self.keys, self.items, self.places = keys[order], items[order], places[order]
+        self.mask = np.uint64((1 << max(20, (8 * len(keys)).bit_length())) - 1)
+        self.sieve = np.zeros(int(self.mask) + 1, bool)
+        self.sieve[keys & self.mask] = True
+
+    def found(self, texts: Canonical) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First token, item and place in the item of all windows that ``texts`` share."""
+        starts, keys = texts.keys(self.size, self.form)
+        maybe = self.sieve[keys & self.mask]
+        starts, keys = starts[maybe], keys[maybe]
+        first = np.searchsorted(self.keys, keys, side="left")
+        n = np.searchsorted(self.keys, keys, side="right") - first
+        rows = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+        return np.repeat(starts, n), self.items[rows], self.places[rows]
+
+
 class Index:
     """Windows of benchmark items by hash."""
 
     def __init__(self, items: list[tuple[int, str]]):
         texts = canonical([t for _, t in items], _Codes())
         self.ids = [i for i, _ in items]
-        self.texts, self.windows = texts, np.diff(texts.edges)
-        self.size = np.minimum(self.windows, WINDOW)
-        self.windows = np.where(self.windows > 0, self.windows - self.size + 1, 0)
-        self.sizes = sorted({int(s) for s in self.size if s})
-        of = np.repeat(np.arange(len(items)), np.diff(texts.edges))
-        self.at: dict[int, tuple[np.ndarray, dict[int, list[tuple[int, int]]]]] = {}
-        for size in self.sizes:
-            places: dict[int, list[tuple[int, int]]] = defaultdict(list)
-            for start, key in zip(*(x.tolist() for x in texts.keys(size))):
-                if self.size[of[start]] == size:
-                    places[key].append((int(of[start]), start - int(texts.edges[of[start]])))
-            sieve = np.zeros(1 << 20, bool)
-            sieve[np.array(list(places), np.uint64) & np.uint64((1 << 20) - 1)] = True
-            self.at[size] = sieve, dict(places)
+        self.texts, self.length = texts, np.diff(texts.edges)
+        self.size = np.minimum(self.length, WINDOW)
+        self.windows = np.where(self.length > 0, self.length - self.size + 1, 0)
+        self.needed = np.where(self.length > WINDOW, np.maximum(WINDOW, np.ceil(MIN_SHARE * self.length)), self.length)
+        of = np.repeat(np.arange(len(items)), self.length)
+        self.tables: list[_Places] = []
+
+        def add(size: int, form: str, wanted: np.ndarray) -> np.ndarray:
+            """Windows of the items ``wanted``; of short anchors those that few share, the first
+            tokens of the others are returned."""
+            starts, keys = texts.keys(size, form)
+            some = wanted[of[starts]]
+            starts, keys = starts[some], keys[some]
+            _, group, n = np.unique(keys, return_inverse=True, return_counts=True)
+            rare = (n[group] <= ANCHOR_PLACES) if len(keys) else np.empty(0, bool)
+            use = slice(None) if (self.size[of[starts]] == size).all() else rare
+            at = starts[use]
+            if len(at):
+                self.tables.append(_Places(size, form, keys[use], of[at], at - texts.edges[of[at]]))
+            return starts[~rare]
+
+        for size in sorted({int(s) for s in self.size if s}):
+            for form in ("word", "template"):
+                add(size, form, self.size == size)
+        left = np.zeros(len(items), bool)  # items some of whose short anchors many share
+        shortest = WINDOW
+        for size, below in ANCHORS:
+            wanted = (self.length > WINDOW) & (self.length < below) & ((self.length >= shortest) | left)
+            left[of[add(size, "word", wanted)]] = True
+            shortest = below
 
     def matches(self, texts: Canonical) -> Iterator[tuple[int, int, int, int, bool]]:
         """(number of the text, number of the item, windows matched, first token, whether all slots
         are equal) for each text that holds an item."""
-        aligned: dict[tuple[int, int, int], list[int]] = defaultdict(list)
-        for size in self.sizes:
-            sieve, places = self.at[size]
-            starts, keys = texts.keys(size)
-            maybe = sieve[keys & np.uint64((1 << 20) - 1)]
-            starts, keys = starts[maybe], keys[maybe]
-            of = np.searchsorted(texts.edges, starts, side="right") - 1
-            for start, key, doc in zip(starts.tolist(), keys.tolist(), of.tolist()):
-                for item, place in places.get(key, ()):
-                    aligned[doc, item, start - place].append(place)
-        held: dict[tuple[int, int], tuple[set[int], int, bool]] = {}
-        for (doc, item, shift), found in sorted(aligned.items()):
-            same = self._consistent(texts, item, shift, found)
-            if same is not None:
-                windows, first, exact = held.get((doc, item), (set(), shift + min(found), True))
-                held[doc, item] = windows | set(found), min(first, shift + min(found)), exact and same
-        for (doc, item), (windows, first, exact) in held.items():
-            if len(windows) >= MIN_COVERAGE * self.windows[item]:
-                yield doc, item, len(windows), first - int(texts.edges[doc]), exact
-
-    def _consistent(self, texts: Canonical, item: int, shift: int, found: list[int]) -> bool | None:
-        """None if the slots contradict one another, else whether they are all equal."""
-        size, base = int(self.size[item]), int(self.texts.edges[item])
-        covered = np.unique(np.add.outer(np.array(found), np.arange(size)))
-        kind = self.texts.kind[base + covered]
-        slots = covered[kind != LITERAL]
+        found = [(*t.found(texts), t.size) for t in self.tables]
+        if not sum(len(f[0]) for f in found):
+            return
+        start, item, place = (np.concatenate([f[k] for f in found]) for k in range(3))
+        size = np.repeat([f[3] for f in found], [len(f[0]) for f in found])
+        doc, shift = np.searchsorted(texts.edges, start, side="right") - 1, start - place
+        order = np.lexsort((place, shift, item, doc))
+        doc, item, shift, place, size = doc[order], item[order], shift[order], place[order], size[order]
+        turn = (np.diff(doc) != 0) | (np.diff(item) != 0)
+        pairs = np.flatnonzero(np.concatenate(([True], turn, [True])))
+        lines = np.flatnonzero(np.concatenate(([True], turn | (np.diff(shift) != 0), [True])))
+        ends = np.searchsorted(lines, pairs)
+        for begin, first, last in zip(pairs[:-1].tolist(), ends[:-1].tolist(), ends[1:].tolist()):
+            d, i = int(doc[begin]), int(item[begin])
+            aligned = []
+            for a, b in zip(lines[first:last].tolist(), lines[first + 1:last + 1].tolist()):
+                line = self._line(texts, d, i, int(shift[a]), place[a:b], size[a:b])
+                if line is not None:
+                    aligned.append((int(shift[a]), *line))
+            if aligned and self._enough(i, aligned):
+                windows = set().union(*(w for _, _, _, w, _, _ in aligned))
+                at = min(s + f for s, _, _, _, f, _ in aligned) - int(texts.edges[d])
+                yield d, i, len(windows), at, all(e for *_, e in aligned)
+
+    def _line(self, texts: Canonical, doc: int, item: int, shift: int, places: np.ndarray, sizes: np.ndarray):
+        """Of one alignment: the item's tokens that windows cover or that are equal, those of equal
+        windows that are no numbers, the whole windows, the first token and whether all slots are
+        equal; None if nothing is left."""
+        base, n = int(self.texts.edges[item]), int(self.length[item])
+        low, high = max(0, int(texts.edges[doc]) - shift), min(n, int(texts.edges[doc + 1]) - shift)
+        same = np.zeros(n, bool)
+        same[low:high] = self.texts.word[base + low:base + high] == texts.word[shift + low:shift + high]
+        spans = sorted({(p, p + s) for p, s in zip(places.tolist(), sizes.tolist())})
+        equal = [(p, q) for p, q in spans if same[p:q].all()]
+        kept = spans
+        if len(equal) < len(spans):
+            kept = self._consistent(texts, base, shift, spans, equal)
+        if not kept:
+            return None
+        covered, sure = same.copy(), np.zeros(n, bool)
+        for p, q in kept:
+            covered[p:q] = True
+        for p, q in equal:
+            if q - p >= WINDOW:
+                sure[p:q] = True
+        sure &= self.texts.kind[base:base + n] != NUMBER
+        windows = {p for p, q in kept if q - p == self.size[item]}
+        return covered, sure, windows, kept[0][0], len(kept) == len(equal)
+
+    def _consistent(self, texts: Canonical, base: int, shift: int, spans: list, equal: list) -> list:
+        """The windows that stay: none if the slots contradict one another."""
+        covered = np.unique(np.concatenate([np.arange(p, q) for p, q in spans]))
+        slots = covered[self.texts.kind[base + covered] != LITERAL]
         pairs = set(zip(
-            self.texts.kind[base + slots].tolist(), self.texts.own[base + slots].tolist(), texts.own[shift + slots].tolist()
+            self.texts.kind[base + slots].tolist(), self.texts.word[base + slots].tolist(), texts.word[shift + slots].tolist()
         ))
         if len({p[:2] for p in pairs}) < len(pairs) or len({p[::2] for p in pairs}) < len(pairs):
-            return None
-        return all(a == b for _, a, b in pairs)
+            return []
+        return spans
+
+    def _enough(self, item: int, aligned: list) -> bool:
+        """Whether alignments (shift, covered tokens, sure tokens, windows, ...) show the item: tokens
+        of alignments close to one another count together, whole windows from anywhere."""
+        n, size = int(self.length[item]), int(self.size[item])
+        anywhere = np.zeros(n, bool)
+        before = covered = sure = None
+        for shift, now, certain, windows, *_ in aligned:
+            for p in windows:
+                anywhere[p:p + size] = True
+            near = before is not None and shift - before <= BAND
+            covered, sure, before = (covered | now, sure | certain, shift) if near else (now, certain, shift)
+            if covered.sum() >= self.needed[item] or sure.sum() >= ENOUGH:
+                return True
+        return bool(anywhere.sum() >= self.needed[item])
 
 
 def _slices(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
@@ -188,7 +280,8 @@ def find_items(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     ``documents`` has doc_id and text, ``benchmark`` item_id and text; other columns are left out.
 
     Whole texts are searched. Null and empty texts hold nothing, items without words are held by
-    none; an item of fewer than WINDOW tokens is one window. Repeated documents and items give rows
+    none; an item of fewer than WINDOW tokens is one window. ``coverage`` is of windows and can be small
+or 0 where edits broke them. Repeated documents and items give rows
     of their own; null ids stay null. An empty table on either side gives no rows."""
     shape = pa.schema([
         ("doc_id", pa.int64()), ("item_id", pa.int64()), ("matched_windows", pa.int64()), ("n_windows", pa.int64()),

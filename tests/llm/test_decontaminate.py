@@ -57,3 +57,23 @@ def test_as_plain_search(spark, folder):
     }
     found = {(r["doc_id"], r["item_id"]) for r in D.find_items(docs, items).collect()}
     assert whole and whole == found
+
+
+WORDS = "the quick survey of river plants shows that most reeds grow where slow water meets a bank of clay".split()
+LONG = [f"{a}{b}" for a in ("bar", "cel", "dor", "fen", "gim", "hul") for b in ("an", "eth", "il", "osk", "um", "yr", "ack", "ond")]
+
+
+def test_few_changed_words_and_long_parts(spark):
+    changed = [(), (9,), (2, 12), (5, 10), (3, 7, 14), (4, 9, 14), (6, 7, 12)]
+    docs = [(n, "before it " + " ".join("zq" if k in c else w for k, w in enumerate(WORDS)) + " after") for n, c in enumerate(changed)]
+    docs += [(20, "x y " + " ".join(LONG[16:32]) + " z"), (21, "x y " + " ".join(LONG[16:24] + ["zq"] + LONG[25:33]) + " z")]
+    docs += [(30, " ".join(WORDS[:8]) + " and then nothing else at all"), (31, " ".join(LONG[5:14])), (32, " ".join(sorted(WORDS)))]
+    found = held(spark, docs, [(1, " ".join(WORDS)), (2, " ".join(LONG))])
+    assert set(found) == {(n, 1) for n in range(len(changed))} | {(20, 2), (21, 2)}
+
+
+def test_anchors_that_many_items_share_give_way(spark, monkeypatch):
+    monkeypatch.setattr(D, "ANCHOR_PLACES", 1)
+    items = [(n, f"which of the following is {w} " + " ".join(f"{w}{x}" for x in LONG[:14])) for n, w in enumerate(("red", "blue", "green"))]
+    docs = [(n, t.replace("bar", "tar", 2)) for n, t in items]
+    assert set(held(spark, docs, items)) == {(n, n) for n, _ in items}
