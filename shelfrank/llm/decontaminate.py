@@ -1,9 +1,9 @@
 """Benchmark decontamination by template windows.
 
 Texts are canonicalised: numbers, names (capitalised words) and units next to a number become typed
-placeholders, all other words are lower-cased literals. Windows of WINDOW tokens are hashed over the
-template and over their own words and joined with the windows of the benchmark by hash; templates
-with few literals say little and are left out. Along each alignment of a document with an item the
+placeholders, all other words are literals. Windows of WINDOW tokens are hashed over the template and,
+without regard to case, over their own words, and joined with the windows of the benchmark by hash;
+templates with few literals say little and are left out. Along each alignment of a document with an item the
 slots must be consistent: one value of the item stands for one value of the document and the other
 way round, for each type, so that a question with other numbers and names is caught but a chance
 match of the template is not.
@@ -53,12 +53,12 @@ _OTHER = np.uint64(0x5851F42D4C957F2D)
 
 
 class _Codes(dict):
-    """Token to a hash of its lower case with its kind in the low bits; forgets all once it is full."""
+    """Token to a hash without regard to case, with its kind in the low bits; forgets all once it is full."""
 
     def __missing__(self, token: str) -> int:
         if len(self) >= REMEMBERED:
             self.clear()
-        low = token.lower()
+        low = token.casefold()
         kind = UNIT if low in UNITS else NUMBER if token[0].isdigit() else NAME if token[0].isupper() else LITERAL
         self[token] = code = (xxhash.xxh3_64_intdigest(low) >> 3) << 2 | kind
         return code
@@ -68,7 +68,7 @@ class _Codes(dict):
 class Canonical:
     """The tokens of several texts, one after another."""
 
-    word: np.ndarray  # hash of each token
+    word: np.ndarray  # hash of each token without regard to case or kind
     template: np.ndarray  # the same with placeholders
     kind: np.ndarray  # LITERAL, NUMBER, NAME or UNIT
     edges: np.ndarray  # where each text begins, and the end
@@ -109,7 +109,8 @@ def canonical(texts: list[str], codes: _Codes) -> Canonical:
     first[edges[:-1][filled]] = last[edges[1:][filled] - 1] = True
     beside = (number[:-2] & ~first) | (number[2:] & ~last)
     kind = np.where((kind == UNIT) & ~beside, LITERAL, kind)
-    return Canonical(own, np.where(kind == LITERAL, own, _PLACE[kind]), kind, edges)
+    word = own >> 2
+    return Canonical(word, np.where(kind == LITERAL, word, _PLACE[kind]), kind, edges)
 
 
 class _Places:

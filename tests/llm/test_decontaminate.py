@@ -77,3 +77,11 @@ def test_anchors_that_many_items_share_give_way(spark, monkeypatch):
     items = [(n, f"which of the following is {w} " + " ".join(f"{w}{x}" for x in LONG[:14])) for n, w in enumerate(("red", "blue", "green"))]
     docs = [(n, t.replace("bar", "tar", 2)) for n, t in items]
     assert set(held(spark, docs, items)) == {(n, n) for n, _ in items}
+
+
+def test_copies_in_other_case(spark):
+    item = "The Danube rises in the Black Forest and, after Passau, Linz and Vienna, Bratislava and Budapest, reaches the Black Sea in Romania; die Straße führt entlang"
+    docs = [(1, item.lower()), (2, item.upper()), (3, item.title()), (4, "so " + ITEM.upper()), (5, PLAIN.upper()), (6, PLAIN.title())]
+    found = held(spark, docs, [(1, item), (2, ITEM), (3, PLAIN)])
+    assert set(found) == {(1, 1), (2, 1), (3, 1), (4, 2), (5, 3), (6, 3)}
+    assert all(r["coverage"] == 1.0 and r["exact"] for r in found.values())
