@@ -6,7 +6,7 @@ without regard to case, over their own words, and joined with the windows of the
 templates with few literals say little and are left out. Along each alignment of a document with an item the
 slots must be consistent: one value of the item stands for one value of the document and the other
 way round, for each type, so that a question with other numbers and names is caught but a chance
-match of the template is not.
+match of the template is not. Windows over a slot that contradicts the others are left out.
 
 Edits break windows, so these only lead to an alignment. Along it all tokens are compared: a document
 holds an item if half of the item's tokens are equal or in matched windows, or if windows of equal
@@ -17,6 +17,7 @@ The windows of the benchmark are broadcast in slices of bounded size; each slice
 so the results of the slices add up.
 """
 
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 import re
@@ -214,6 +215,7 @@ class Index:
             kept = self._consistent(texts, base, shift, spans, equal)
         if not kept:
             return None
+        equal = [span for span in equal if span in kept]
         covered, sure = same.copy(), np.zeros(n, bool)
         for p, q in kept:
             covered[p:q] = True
@@ -225,15 +227,30 @@ class Index:
         return covered, sure, windows, kept[0][0], len(kept) == len(equal)
 
     def _consistent(self, texts: Canonical, base: int, shift: int, spans: list, equal: list) -> list:
-        """The windows that stay: none if the slots contradict one another."""
+        """The windows that stay: those not over a slot that contradicts others. A value stands for
+        itself if it does so anywhere, else for what it stands for most often; if that is open for
+        one of them, only whole windows of equal words stay."""
         covered = np.unique(np.concatenate([np.arange(p, q) for p, q in spans]))
         slots = covered[self.texts.kind[base + covered] != LITERAL]
-        pairs = set(zip(
+        pairs = list(zip(
             self.texts.kind[base + slots].tolist(), self.texts.word[base + slots].tolist(), texts.word[shift + slots].tolist()
         ))
-        if len({p[:2] for p in pairs}) < len(pairs) or len({p[::2] for p in pairs}) < len(pairs):
-            return []
-        return spans
+        there, back = defaultdict(Counter), defaultdict(Counter)
+        for kind, a, b in pairs:
+            there[kind, a][b] += 1
+            back[kind, b][a] += 1
+        stands = [{key: self._stands_for(key[1], seen) for key, seen in side.items()} for side in (there, back)]
+        if any(None in side.values() for side in stands):
+            return [(p, q) for p, q in equal if q - p >= WINDOW]
+        wrong = [s for s, (kind, a, b) in zip(slots.tolist(), pairs) if (stands[0][kind, a], stands[1][kind, b]) != (b, a)]
+        return [(p, q) for p, q in spans if (p, q) in equal or not any(p <= s < q for s in wrong)]
+
+    @staticmethod
+    def _stands_for(value: int, seen: Counter) -> int | None:
+        if value in seen:
+            return value
+        (first, n), *others = seen.most_common(2)
+        return None if others and others[0][1] == n else first
 
     def _enough(self, item: int, aligned: list) -> bool:
         """Whether alignments (shift, covered tokens, sure tokens, windows, ...) show the item: tokens

@@ -85,3 +85,17 @@ def test_copies_in_other_case(spark):
     found = held(spark, docs, [(1, item), (2, ITEM), (3, PLAIN)])
     assert set(found) == {(1, 1), (2, 1), (3, 1), (4, 2), (5, 3), (6, 3)}
     assert all(r["coverage"] == 1.0 and r["exact"] for r in found.values())
+
+
+def test_contradictory_slots_take_only_their_windows(spark):
+    item = " ".join(["The", *LONG[:11], "7", *LONG[11:24], "The", *LONG[24:36], "7", *LONG[36:]])
+    others = [w[::-1] for w in LONG]
+    renamed = " ".join(["Ann", *others[:9], "Ann", *others[9:20], "Ann", *others[20:30], "5", *others[30:]])
+    docs = [
+        (1, item.replace("The", "A", 1)), (2, item[::-1].replace("7", "8", 1)[::-1]), (3, item.replace("The", "A", 1).replace("7", "9", 1)),
+        (4, renamed.replace("Ann", "Eve").replace("5", "6")), (5, renamed.replace("Ann", "Eve", 2).replace("Ann", "Kim")), (6, PLAIN),
+    ]
+    found = held(spark, docs, [(1, item), (2, renamed)])
+    assert set(found) == {(1, 1), (2, 1), (3, 1), (4, 2), (5, 2)}
+    assert found[4, 2]["coverage"] == 1.0 and found[1, 1]["matched_windows"] == found[1, 1]["n_windows"] - 1
+    assert found[2, 1]["n_windows"] - found[2, 1]["matched_windows"] == 8
