@@ -275,7 +275,7 @@ def _exact_links(dealt: DataFrame, threshold: float) -> DataFrame:
     def one(rows: pa.RecordBatch, words: _Words) -> pa.RecordBatch:
         sids = rows.column(4).to_pylist()
         grams = [n_grams(t.as_py() or "", words) for t in rows.column(6)]
-        # a repeated document id can bring other texts, or the same twice
+        # a text whose hash another one shares can be the other's
         fits = {s: i for i, s in enumerate(sids) if xxhash.xxh3_128_digest(grams[i].tobytes()) == s}
         keep = sorted(fits.values())
         sids, grams = [sids[i] for i in keep], [grams[i] for i in keep]
@@ -332,22 +332,26 @@ def classify(documents: DataFrame, threshold: float = THRESHOLD, recall: float =
     without id are linked as others are, and a class of such rows only has no id. No rows give no
     rows. A pair of different sets can be missed with a probability of at most 1 - ``recall``."""
     scratch = Scratch(documents.sparkSession, "jaccard")
+    one = ["id", "no_id", "text_hash"]
+    named = lambda df: df.withColumns({"id": F.coalesce("doc_id", F.lit(0)), "no_id": F.col("doc_id").isNull()})
     given = documents.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"),
         F.col("text").cast("string").alias("text"),
     )
     sketched = scratch.keep(_sketched(given), "sketched")
     worded = sketched.where(F.col("sid").isNotNull())
-    counted = worded.groupBy("sid").agg(
-        F.count("*").alias("copies"), F.min("doc_id").alias("least_doc"), F.first("sketch").alias("sketch"), F.first("low").alias("low"),
+    counted = named(worded).groupBy("sid").agg(
+        F.count("*").alias("copies"), F.min("doc_id").alias("least_doc"), F.min(F.struct(*one)).alias("one"),
+        F.first("sketch").alias("sketch"), F.first("low").alias("low"),
     )
     sets = scratch.keep(counted, "sets")
     links = candidate_links(sets, scratch, threshold, recall)
     comps = scratch.keep(components(links, scratch, "candidates").select(F.col("node").alias("sid"), F.xxhash64("root").alias("comp")), "comps")
     sizes = comps.groupBy("comp").agg(F.count("*").alias("n"))
-    wanted = comps.join(sizes, "comp").join(sets.select("sid", "copies", "least_doc"), "sid")
-    # Of a set's documents the least is enough: its text has all n-grams.
-    texts = wanted.join(given.select("doc_id", "text"), F.col("least_doc").eqNullSafe(F.col("doc_id"))).drop("doc_id", "least_doc")
+    wanted = comps.join(sizes, "comp").join(sets.select("sid", "copies", "one.*"), "sid")
+    # One text of each set is enough: it has all n-grams. Copies go before they meet in a task.
+    distinct = named(given).groupBy(*one).agg(F.first("text").alias("text"))
+    texts = wanted.join(distinct, one).drop(*one)
     exact = scratch.keep(_exact_links(_blocks(texts, "comp", "n", TEXT_BLOCK), threshold), "exact")
     roots = components(exact.select(F.col("sid").alias("u"), F.col("root").alias("v")), scratch, "classes")
     n_links = exact.groupBy("sid").agg(F.sum("links").alias("links"))

@@ -92,3 +92,19 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 90), (90, 95), (50, 50), (200, 100), (7, 3)]
     found = components(spark.createDataFrame(edges, "u long, v long"), Scratch(spark, "t"), "c").collect()
     assert {(r["node"], r["root"]) for r in found} == {(i, 1) for i in range(1, 41)} | {(i, 90) for i in (90, 95, 100, 200)}
+
+
+def test_one_text_a_set_reaches_the_blocks(spark, monkeypatch):
+    base, seen = prose(60), []
+    rows = [(n, near(base, 1)) for n in (None, None, None, 5, 5, 7)] + [(n, " ".join(prose(40))) for n in [None] * 50 + [5] * 20]
+    rows += [rows[0]] * 30
+    exact = J._exact_links
+
+    def spy(dealt, threshold):
+        seen.append((dealt.count(), dealt.select("sid").distinct().count()))
+        return exact(dealt, threshold)
+
+    monkeypatch.setattr(J, "_exact_links", spy)
+    assert run(spark, rows) == brute(rows)
+    (dealt, sets), = seen
+    assert dealt == sets >= 6
