@@ -94,20 +94,21 @@ def _split_long(text: bytes, edges: list[int]) -> list[int]:
     return out
 
 
-CHUNKS = "doc long, start int, end int, d1 long, d2 long, again boolean"
+CHUNKS = "doc long, text_hash long, start int, end int, d1 long, d2 long, again boolean"
 _SHAPE = pa.schema([
-    ("doc", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("d1", pa.int64()), ("d2", pa.int64()), ("again", pa.bool_()),
+    ("doc", pa.int64()), ("text_hash", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("d1", pa.int64()), ("d2", pa.int64()), ("again", pa.bool_()),
 ])
 
 
 def chunks(documents: DataFrame) -> DataFrame:
-    """A row per chunk: doc, start and end (bytes of the UTF-8 text), digest (d1, d2), and whether an
+    """A row per chunk: doc, text_hash (of the whole text, as ids can repeat or lack), start and end (bytes of the UTF-8 text), digest (d1, d2), and whether an
     earlier chunk of the document has the same digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             docs, texts, held = [], [], 0
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary())):
+            ids = zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())
+            for doc, text in zip(ids, batch.column(1).cast(pa.binary())):
                 docs.append(doc)
                 texts.append(text.as_py())
                 held += len(texts[-1])
@@ -117,7 +118,7 @@ def chunks(documents: DataFrame) -> DataFrame:
             if docs:
                 yield pack(docs, texts)
 
-    def pack(docs: list[int], texts: list[bytes]) -> pa.RecordBatch:
+    def pack(docs: list[tuple[int, int]], texts: list[bytes]) -> pa.RecordBatch:
         starts, ends, digests, sizes, again = [], [], [], [], []
         for a, b, d in chunk_texts(texts):
             starts += a
@@ -127,11 +128,13 @@ def chunks(documents: DataFrame) -> DataFrame:
             seen: set[bytes] = set()
             again += [x in seen or bool(seen.add(x)) for x in d]
         halves = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-        columns = [np.repeat(np.array(docs, np.int64), sizes), starts, ends, halves[:, 0].copy(), halves[:, 1].copy(), again]
+        ids = np.repeat(np.array(docs, np.int64), sizes, axis=0)
+        columns = [ids[:, 0].copy(), ids[:, 1].copy(), starts, ends, halves[:, 0].copy(), halves[:, 1].copy(), again]
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _SHAPE)], schema=_SHAPE)
 
     given = documents.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.col("text").cast("string").alias("text")
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.col("text").cast("string").alias("text"),
+        F.xxhash64(F.col("text").cast("string")).alias("text_hash"),
     )
     return given.where(F.col("text") != "").mapInArrow(run, CHUNKS)
 
@@ -144,39 +147,47 @@ def repeated_runs(documents: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
 
     The first document of a passage is reported too, with nothing to cut. Null and empty texts have
     no runs. Rows with equal doc_ids are one document: what both have, both keep. Rows without id
-    count as one document after all others. No rows give no rows."""
+    count as one document after all others. Each text has runs of its own, also where ids repeat or
+    lack. No rows give no rows."""
+    known = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
+    return _text_runs(documents, min_run).select(
+        known("doc").alias("doc_id"), "start", "end", "n_chunks", "copies", known("first_doc").alias("first_doc"),
+        "cut_bytes", "cuts",
+    )
+
+
+def _text_runs(documents: DataFrame, min_run: int) -> DataFrame:
+    """The rows of ``repeated_runs`` with doc and text_hash of their text."""
     scratch = Scratch(documents.sparkSession, "substrings")
     found = chunks(documents)
     counted = found.groupBy("d1", "d2").agg(F.min("doc").alias("first_doc"), F.count("*").alias("copies"))
     repeated = scratch.keep(counted.where(F.col("copies") > 1), "repeated")
     dup = found.join(repeated, ["d1", "d2"]).select(
-        "doc", "start", "end", "first_doc", "copies", ((F.col("first_doc") < F.col("doc")) | F.col("again")).alias("cut"),
+        "doc", "text_hash", "start", "end", "first_doc", "copies", ((F.col("first_doc") < F.col("doc")) | F.col("again")).alias("cut"),
     )
-    in_order = Window.partitionBy("doc").orderBy("start", "end", "cut")
+    in_order = Window.partitionBy("doc", "text_hash").orderBy("start", "end", "cut")
     fresh = F.coalesce(F.lag("end").over(in_order) < F.col("start"), F.lit(True)).cast("int")
     runs = dup.withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
     part = F.struct("start", "end")
-    merged = runs.groupBy("doc", "run").agg(
+    merged = runs.groupBy("doc", "text_hash", "run").agg(
         F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n_chunks"),
         F.max("copies").alias("copies"), F.min("first_doc").alias("first_doc"),
         F.array_sort(F.collect_set(F.when(F.col("cut"), part))).alias("cuts"),
     )
     size = F.aggregate("cuts", F.lit(0).cast("long"), lambda total, x: total + x["end"] - x["start"])
-    known = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
-    return merged.where(F.col("end") - F.col("start") >= min_run).select(
-        known("doc").alias("doc_id"), "start", "end", "n_chunks", "copies", known("first_doc").alias("first_doc"),
-        size.alias("cut_bytes"), "cuts",
-    )
+    return merged.where(F.col("end") - F.col("start") >= min_run).withColumn("cut_bytes", size)
 
 
 def without_repeats(documents: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
     """All rows and columns of ``documents`` with the cuts of ``repeated_runs`` taken out of text."""
-    runs = repeated_runs(documents, min_run).where(F.col("cut_bytes") > 0)
-    cuts = runs.groupBy(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc")).agg(
+    runs = _text_runs(documents, min_run).where(F.col("cut_bytes") > 0)
+    cuts = runs.groupBy("doc", "text_hash").agg(
         F.array_sort(F.flatten(F.collect_list("cuts"))).alias("cuts")
     )
     packed = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"))
-    joined = packed.join(cuts, F.coalesce(F.col("row").getField("doc_id").cast("long"), F.lit(NO_ID)) == F.col("doc"), "left")
+    doc = F.coalesce(F.col("row").getField("doc_id").cast("long"), F.lit(NO_ID))
+    same = (doc == F.col("doc")) & (F.xxhash64(F.col("row").getField("text").cast("string")) == F.col("text_hash"))
+    joined = packed.join(cuts, same, "left")
     data = F.encode(F.col("row").getField("text"), "UTF-8")
     state = F.struct(F.lit(0).alias("at"), F.array().cast("array<binary>").alias("kept"))
     kept = F.aggregate("cuts", state, lambda s, c: F.struct(

@@ -73,3 +73,21 @@ def test_ids_that_repeat_or_lack(spark):
     got = {(r["doc_id"], r["cut_bytes"]) for r in S.repeated_runs(df).collect()}
     assert got == {(1, 0), (None, len(text.encode()))}
     assert S.repeated_runs(df.limit(0)).count() == 0
+
+
+def test_different_texts_under_one_id_do_not_mix(spark):
+    texts = [prose(n) for n in (60, 55, 70)]
+    own = [prose(40) for _ in range(4)]
+    inside = [f"{own[0]} {texts[0]}", f"{texts[1]} {own[1]}", f"{own[2]} {texts[2]} {own[3]}", prose(90)]
+    rows = [(n, t) for n, t in enumerate(texts)]
+    apart = spark.createDataFrame(rows + [(10 + n, t) for n, t in enumerate(inside)], "doc_id long, text string")
+    cuts = lambda df, low: sorted(
+        (r["start"], r["end"], r["n_chunks"], r["cut_bytes"]) for r in S.repeated_runs(df).collect() if r["doc_id"] is None or r["doc_id"] >= low
+    )
+    told = cuts(apart, 10)
+    assert len(told) == 3
+    left = {r["text"] for r in S.without_repeats(apart).collect()}
+    for doc in (None, 10):
+        together = spark.createDataFrame(rows + [(doc, t) for t in inside], apart.schema)
+        assert cuts(together, 10) == told
+        assert {r["text"] for r in S.without_repeats(together).collect()} == left
