@@ -7,12 +7,15 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from shelfrank.llm.bpe import encode_documents, tokenizer_json
+from shelfrank.llm.bpe_transducer import encode_ranked, rank_file
 from shelfrank.llm.chat_format import chat_digests, format_chats
 from shelfrank.llm.decontaminate import find_items
 from shelfrank.llm.hamming_search import sign_codes, top_k
 from shelfrank.llm.jaccard_join import classify
 from shelfrank.llm.line_dedup import drop_boilerplate
+from shelfrank.llm.periodic_runs import periodic_runs, run_digests, with_planted_runs
 from shelfrank.llm.sharding import place
+from shelfrank.llm.spelling_variants import group_variants, vocabulary
 from shelfrank.llm.substring_dedup import repeated_runs
 from shelfrank.llm.toxicity import learn, score
 from shelfrank.llm.warc import archive_pages
@@ -107,3 +110,21 @@ def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 def op3_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     """The class and the number of near duplicates of every document."""
     return classify(read(spark, folder, "documents")).drop("text_hash", "class_key")
+
+
+@query
+def op11_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    """Every word of the documents with its more frequent form."""
+    return group_variants(vocabulary(read(spark, folder, "documents")))
+
+
+@query
+def op12_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document encoded and decoded by the rank file."""
+    return encode_ranked(read(spark, folder, "documents"), rank_file())
+
+
+@query
+def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """The periodic runs of every document, about every tenth of which is made to repeat itself."""
+    return run_digests(periodic_runs(with_planted_runs(read(spark, folder, "documents"))))
