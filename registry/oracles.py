@@ -366,6 +366,32 @@ ap AS (
 """
 
 
+# What a pair pulls: the change of average precision if its rows change places, times how wrong it is.
+GRADIENTS = """
+scored AS (
+  SELECT 'equal' AS scores, week, customer_id, article_id, target, 0::DOUBLE AS s FROM train
+  UNION ALL SELECT 'mixed', week, customer_id, article_id, target, ((customer_id * 31 + article_id * 17) % 101) / 101.0::DOUBLE FROM train),
+numbered AS (
+  SELECT *, (target > 0)::INT AS hit, row_number() OVER (PARTITION BY scores, week, customer_id ORDER BY s DESC, article_id) AS place FROM scored),
+placed AS (
+  SELECT *, sum(hit) OVER w AS hits, sum(hit::DOUBLE / place) OVER w AS inverse,
+    sum(hit) OVER (PARTITION BY scores, week, customer_id) AS all_hits
+  FROM numbered WINDOW w AS (PARTITION BY scores, week, customer_id ORDER BY place ROWS UNBOUNDED PRECEDING)),
+pairs AS (
+  SELECT h.scores, h.week, h.customer_id, h.article_id AS a, m.article_id AS b, 1 / (1 + exp(h.s - m.s)) AS odds,
+    (h.target - m.target) / h.all_hits * CASE WHEN h.place < m.place
+      THEN h.hits::DOUBLE / h.place - m.hits::DOUBLE / m.place + m.inverse - h.inverse
+      ELSE (m.hits + 1)::DOUBLE / m.place - h.hits::DOUBLE / h.place + h.inverse - 1.0::DOUBLE / h.place - m.inverse END AS weight
+  FROM placed h JOIN placed m ON h.scores = m.scores AND h.week = m.week AND h.customer_id = m.customer_id
+  WHERE h.hit = 1 AND m.hit = 0),
+pulls AS (
+  SELECT scores, week, customer_id, article_id, sum(pull) AS pull, sum(bend) AS bend FROM (
+    SELECT scores, week, customer_id, a AS article_id, weight * odds AS pull, weight * odds * (1 - odds) AS bend FROM pairs
+    UNION ALL SELECT scores, week, customer_id, b, -weight * odds, weight * odds * (1 - odds) FROM pairs)
+  GROUP BY ALL)
+"""
+
+
 def oracles() -> dict[str, str]:
     out = {
         "transactions_dedup": _sql("SELECT * FROM tx"),
@@ -567,6 +593,10 @@ def oracles() -> dict[str, str]:
         "grouped_folds_hash": _sql(
             "SELECT DISTINCT customer_id, (('0x' || substr(md5(customer_id || ':46'), 1, 15))::BIGINT % 10)::INTEGER AS fold FROM scores"
         ),
+        "ranker_gradients": _sql(
+            "SELECT scores, week, customer_id, article_id, target, round(coalesce(pull, 0) + 1e-8, 6) AS gradient, round(coalesce(bend, 0) + 1e-8, 6) AS curvature "
+            "FROM placed LEFT JOIN pulls USING (scores, week, customer_id, article_id)", GRADIENTS
+        ),
         "ranker_oof_folds": _sql(
             "SELECT customer_id, article_id, CASE WHEN (p // n) % 2 = 0 THEN p % n ELSE n - 1 - p % n END AS fold, true AS scored FROM wide0 JOIN ("
             "SELECT customer_id, row_number() OVER (ORDER BY count(*) DESC, customer_id) - 1 AS p, "

@@ -24,6 +24,7 @@ from shelfrank.plans.candidates import (
 from shelfrank.plans.catalogue import ATTRIBUTE_KEYS, PAIR, STATISTICS, stale_filled
 from shelfrank.plans.clean import enrich
 from shelfrank.plans.flows import lists_folder, predict, recommend_in_waves, train, train_stack
+from shelfrank.plans.listwise import ListParams, gradients
 from shelfrank.plans.ranker import TreeParams, mean_score, shared_top
 from shelfrank.plans.recommend import (
     ground_truth, ground_truth_lists, inputs_at, popularity_with_history, published, ranked_lists,
@@ -44,6 +45,7 @@ REPEAT_WEIGHT = 50.0
 SINCE = date(1998, 1, 1)
 CUTOFFS = [25, 50, 100, 200]
 TREES = TreeParams(depth=4, rounds=10, rate=0.2)
+LISTWISE = ListParams()
 
 
 def query(name: str):
@@ -570,10 +572,24 @@ def training_features_query(t: Tables) -> DataFrame:
     return rounded(as_long(rows, *stale_filled(), "week"))
 
 
+@query("ranker_gradients")
+def ranker_gradients(t: Tables) -> DataFrame:
+    """Gradients of all training rows, grouped by customer and week: of the first round, where all scores
+    are equal, and at scores that differ."""
+    labelled = t.stored("training_set", lambda: training_set(t.transactions(), t.popular_by_week(), AFTER_LAST, PARAMS))
+    mixed = ((F.col("customer_id") * 31 + F.col("article_id") * 17) % 101) / 101.0
+    kinds = F.array(F.struct(F.lit("equal").alias("scores"), F.lit(0.0).alias("score")), F.struct(F.lit("mixed").alias("scores"), mixed.alias("score")))
+    rows = labelled.select("week", *KEYS, "target", F.inline(kinds))
+    group = ["scores", "week", "customer_id"]
+    # Equal scores give halves that rounding would settle by the last bit: they are moved off the border.
+    moved = {c: F.col(c) + 1e-8 for c in ("gradient", "curvature")}
+    return rounded(as_long(gradients(rows, group).withColumns(moved), "week"))
+
+
 @query("ranker_fit_score")
 def ranker_fit_score(t: Tables) -> DataFrame:
     trans, articles, customers = t.transactions(), t.articles(), t.customers()
-    model = train(t.store, trans, articles, customers, AFTER_LAST, PARAMS, TREES)
+    model = train(t.store, trans, articles, customers, AFTER_LAST, PARAMS, LISTWISE)
     scored = predict(model, trans, articles, customers, t.label_customers(), DS, PARAMS)
     return top_k(scored, ["customer_id"], metrics.best_first(), PARAMS.keep, "place")
 

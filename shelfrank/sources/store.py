@@ -10,12 +10,46 @@ from pyspark.sql import functions as F
 from shelfrank.session import shared_folder
 
 
+def _files(df: DataFrame) -> list[tuple[str, int, int]]:
+    """Name, size and time of the files that a table is read from."""
+    spark, found = df.sparkSession, []
+    for name in sorted(df.inputFiles()):
+        path = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(name))
+        status = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path)
+        found.append((name, status.getLen(), status.getModificationTime()))
+    return found
+
+
+def _content(df: DataFrame) -> tuple:
+    """Number of rows and sums of their digests, whatever their order."""
+    mixed = F.xxhash64(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"}))
+    return tuple(df.agg(F.count("*"), F.sum(mixed.bitwiseAND(0xFFFFFFFF)), F.sum(F.shiftrightunsigned(mixed, 32))).first())
+
+
+def _whole_plan(df: DataFrame) -> str:
+    """The plan's text with all of its fields and places."""
+    conf, limits = df.sparkSession.conf, {"spark.sql.debug.maxToStringFields": "100000", "spark.sql.maxMetadataStringLength": "100000"}
+    before = {name: conf.get(name) for name in limits}
+    for name, value in limits.items():
+        conf.set(name, value)
+    try:
+        return df._jdf.queryExecution().optimizedPlan().canonicalized().toString()
+    finally:
+        for name, value in before.items():
+            conf.set(name, value)
+
+
 def identity(part: object) -> str:
-    """What tells inputs and parameters apart: of a table its files and its plan, else the text."""
+    """What tells inputs and parameters apart: of a table its schema, its whole plan, and the name, size and
+    time of every file; where any of its rows come from elsewhere, which a plan does not show, their
+    number and digest instead, at the cost of one pass. Else the text."""
     if not isinstance(part, DataFrame):
         return repr(part)
-    plan = part._jdf.queryExecution().optimizedPlan().canonicalized().toString()
-    return f"{sorted(part.inputFiles())} {plan}"
+    leaves = part._jdf.queryExecution().optimizedPlan().collectLeaves()
+    kinds = [leaves.apply(i).getClass().getSimpleName() for i in range(leaves.size())]
+    if any(kind != "LogicalRelation" for kind in kinds):
+        return f"{part.schema.simpleString()} {_content(part)}"
+    return f"{part.schema.simpleString()} {_files(part)} {_whole_plan(part)}"
 
 
 class TableStore:

@@ -16,7 +16,8 @@ from shelfrank.plans.ranker import (
 from shelfrank.plans.recommend import additive_top_k
 from shelfrank.plans.stacking import ScoreFormat, normalise, with_stack_label
 from shelfrank.sources.bindings import AFTER_LAST, DS, MODELS, PARAMS
-from shelfrank.sources.store import TableStore, unfinished, write_restartable
+from shelfrank.operators.ordering import settle
+from shelfrank.sources.store import TableStore, identity, unfinished, write_restartable
 from shelfrank.sources.tables import SCHEMAS, load_transactions, read_csv, write_csv
 from test_operators import plain_ap
 
@@ -183,6 +184,30 @@ def test_restart_replaces_only_its_buckets(spark, tmp_path):
     assert got.count() == 30 and got.where("prediction = 'new'").count() == len(rows)
 
 
+def test_store_tells_inputs_apart(spark, tmp_path):
+    """Tables in memory by their rows, plans by every column, files by size and time."""
+    one, two = (spark.createDataFrame([(i,)], "x int") for i in (1, 2))
+    assert identity(one) != identity(two) and identity(one) == identity(spark.createDataFrame([(1,)], "x int"))
+    assert identity(settle(one)) != identity(settle(two))
+    path = (tmp_path / "t").as_uri()
+    spark.range(5).write.parquet(path)
+    read = lambda: spark.read.parquet(path)
+    wide = lambda last: read().select("id", *[(F.col("id") + i).alias(f"c{i}") for i in range(40)], (F.col("id") + last).alias("c40"))
+    assert identity(wide(1)) != identity(wide(2)) and identity(wide(1)) == identity(wide(1))
+    assert identity(read().union(one.select(F.col("x").cast("long")))) != identity(read().union(two.select(F.col("x").cast("long"))))
+    before = identity(read())
+    assert before == identity(read())
+    spark.range(5, 10).write.mode("overwrite").parquet(path)
+    assert identity(read()) != before
+
+
+def test_other_rows_do_not_meet_an_old_table(spark, tmp_path):
+    store = TableStore(spark, (tmp_path / "s").as_uri())
+    tables = [spark.createDataFrame([(i,)], "x int") for i in (1, 2)]
+    got = [store.about(t).reuse("t", "2001-01-01", lambda t=t: t).first()["x"] for t in tables]
+    assert got == [1, 2]
+
+
 # --- ranker
 
 
