@@ -11,7 +11,9 @@ match of the template is not. Windows over a slot that contradicts the others ar
 Edits break windows, so these only lead to an alignment. Along it all tokens are compared: a document
 holds an item if half of the item's tokens are equal or in matched windows, or if windows of equal
 words hold ENOUGH words, which a part of a long item does. Items that a few edits can leave without
-a whole window are found by shorter runs of equal tokens too.
+a whole window are found by shorter runs of equal tokens too. Windows and runs lead to all items that have
+them, however many: items of equal text are one entry, and the alignments of all others are counted
+through at once before any is looked at closely.
 
 The windows of the benchmark are broadcast in slices of bounded size; each slice holds whole items,
 so the results of the slices add up.
@@ -33,11 +35,11 @@ MIN_LITERALS = 4
 MIN_SHARE = 0.5  # of the item's tokens that are equal or in matched windows
 ENOUGH = 13  # words in equal windows that show an item of any length
 ANCHORS = ((4, 24), (6, 32))  # equal tokens that lead to an item of fewer tokens, of which edits may leave no window
-ANCHOR_PLACES = 64  # of an anchor; one that more share gives way to a longer one
 BAND = 8  # tokens put in or left out between alignments that count together
 SLICE_BYTES = 32 << 20  # text of a slice of the benchmark
 REMEMBERED = 300_000
 BATCH_CHARS = 4 << 20
+AT_ONCE = 1 << 20  # tokens compared at once
 
 TOKEN = re.compile(r"\d+(?:[.,]\d+)*|[^\W\d_]+|[%$€£°]")
 LITERAL, NUMBER, NAME, UNIT = range(4)
@@ -139,9 +141,13 @@ class _Places:
 class Index:
     """Windows of benchmark items by hash."""
 
-    def __init__(self, items: list[tuple[int, str]]):
-        texts = canonical([t for _, t in items], _Codes())
-        self.ids = [i for i, _ in items]
+    def __init__(self, given: list[tuple[int, str]]):
+        of_text: dict[str, list] = {}
+        for i, t in given:
+            of_text.setdefault(t, []).append(i)
+        items = list(of_text)
+        texts = canonical(items, _Codes())
+        self.ids = list(of_text.values())  # of all items with a text
         self.texts, self.length = texts, np.diff(texts.edges)
         self.size = np.minimum(self.length, WINDOW)
         self.windows = np.where(self.length > 0, self.length - self.size + 1, 0)
@@ -149,28 +155,20 @@ class Index:
         of = np.repeat(np.arange(len(items)), self.length)
         self.tables: list[_Places] = []
 
-        def add(size: int, form: str, wanted: np.ndarray) -> np.ndarray:
-            """Windows of the items ``wanted``; of short anchors those that few share, the first
-            tokens of the others are returned."""
+        def add(size: int, form: str, wanted: np.ndarray) -> None:
+            """Windows of the items ``wanted``."""
             starts, keys = texts.keys(size, form)
             some = wanted[of[starts]]
             starts, keys = starts[some], keys[some]
-            _, group, n = np.unique(keys, return_inverse=True, return_counts=True)
-            rare = (n[group] <= ANCHOR_PLACES) if len(keys) else np.empty(0, bool)
-            use = slice(None) if (self.size[of[starts]] == size).all() else rare
-            at = starts[use]
-            if len(at):
-                self.tables.append(_Places(size, form, keys[use], of[at], at - texts.edges[of[at]]))
-            return starts[~rare]
+            if len(starts):
+                self.tables.append(_Places(size, form, keys, of[starts], starts - texts.edges[of[starts]]))
 
         for size in sorted({int(s) for s in self.size if s}):
             for form in ("word", "template"):
                 add(size, form, self.size == size)
-        left = np.zeros(len(items), bool)  # items some of whose short anchors many share
-        shortest = WINDOW
+        shortest = WINDOW + 1
         for size, below in ANCHORS:
-            wanted = (self.length > WINDOW) & (self.length < below) & ((self.length >= shortest) | left)
-            left[of[add(size, "word", wanted)]] = True
+            add(size, "word", (self.length >= shortest) & (self.length < below))
             shortest = below
 
     def matches(self, texts: Canonical) -> Iterator[tuple[int, int, int, int, bool]]:
@@ -181,14 +179,18 @@ class Index:
             return
         start, item, place = (np.concatenate([f[k] for f in found]) for k in range(3))
         size = np.repeat([f[3] for f in found], [len(f[0]) for f in found])
+        slots = np.repeat([t.size * (t.form == "template") for t in self.tables], [len(f[0]) for f in found])
         doc, shift = np.searchsorted(texts.edges, start, side="right") - 1, start - place
         order = np.lexsort((place, shift, item, doc))
-        doc, item, shift, place, size = doc[order], item[order], shift[order], place[order], size[order]
+        doc, item, shift, place, size, slots = (x[order] for x in (doc, item, shift, place, size, slots))
         turn = (np.diff(doc) != 0) | (np.diff(item) != 0)
         pairs = np.flatnonzero(np.concatenate(([True], turn, [True])))
         lines = np.flatnonzero(np.concatenate(([True], turn | (np.diff(shift) != 0), [True])))
         ends = np.searchsorted(lines, pairs)
-        for begin, first, last in zip(pairs[:-1].tolist(), ends[:-1].tolist(), ends[1:].tolist()):
+        at = lines[:-1]
+        most = self._equal(texts, doc[at], item[at], shift[at]) + np.add.reduceat(slots, at)
+        able = np.add.reduceat(most, ends[:-1]) >= np.minimum(self.needed[item[pairs[:-1]]], ENOUGH)
+        for begin, first, last in zip(pairs[:-1][able].tolist(), ends[:-1][able].tolist(), ends[1:][able].tolist()):
             d, i = int(doc[begin]), int(item[begin])
             aligned = []
             for a, b in zip(lines[first:last].tolist(), lines[first + 1:last + 1].tolist()):
@@ -200,6 +202,20 @@ class Index:
                 at = min(s + f for s, _, _, _, f, _ in aligned) - int(texts.edges[d])
                 yield d, i, len(windows), at, all(e for *_, e in aligned)
 
+    def _equal(self, texts: Canonical, doc: np.ndarray, item: np.ndarray, shift: np.ndarray) -> np.ndarray:
+        """The number of equal tokens along each of many alignments."""
+        base = self.texts.edges[item]
+        low = np.maximum(0, texts.edges[doc] - shift)
+        n = np.maximum(np.minimum(self.length[item], texts.edges[doc + 1] - shift) - low, 0)
+        total, out = np.concatenate(([0], np.cumsum(n))), np.zeros(len(n), np.int64)
+        cuts = np.unique(np.searchsorted(total, np.arange(0, total[-1] + AT_ONCE, AT_ONCE))).clip(max=len(n))
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            which = np.repeat(np.arange(a, b), n[a:b])
+            inner = np.arange(len(which)) - (total[a:b] - total[a])[which - a] + low[which]
+            same = self.texts.word[base[which] + inner] == texts.word[shift[which] + inner]
+            out[a:b] = np.bincount(which[same] - a, minlength=b - a)
+        return out
+
     def _line(self, texts: Canonical, doc: int, item: int, shift: int, places: np.ndarray, sizes: np.ndarray):
         """Of one alignment: the item's tokens that windows cover or that are equal, those of equal
         windows that are no numbers, the whole windows, the first token and whether all slots are
@@ -299,8 +315,7 @@ def find_items(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     Whole texts are searched. Null and empty texts hold nothing, items without words are held by
     none; an item of fewer than WINDOW tokens is one window. ``coverage`` is of windows and can be small
-or 0 where edits broke them. Repeated documents and items give rows
-    of their own; null ids stay null. An empty table on either side gives no rows."""
+    or 0 where edits broke them. Repeated documents and items give rows of their own; null ids stay null. An empty table on either side gives no rows."""
     shape = pa.schema([
         ("doc_id", pa.int64()), ("item_id", pa.int64()), ("matched_windows", pa.int64()), ("n_windows", pa.int64()),
         ("coverage", pa.float64()), ("first_token", pa.int64()), ("exact", pa.bool_()),
@@ -317,8 +332,8 @@ or 0 where edits broke them. Repeated documents and items give rows
             for batch in batches:
                 for part, texts in _parts(batch, 1):
                     rows = [
-                        (part.column(0)[d].as_py(), index.ids[i], n, int(index.windows[i]), n / int(index.windows[i]), at, same)
-                        for d, i, n, at, same in index.matches(canonical(texts, codes))
+                        (part.column(0)[d].as_py(), item_id, n, int(index.windows[i]), n / int(index.windows[i]), at, same)
+                        for d, i, n, at, same in index.matches(canonical(texts, codes)) for item_id in index.ids[i]
                     ]
                     yield pa.RecordBatch.from_pylist([dict(zip(shape.names, r)) for r in rows], shape)
 

@@ -165,18 +165,34 @@ def parse_record(data: bytes, at: int) -> tuple[Record, int]:
     return record, stop + 4
 
 
-def _inflate(content: bytes, at: int) -> tuple[bytes, int]:
-    """The member at a place, unpacked, and the place after it."""
+def _inflate(content: bytes, at: int) -> tuple[bytes, int, str | None]:
+    """The member at a place, unpacked as far as it can be, the place after it, and what is wrong with it."""
     unpacker, parts, place = zlib.decompressobj(wbits=31), [], at
+    view = memoryview(content)
     try:
         while not unpacker.eof and place < len(content):
-            parts.append(unpacker.decompress(content[place:place + PIECE]))
+            parts.append(unpacker.decompress(view[place:place + PIECE]))
             place += PIECE
     except zlib.error as e:
-        raise Broken(f"member: {e}") from None
+        parts.append(_before_error(content, at, place))
+        return b"".join(parts), place, f"member: {e}"
     if not unpacker.eof:
-        raise Broken("member: cut off")
-    return b"".join(parts), min(place, len(content)) - len(unpacker.unused_data)
+        return b"".join(parts), len(content), "member: cut off"
+    return b"".join(parts), min(place, len(content)) - len(unpacker.unused_data), None
+
+
+def _before_error(content: bytes, at: int, place: int) -> bytes:
+    """What a damaged member gives from ``place`` on before the error: an unpacker that fails hands out nothing
+    of the piece it was given, so the piece is given byte by byte."""
+    unpacker, parts = zlib.decompressobj(wbits=31), []
+    for begin in range(at, place, PIECE):
+        unpacker.decompress(content[begin:begin + PIECE])
+    try:
+        for i in range(place, min(place + PIECE, len(content))):
+            parts.append(unpacker.decompress(content[i:i + 1]))
+    except zlib.error:
+        pass
+    return b"".join(parts)
 
 
 def _salvage_plain(data: bytes) -> Iterator[Record | Gap]:
@@ -200,17 +216,27 @@ def _salvage_plain(data: bytes) -> Iterator[Record | Gap]:
 
 def salvage(content: bytes) -> Iterator[Record | Gap]:
     """All records of a file that pass the checks, in order, and the gaps between them. Places of
-    records in a gzip member are those of the member. A file may mix members and plain records."""
+    records in a gzip member are those of the member. A file may mix members and plain records. Of a damaged
+    member the records that can be unpacked and pass the checks come first, then the gap over its bytes.
+    If all that was unpacked passes and only the member's own check sum fails or is cut off, the damage may be
+    in any header, which no digest covers, and none is taken."""
     end = len(content)
     at = magic = line = 0  # the next member and version line known
     while at < end:
-        start, reason = at, None
+        start, reason, rescued = at, None, []
         while at < end:
             try:
                 if content.startswith(GZIP_MAGIC, at):
-                    data, after = _inflate(content, at)
+                    data, after, trouble = _inflate(content, at)
                     found = list(_salvage_plain(data))
-                    if not any(isinstance(x, Record) for x in found):
+                    sound = [x for x in found if isinstance(x, Record)]
+                    if trouble:
+                        if len(sound) < len(found):
+                            for x in sound:
+                                x.offset = at
+                            rescued += sound
+                        raise Broken(trouble)
+                    if not sound:
                         raise Broken(found[0].reason if found else "empty member")
                     for x in found:
                         x.offset, x.length = at, (after - at if isinstance(x, Record) else x.length)
@@ -227,6 +253,9 @@ def salvage(content: bytes) -> Iterator[Record | Gap]:
                 at = min(magic, line)
         else:
             found, after = [], at
+        for x in rescued:
+            x.length = at - x.offset
+            yield x
         if at > start:
             yield Gap(start, at - start, reason)
         yield from found

@@ -1,5 +1,8 @@
 """Template windows against plain search and hand-made cases."""
 
+import random
+import time
+
 from shelfrank.llm import decontaminate as D
 
 ITEM = "Alice bought 12 apples for 3 dollars each and gave 4 of them to Bob before Alice walked 5 km home with the rest of her apples"
@@ -72,11 +75,51 @@ def test_few_changed_words_and_long_parts(spark):
     assert set(found) == {(n, 1) for n in range(len(changed))} | {(20, 2), (21, 2)}
 
 
-def test_anchors_that_many_items_share_give_way(spark, monkeypatch):
-    monkeypatch.setattr(D, "ANCHOR_PLACES", 1)
-    items = [(n, f"which of the following is {w} " + " ".join(f"{w}{x}" for x in LONG[:14])) for n, w in enumerate(("red", "blue", "green"))]
-    docs = [(n, t.replace("bar", "tar", 2)) for n, t in items]
-    assert set(held(spark, docs, items)) == {(n, n) for n, _ in items}
+def test_copies_of_an_item_are_all_found(spark):
+    item = "the eleven words of this item lead to one short answer"
+    edited = item.replace("this", "that")
+    for n in (1, 64, 65, 1000):
+        found = held(spark, [(1, f"so {edited} then"), (2, "so it is")], [(i, item) for i in range(n)])
+        assert set(found) == {(1, i) for i in range(n)}
+
+
+def test_anchors_and_windows_that_many_items_share_lead_to_all():
+    """As many different items as the old bound and many more; each copy has its own words edited away."""
+    prompt = "choose the one answer that fits the text best"
+    items = [(i, f"{prompt} case{i} number{i} of these") for i in range(3000)]
+    index, codes = D.Index(items), D._Codes()
+    texts = [f"{prompt} zq zq of these", f"{prompt.replace('fits', 'suits')} zq number7 of these", "nothing that fits the text"]
+    found = {(d, i) for d, i, *_ in index.matches(D.canonical(texts, codes))}
+    assert found == {(0, i) for i in range(3000)} | {(1, i) for i in range(3000)}
+
+
+def test_shared_prompt_lines_cost_little():
+    prompt = "choose the one answer that fits the text best"
+    pick = random.Random(3)
+    items = [(i, " ".join([prompt, *("".join(pick.choice("aeioubdfgklmnprst") for _ in range(5)) for _ in range(30))])) for i in range(10_000)]
+    index, codes = D.Index(items), D._Codes()
+    texts = [f"{prompt} {n} and other words" for n in range(20)]
+    began = time.perf_counter()
+    assert not list(index.matches(D.canonical(texts, codes)))
+    assert (time.perf_counter() - began) / len(texts) < 0.1
+    assert [i for _, i, *_ in index.matches(D.canonical([items[77][1]], codes))] == [77]
+
+
+def test_bound_loses_nothing(monkeypatch):
+    """With and without the count of equal tokens before the close look, in blocks of any size."""
+    pick = random.Random(11)
+    word = lambda: pick.choice(WORDS + ["Ann", "Bob", "3", "17", "km"])
+    items = [(i, " ".join(word() for _ in range(pick.randint(1, 40)))) for i in range(60)]
+    texts = []
+    for _ in range(150):
+        words = pick.choice(items)[1].split()
+        texts.append(" ".join(word() if pick.random() < 0.2 else w for w in words for _ in range(pick.choice((1, 1, 1, 1, 2)))))
+    index, codes = D.Index(items), D._Codes()
+    found = list(index.matches(D.canonical(texts, codes)))
+    monkeypatch.setattr(D, "AT_ONCE", 7)
+    assert list(index.matches(D.canonical(texts, codes))) == found
+    monkeypatch.setattr(D.Index, "_equal", lambda self, texts, doc, item, shift: self.length[item] + 13)
+    assert list(index.matches(D.canonical(texts, codes))) == found and found
 
 
 def test_copies_in_other_case(spark):

@@ -1,6 +1,7 @@
 """WARC writer and salvage reader."""
 
 from hashlib import sha1
+import random
 
 import pytest
 
@@ -57,6 +58,22 @@ def test_several_records_in_one_member():
     assert got == [bodies[0], bodies[2], bodies[3]] and len(gaps) == 1
 
 
+@pytest.mark.parametrize("size", [40, 4000])
+def test_damaged_member_gives_its_sound_records(size):
+    """Records before the damage are kept, the member's bytes are logged, and what follows is read."""
+    rng = random.Random(size)
+    bodies = [bytes(rng.choice(b"abcdefgh \n") for _ in range(size * 10)) for _ in range(4)]
+    made = [make_record(i, None, b, sha1(b).hexdigest(), None) for i, b in enumerate(bodies)]
+    one, other = member(b"".join(made)), member(made[0])
+    flipped = one[:-len(one) // 8] + bytes([one[-len(one) // 8] ^ 255]) + one[1 - len(one) // 8:]
+    for hurt in (one[: len(one) * 7 // 8], flipped):
+        got, gaps = split(hurt + other)
+        assert got == [*bodies[:3], bodies[0]]
+        assert gaps == [(0, len(hurt))]
+    wrong_sum = one[:-8] + b"\0\0\0\0" + one[-4:]
+    assert split(wrong_sum + other) == ([bodies[0]], [(0, len(one))])  # any header may be wrong
+
+
 def test_archive_round_trip(spark):
     long = "x" * 1500
     rows = [
