@@ -68,20 +68,33 @@ def replay(
     params: RecoParams,
     shortest: int,
     longest: int,
+    deal_by: list[str] | None = None,
+    only: str | None = None,
 ) -> DataFrame:
     """One row per purchase and reference week whose window holds it.
 
     The window is given in days of age: label week ``(-6, 0)``, history ``(1, 366)``, popularity
-    with the label week ``(-6, 28)``. Adds ``week`` and ``age_days`` (relative to that week)."""
+    with the label week ``(-6, 28)``. Adds ``week`` and ``age_days`` (relative to that week).
+
+    ``deal_by`` shuffles purchases by these keys before they are copied: groups of a week and these keys
+    (or more) then need no exchange of the copies. ``only`` names a column with an array of weeks that a
+    purchase is wanted for; it is dropped."""
     days = reference_days(after_last, params)
-    span = between_days(
-        trans, days[-1] - timedelta(days=longest), days[0] - timedelta(days=shortest)
-    )
+    span = replayed_span(trans, after_last, params, shortest, longest)
+    if deal_by:
+        span = span.repartition(*deal_by)
     age = F.datediff(F.lit(days[0]), F.col("t_dat"))
-    return (
-        span.withColumn("week", F.explode(_weeks_seeing(age, shortest, longest, params.n_weeks)))
-        .withColumn("age_days", age - 7 * F.col("week"))
-    )
+    weeks = _weeks_seeing(age, shortest, longest, params.n_weeks)
+    if only:
+        weeks = F.array_intersect(weeks, F.col(only))
+    copied = span.withColumn("week", F.explode(weeks)).withColumn("age_days", age - 7 * F.col("week"))
+    return copied.drop(only) if only else copied
+
+
+def replayed_span(trans: DataFrame, after_last: date, params: RecoParams, shortest: int, longest: int) -> DataFrame:
+    """The purchases that some replayed week sees, each once."""
+    days = reference_days(after_last, params)
+    return between_days(trans, days[-1] - timedelta(days=longest), days[0] - timedelta(days=shortest))
 
 
 def week_calendar(trans: DataFrame, params: RecoParams) -> DataFrame:

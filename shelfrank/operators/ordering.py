@@ -141,11 +141,12 @@ def exact_median(
 DAYS = 1 << 20  # more than any age
 
 
-def modal_day_age(df: DataFrame, keys: list[str], age: str, name: str) -> DataFrame:
+def modal_day_age(df: DataFrame, keys: list[str], age: str, name: str, day: str | None = None) -> DataFrame:
     """Age of the day with most rows per group; the latest of tied days. Count and age are packed
-    into one number, so that the maximum is found by hashing."""
-    daily = df.groupBy(*keys, age).agg(F.count("*").alias("_n"))
-    best = F.max(F.col("_n") * DAYS - F.col(age))
+    into one number, so that the maximum is found by hashing. ``day`` names a column with the day itself,
+    for rows that are dealt by it."""
+    daily = df.groupBy(*keys, day or age).agg(F.count("*").alias("_n"), F.min(age).alias("_age"))
+    best = F.max(F.col("_n") * DAYS - F.col("_age"))
     return daily.groupBy(*keys).agg(best.alias("_best")).select(
         *keys, F.pmod(-F.col("_best"), F.lit(DAYS)).cast("int").alias(name)
     )

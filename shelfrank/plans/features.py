@@ -58,8 +58,9 @@ def age_stats_aggregates() -> list[Column]:
 
 def article_features(
     pairs: DataFrame, hist: DataFrame, customers: DataFrame, params: RecoParams, ref: list[str],
-    cuts: Cuts | None = None,
+    cuts: Cuts | None = None, by_day: DataFrame | None = None,
 ) -> DataFrame:
+    """``by_day`` is the history dealt for counts per day, where that differs from ``hist``."""
     keys = [*ref, "article_id"]
     aged = pairs.join(customers.select("customer_id", "age"), "customer_id", "left")
     base = aged.groupBy(*keys).agg(
@@ -68,7 +69,7 @@ def article_features(
         *age_stats_aggregates(),
     )
     medians = exact_median(hist, keys, "price", "art_price_hist_median", cuts)
-    modes = modal_day_age(hist, keys, "age_days", "art_days_from_mode_buy")
+    modes = modal_day_age(hist if by_day is None else by_day, keys, "age_days", "art_days_from_mode_buy", "t_dat")
     return base.join(medians, keys, "left").join(modes, keys, "left").select(
         *keys,
         *named(ARTICLE_COUNTS),
@@ -98,13 +99,13 @@ def age_group_features(
     pairs: DataFrame, hist: DataFrame, customers: DataFrame, ref: list[str],
     cuts: Cuts | None = None,
 ) -> DataFrame:
-    """A few very large groups: partial sums per task, and the bucketed median."""
+    """A few very large groups: partial sums per task, and the bucketed median. ``hist`` may have the
+    buyers' age_id already."""
     keys = [*ref, "age_id"]
     groups = customers.select("customer_id", "age_id")
     base = activity.roll_up(pairs.join(groups, "customer_id", "left"), keys)
-    medians = exact_median(
-        hist.join(groups, "customer_id"), keys, "price", "age_id_price_hist_median", cuts
-    )
+    aged = hist if "age_id" in hist.columns else hist.join(groups, "customer_id")
+    medians = exact_median(aged, keys, "price", "age_id_price_hist_median", cuts)
     return base.join(medians, keys, "left").select(
         *keys,
         channel_rates("age_id_")[0],

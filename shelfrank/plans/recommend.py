@@ -5,7 +5,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfrank.functions.lookback import history, label_period, replay, window_lengths
+from shelfrank.functions.lookback import history, label_period, replay, replayed_span, window_lengths
 from shelfrank.functions.scalars import padded_id
 from shelfrank.operators.joins import bounded, keep_keys, lookup, pair_with_list
 from shelfrank.operators.topk import top_k, top_n
@@ -35,7 +35,7 @@ def inputs_at(
 def weekly_pairs(trans: DataFrame, after_last: date, params: RecoParams) -> DataFrame:
     """Purchases per customer and article within the history of every replayed week."""
     lengths = window_lengths(params)
-    return pair_activity(replay(trans, after_last, params, 1, lengths["hist"]), lengths, ["week"])
+    return pair_activity(replay(trans, after_last, params, 1, lengths["hist"], PAIR), lengths, ["week"])
 
 
 def training_features(
@@ -44,12 +44,13 @@ def training_features(
 ) -> DataFrame:
     """The labelled rows of all replayed weeks with the features known at each week's start."""
     lengths = window_lengths(params)
+    replayed = lambda rows, keys, only: replay(rows, after_last, params, 1, lengths["hist"], keys, only)
     x = Inputs(
-        replay(trans, after_last, params, 1, lengths["hist"]),
+        replayed_span(trans, after_last, params, 1, lengths["hist"]),
         pairs if pairs is not None else weekly_pairs(trans, after_last, params),
         labelled.select("week", "customer_id").distinct(),
         popular, articles, customers, lengths, params, ["week"],
-        params.n_popular * params.n_weeks,
+        params.n_popular * params.n_weeks, replayed,
     )
     return given_candidates(x, labelled)
 

@@ -13,7 +13,8 @@ from shelfrank.plans.candidates import negatives, popular_by_week, positives
 from shelfrank.plans.ranker import (
     TreeParams, feature_names, fit, load_models, out_of_fold, ready, save_models, score,
 )
-from shelfrank.plans.recommend import additive_top_k
+from shelfrank.functions.lookback import replay
+from shelfrank.plans.recommend import additive_top_k, weekly_pairs
 from shelfrank.plans.stacking import ScoreFormat, normalise, with_stack_label
 from shelfrank.sources.bindings import AFTER_LAST, DS, MODELS, PARAMS
 from shelfrank.operators.ordering import settle
@@ -208,6 +209,21 @@ def test_other_rows_do_not_meet_an_old_table(spark, tmp_path):
     assert got == [1, 2]
 
 
+def test_weekly_pairs_move_the_history_once(tables):
+    """Purchases are dealt before they are copied to weeks; the copies meet no exchange."""
+    plan = plan_of(weekly_pairs(tables.transactions(), AFTER_LAST, PARAMS))
+    assert plan.count("Exchange") == 1 and plan.index("Generate") < plan.index("Exchange")
+
+
+def test_replay_of_wanted_weeks_only(tables, spark):
+    trans = tables.transactions().limit(500)
+    wanted = trans.select("customer_id").distinct().where("customer_id % 2 = 0").withColumn("_weeks", F.array(F.lit(0), F.lit(3)))
+    got = replay(trans.join(wanted, "customer_id"), AFTER_LAST, PARAMS, 1, 366, ["customer_id"], "_weeks")
+    every = replay(trans, AFTER_LAST, PARAMS, 1, 366).where("customer_id % 2 = 0 and week in (0, 3)")
+    columns = ["week", "customer_id", "article_id", "t_dat", "age_days"]
+    assert got.columns == every.columns and as_set(got, *columns) == as_set(every, *columns)
+
+
 # --- ranker
 
 
