@@ -183,8 +183,8 @@ wide AS (SELECT *, {', '.join(_stats())} FROM wide0)
 """
 
 
-def _sql(body: str, *more: str) -> str:
-    return "WITH " + ",\n".join([BASE.strip(), *[m.strip() for m in more]]) + "\n" + body
+def _sql(body: str, *more: str, recursive: bool = False) -> str:
+    return ("WITH RECURSIVE " if recursive else "WITH ") + ",\n".join([BASE.strip(), *[m.strip() for m in more]]) + "\n" + body
 
 
 def _round(cols: list[str], digits: int = 6) -> str:
@@ -392,6 +392,18 @@ pulls AS (
 """
 
 
+def _fill(sizes: str) -> str:
+    """Groups by falling size, one after another, into the lightest of ten folds (of as many as there are groups)."""
+    return f"""
+groups AS (SELECT *, row_number() OVER (ORDER BY n DESC, customer_id) AS p FROM ({sizes})),
+fill AS (
+  SELECT 0::BIGINT AS p, list_transform(range(least(10, (SELECT count(*) FROM groups))), lambda x: 0::BIGINT) AS loads, NULL::BIGINT AS fold
+  UNION ALL
+  SELECT p, list_transform(loads, lambda x, i: CASE WHEN i = lightest THEN x + n ELSE x END), lightest - 1
+  FROM (SELECT g.p, g.n, loads, list_position(loads, list_min(loads)) AS lightest FROM fill JOIN groups g ON g.p = fill.p + 1))
+"""
+
+
 def oracles() -> dict[str, str]:
     out = {
         "transactions_dedup": _sql("SELECT * FROM tx"),
@@ -489,9 +501,8 @@ def oracles() -> dict[str, str]:
             "FROM train WHERE part = 'train' GROUP BY 1, 2"
         ),
         "grouped_folds": _sql(
-            "SELECT customer_id, group_size, CASE WHEN (p // 10) % 2 = 0 THEN p % 10 ELSE 9 - p % 10 END AS fold FROM ("
-            "SELECT customer_id, count(DISTINCT article_id) AS group_size, "
-            "row_number() OVER (ORDER BY count(DISTINCT article_id) DESC, customer_id) - 1 AS p FROM scores GROUP BY 1)"
+            "SELECT customer_id, n AS group_size, fold FROM groups JOIN fill USING (p)",
+            _fill("SELECT customer_id, count(DISTINCT article_id) AS n FROM scores GROUP BY 1"), recursive=True
         ),
         "score_tables_normalised": _sql("SELECT * REPLACE (round(pred, 6) AS pred) FROM scores"),
         "list_format_scores": _sql(
@@ -598,9 +609,8 @@ def oracles() -> dict[str, str]:
             "FROM placed LEFT JOIN pulls USING (scores, week, customer_id, article_id)", GRADIENTS
         ),
         "ranker_oof_folds": _sql(
-            "SELECT customer_id, article_id, CASE WHEN (p // n) % 2 = 0 THEN p % n ELSE n - 1 - p % n END AS fold, true AS scored FROM wide0 JOIN ("
-            "SELECT customer_id, row_number() OVER (ORDER BY count(*) DESC, customer_id) - 1 AS p, "
-            "least(10, count(*) OVER ()) AS n FROM wide0 GROUP BY 1) USING (customer_id)", WIDE
+            "SELECT customer_id, article_id, fold, true AS scored FROM wide0 JOIN groups USING (customer_id) JOIN fill USING (p)",
+            WIDE, _fill("SELECT customer_id, count(*) AS n FROM wide0 GROUP BY 1"), recursive=True
         ),
         "unfinished_customers": _sql("SELECT customer_id FROM cust_raw ANTI JOIN hash_scores USING (customer_id)"),
         "intermediate_round_trip": _sql(

@@ -2,6 +2,7 @@
 
 from collections import Counter
 from datetime import date, timedelta
+from heapq import heappop, heappush
 import random
 import statistics
 
@@ -15,7 +16,7 @@ from shelfrank.operators import activity
 from shelfrank.operators.dedup import first_per_key, positive_wins
 from shelfrank.operators.encode import count_encode, frequency_codes, narrow, value_counts
 from shelfrank.operators.fill import FillPolicy
-from shelfrank.operators.folds import balanced_folds, consecutive_group_ids, hash_folds
+from shelfrank.operators.folds import balanced_folds, consecutive_group_ids, fill_lightest, hash_folds
 from shelfrank.operators.joins import lookup, pair_with_list
 from shelfrank.operators.ordering import exact_median, modal_day_age, number_rows, range_cuts
 from shelfrank.operators.sample import draw_places
@@ -185,6 +186,32 @@ def test_draws_from_text_keys_spread(spark):
     assert len(places) > 450
 
 
+def heap_fill(sizes, n_folds):
+    """Each group, largest first, into the lightest fold."""
+    heap, folds = [(0, f) for f in range(n_folds)], []
+    for size in sizes:
+        load, fold = heappop(heap)
+        folds.append(fold)
+        heappush(heap, (load + size, fold))
+    return folds
+
+
+def test_steps_of_equal_groups_equal_a_heap():
+    rng = random.Random(12)
+    for _ in range(500):
+        n_folds, top = rng.randint(1, 11), rng.choice((3, 10, 200))
+        histogram = [(s, rng.choice((1, 2, 7, 30, 100))) for s in sorted(rng.sample(range(1, top + 1), rng.randint(1, 3)), reverse=True)]
+        told = fill_lightest(histogram, n_folds)
+        got = []
+        for size, n in histogram:
+            steps = [(place, order) for s, place, order in told if s == size]
+            for p in range(n):
+                place, order = [x for x in steps if x[0] <= p][-1]
+                got.append(order[(p - place) % len(order)])
+        assert got == heap_fill([s for s, n in histogram for _ in range(n)], n_folds)
+    assert len(fill_lightest([(10**6, 3), (1, 10**9)], 10)) < 30
+
+
 def test_folds_keep_customers_together(spark):
     rows = [(c, a) for c in range(30) for a in range(1 + c % 7)]
     df = spark.createDataFrame(rows, "customer_id bigint, article_id int")
