@@ -612,6 +612,9 @@ def oracles() -> dict[str, str]:
             "SELECT customer_id, article_id, fold, true AS scored FROM wide0 JOIN groups USING (customer_id) JOIN fill USING (p)",
             WIDE, _fill("SELECT customer_id, count(*) AS n FROM wide0 GROUP BY 1"), recursive=True
         ),
+        "stack_recommendations": _sql(
+            "SELECT customer_id, least(12, count(*)) AS n_listed, least(30, count(*)) AS n_shared, true AS in_order FROM wide0 GROUP BY 1", WIDE
+        ),
         "unfinished_customers": _sql("SELECT customer_id FROM cust_raw ANTI JOIN hash_scores USING (customer_id)"),
         "intermediate_round_trip": _sql(
             "SELECT * EXCLUDE (age_days, age_id_1, age_id_2) FROM hist LEFT JOIN art USING (article_id) LEFT JOIN cust USING (customer_id)"

@@ -23,7 +23,7 @@ from shelfrank.plans.candidates import (
 )
 from shelfrank.plans.catalogue import ATTRIBUTE_KEYS, PAIR, STATISTICS, stale_filled
 from shelfrank.plans.clean import enrich
-from shelfrank.plans.flows import lists_folder, predict, recommend_in_waves, train, train_stack
+from shelfrank.plans.flows import lists_folder, predict, predict_stack, recommend_in_waves, train, train_stack
 from shelfrank.plans.listwise import ListParams, gradients
 from shelfrank.plans.ranker import TreeParams, mean_score, shared_top
 from shelfrank.plans.recommend import (
@@ -618,6 +618,29 @@ def ranker_top30(t: Tables) -> DataFrame:
     return shared_top(_oof(t), PARAMS.share_top)
 
 
+@query("stack_recommendations")
+def stack_recommendations(t: Tables) -> DataFrame:
+    """Second-stage lists of all scored customers by the mean of the fold models, written as a CSV of two
+    columns and read back: how long each is, how many rows are shared with a next stage, and whether the
+    list is the beginning of those in their order."""
+    day, path = DS.isoformat(), t.store.path("stack_lists", DS.isoformat())
+    trans, articles, customers = t.transactions(), t.articles(), t.customers()
+    if not t.store.has("stack_lists", day):
+        model = train_stack(t.store, t.scores(), MODELS, trans, articles, customers, DS, PARAMS, TREES)[1]
+        lists, shared = predict_stack(model, t.scores(), MODELS, trans, articles, customers, DS, PARAMS)
+        t.store.write("stack_shared", day, shared)
+        write_csv(lists, path)
+    order = metrics.best_first(F.desc("art_buy_recent"))
+    placed = top_k(t.store.read("stack_shared", day), ["customer_id"], order, PARAMS.share_top, "place")
+    first = ranked_lists(placed.where(F.col("place") <= PARAMS.top_k)).withColumnRenamed("prediction", "first")
+    n_shared = placed.groupBy("customer_id").agg(F.max("place").cast("long").alias("n_shared"))
+    listed = read_csv(t.spark, path, "submission").withColumn("customer_id", F.col("customer_id").cast("long"))
+    return listed.join(first, "customer_id", "left").join(n_shared, "customer_id", "left").select(
+        "customer_id", F.size(F.split("prediction", " ")).cast("long").alias("n_listed"), "n_shared",
+        F.col("prediction").eqNullSafe(F.col("first")).alias("in_order"),
+    )
+
+
 @query("ranker_oof_map")
 def ranker_oof_map(t: Tables) -> DataFrame:
     """MAP@10 and MAP@12 of the out-of-fold lists, over all customers and as the mean of folds."""

@@ -251,6 +251,18 @@ def test_ranker_learns_and_averages(labelled):
     assert both.where(F.abs(F.col("pred") - F.col("p2")) > 1e-9).isEmpty()
 
 
+def test_mean_model_equals_chained_models(labelled):
+    names = feature_names(labelled)
+    rows = ready(labelled, names)
+    models = [fit(rows, TreeParams(depth=d, rounds=r, seed=d)) for d, r in ((1, 2), (2, 3), (3, 1))]
+    chained = rows
+    for i, model in enumerate(models):
+        chained = model.transform(chained).withColumnRenamed("pred", f"pred_{i}")
+    chained = chained.select("customer_id", "article_id", ((F.col("pred_0") + F.col("pred_1") + F.col("pred_2")) / 3).alias("mean"))
+    both = score(models, labelled, names, ["customer_id", "article_id"]).join(chained, ["customer_id", "article_id"])
+    assert both.count() == labelled.count() and both.where(F.abs(F.col("pred") - F.col("mean")) > 1e-12).isEmpty()
+
+
 def test_out_of_fold_scores_every_row_once(labelled):
     scored, models, _ = out_of_fold(labelled, 3, TreeParams(depth=2, rounds=2), ["customer_id", "article_id"])
     assert len(models) == 3 and scored.count() == labelled.count()
@@ -303,7 +315,7 @@ def test_stack_job_end_to_end(tables):
 # --- what plans must not contain
 
 
-LEARNED = {"ranker_fit_score", "ranker_oof", "ranker_oof_folds", "ranker_oof_map", "ranker_top30"}
+LEARNED = {"stack_recommendations", "ranker_fit_score", "ranker_oof", "ranker_oof_folds", "ranker_oof_map", "ranker_top30"}
 
 
 @pytest.mark.parametrize("name", sorted(set(queries()) - LEARNED))
