@@ -87,9 +87,9 @@ class _Remembered(dict):
     """Encoded words. Once it is full, what it holds becomes the older generation; words of that are
     taken over when they come again, and the rest is forgotten the next time."""
 
-    def __init__(self, tokenizer: "Tokenizer"):
+    def __init__(self, tokenizer: "Tokenizer", most: int):
         super().__init__()
-        self.tokenizer, self.older = tokenizer, {}
+        self.tokenizer, self.older, self.most = tokenizer, {}, most
 
     def __missing__(self, word: str) -> bytes:
         ids = self.older.get(word)
@@ -98,7 +98,7 @@ class _Remembered(dict):
             if len(data) > SHORT:
                 return b",".join(b"%d" % i for i in known.encode_word(data))
             ids = b",".join([known.id_text[t] for t in known.merge(data)])
-        if len(self) >= REMEMBERED:
+        if len(self) >= self.most:
             self.older = dict(self)
             self.clear()
         self[word] = ids
@@ -108,7 +108,7 @@ class _Remembered(dict):
 class Tokenizer:
     """A byte-level tokenizer read from the text of its JSON file."""
 
-    def __init__(self, content: str):
+    def __init__(self, content: str, remembered: int = REMEMBERED):
         told = json.loads(content)
         alphabet = byte_alphabet()
         as_bytes = lambda token: bytes(alphabet[c] for c in token)
@@ -132,7 +132,7 @@ class Tokenizer:
         self.bytes_of = {b"%d" % i: token for token, i in self.ids.items()}
         self.bytes_of |= {b"%d" % i: token.encode() for token, i in self.special.items()}
         self._special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self._remembered = _Remembered(self)
+        self._remembered = _Remembered(self, remembered)
 
     def merge(self, data: bytes) -> list[int]:
         """Ids of the tokens of a short word or window."""
@@ -239,9 +239,9 @@ def code(tokenizer: Tokenizer, text: str, kept: list[bytes] | None = None) -> tu
 
 
 @lru_cache(maxsize=2)
-def load(content: str) -> Tokenizer:
+def load(content: str, remembered: int) -> Tokenizer:
     """One per worker, so that remembered words last from task to task."""
-    return Tokenizer(content)
+    return Tokenizer(content, remembered)
 
 
 def tokenizer_json(name: str = "byte_bpe_50k.json") -> str:
@@ -249,12 +249,13 @@ def tokenizer_json(name: str = "byte_bpe_50k.json") -> str:
     return Path(public_tokenizers.path(name)).read_text(encoding="utf-8")
 
 
-def encode_documents(documents: DataFrame, tokenizer_json: str, with_ids: bool = False) -> DataFrame:
+def encode_documents(documents: DataFrame, tokenizer_json: str, with_ids: bool = False, remembered: int = REMEMBERED) -> DataFrame:
     """For each row of ``documents`` (doc_id, text; other columns are left out): doc_id, n_tokens,
     ids_sha256 (of decimal ids joined by commas), decoded_sha256 (of the text decoded from the ids)
     and, if wanted, the array ``ids``.
 
-    ``tokenizer_json`` is the text of the tokenizer's file, of fixed size, and is broadcast. A null
+    ``tokenizer_json`` is the text of the tokenizer's file, of fixed size, and is broadcast. ``remembered``
+    bounds the short words that a worker keeps in each of two generations. A null
     text is empty: no tokens, digests of nothing. Repeated rows stay. No rows give no rows."""
     sent = documents.sparkSession.sparkContext.broadcast(tokenizer_json)
     shape = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
@@ -262,7 +263,7 @@ def encode_documents(documents: DataFrame, tokenizer_json: str, with_ids: bool =
         shape = shape.append(pa.field("ids", pa.list_(pa.int32())))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = load(sent.value)
+        tokenizer = load(sent.value, remembered)
         for batch in batches:
             for begin in range(0, len(batch), 256):  # few texts at a time as Python objects
                 part = batch.slice(begin, 256)
