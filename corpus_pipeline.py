@@ -12,6 +12,8 @@ from shelfrank.llm.line_dedup import drop_boilerplate
 from shelfrank.llm.scratch import Scratch
 from shelfrank.llm.toxicity import learn, without_toxic
 
+REMEMBERED = 60_000  # words of the tokenizer; a worker that earlier stages used holds them too
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
@@ -38,7 +40,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token ids of each document, their digest and that of the text decoded from them."""
-    return encode_documents(docs, tokenizer_json(), with_ids=True)
+    return encode_documents(docs, tokenizer_json(), with_ids=True, remembered=REMEMBERED)
 
 
 STAGES: list[tuple[str, Stage]] = [
