@@ -600,6 +600,20 @@ def oracles() -> dict[str, str]:
             "SELECT customer_id, article_id, t_dat, price, sales_channel_id FROM tx_raw WHERE t_dat >= DATE '1998-01-01' "
             "QUALIFY row_number() OVER (PARTITION BY customer_id, article_id, t_dat ORDER BY price, sales_channel_id) = 1"
         ),
+        "transactions_from_damaged_csv": _sql(
+            "SELECT customer_id, article_id, t_dat, price, sales_channel_id FROM tx_raw WHERE t_dat >= DATE '1998-01-01' "
+            "AND article_id % 97 <> 5 "
+            "QUALIFY row_number() OVER (PARTITION BY customer_id, article_id, t_dat ORDER BY price, sales_channel_id) = 1"
+        ),
+        "csv_inferred_types": _sql(
+            "SELECT column_name, inferred, loaded, n_sound, CASE WHEN column_name = 'price' THEN n - n_sound ELSE 0 END AS n_aside "
+            "FROM (SELECT count(*) AS n, count(*) FILTER (WHERE article_id % 97 <> 5) AS n_sound, "
+            "CASE WHEN max(customer_id) < 2147483648 THEN 'int' ELSE 'bigint' END AS customers, "
+            "CASE WHEN max(article_id) < 2147483648 THEN 'int' ELSE 'bigint' END AS articles, "
+            "CASE WHEN bool_or(article_id % 97 = 5) THEN 'string' ELSE 'double' END AS prices FROM tx_raw), "
+            "LATERAL (VALUES ('t_dat', 'date', 'string'), ('customer_id', customers, 'string'), ('article_id', articles, 'bigint'), "
+            "('price', prices, 'double'), ('sales_channel_id', 'int', 'int'), ('bought_in', 'int', 'int')) v(column_name, inferred, loaded)"
+        ),
         "transactions_since": _sql("SELECT * FROM tx WHERE t_dat >= DATE '1998-01-01'"),
         "grouped_folds_hash": _sql(
             "SELECT DISTINCT customer_id, (('0x' || substr(md5(customer_id || ':46'), 1, 15))::BIGINT % 10)::INTEGER AS fold FROM scores"

@@ -36,7 +36,7 @@ from shelfrank.plans.stacking import (
 from shelfrank.session import tune
 from shelfrank.sources.bindings import AFTER_LAST, DS, MODELS, PARAMS, Tables
 from shelfrank.sources.store import unfinished
-from shelfrank.sources.tables import load_transactions, read_csv, write_csv
+from shelfrank.sources.tables import load_transactions, read_csv, scan_csv, write_csv
 
 Query = Callable[[SparkSession, str], DataFrame]
 _REGISTRY: dict[str, Query] = {}
@@ -535,6 +535,39 @@ def transactions_from_csv(t: Tables) -> DataFrame:
     return as_long(loaded.withColumn("customer_id", F.col("customer_id").cast("long")), "sales_channel_id")
 
 
+def _damaged(t: Tables) -> tuple[DataFrame, DataFrame, dict[str, str]]:
+    """Purchases as CSV in which some prices are no numbers, scanned with inferred types."""
+    path = t.store.path("damaged_csv", "all")
+    if not t.store.has("damaged_csv", "all"):
+        price = F.when(F.col("article_id") % 97 == 5, "n/a").otherwise(F.col("price").cast("string"))
+        write_csv(t.purchases().select("t_dat", "customer_id", "article_id", price.alias("price"), "sales_channel_id",
+                                       F.year("t_dat").alias("bought_in")), path)
+    return scan_csv(t.spark, path, "transactions")
+
+
+@query("csv_inferred_types")
+def csv_inferred_types(t: Tables) -> DataFrame:
+    """For each column of a damaged text table the inferred and the loaded type, the sound rows and
+    the values that were set aside."""
+    sound, aside, inferred = _damaged(t)
+    columns = F.explode(F.array(*[
+        F.struct(F.lit(c).alias("column_name"), F.lit(i).alias("inferred"), F.lit(dict(sound.dtypes)[c]).alias("loaded"))
+        for c, i in inferred.items()
+    ])).alias("c")
+    n_sound = sound.agg(F.count("*").alias("n_sound"))
+    faults = aside.select(F.explode("faults").alias("column_name")).groupBy("column_name").agg(F.count("*").alias("n_aside"))
+    return n_sound.select(columns, "n_sound").select("c.*", "n_sound").join(F.broadcast(faults), "column_name", "left").select(
+        "column_name", "inferred", "loaded", "n_sound", F.coalesce("n_aside", F.lit(0)).cast("long").alias("n_aside")
+    )
+
+
+@query("transactions_from_damaged_csv")
+def transactions_from_damaged_csv(t: Tables) -> DataFrame:
+    """The sound purchases of a damaged text table, loaded from SINCE on."""
+    loaded = load_transactions(_damaged(t)[0], SINCE, ["price"])
+    return as_long(loaded.withColumn("customer_id", F.col("customer_id").cast("long")), "sales_channel_id")
+
+
 @query("transactions_since")
 def transactions_since(t: Tables) -> DataFrame:
     """Stored purchases from SINCE on; the filter reaches the scan."""

@@ -68,12 +68,42 @@ def mean_average_precision(
 def map_by_cutoff(
     scored: DataFrame, truth: DataFrame, cutoffs: list[int], k: int, position: str = "position"
 ) -> DataFrame:
-    """MAP@k when only the first n listed articles are candidates, for several n at once."""
-    sizes = F.array(*[F.lit(n) for n in cutoffs])
-    at = F.explode(F.filter(sizes, lambda n: n >= F.col(position)))
-    per_cutoff = truth.withColumn("cutoff", F.explode(sizes))
-    found = mean_average_precision(scored.withColumn("cutoff", at), per_cutoff, k, by=["cutoff"])
-    return found.drop("k")
+    """MAP@k when only the first n listed articles are candidates, for several n at once.
+
+    Cut-offs divide the list into bands. What is among the k best up to some cut-off is among the k
+    best of its own band, so a candidate is cut within its band first and leaves the scan once at
+    most; only the k rows a band that are left are ranked once per cut-off. Truth is moved once.
+    Candidates without position or beyond the last cut-off are none; a cut-off at which a customer
+    has no candidate does not count for it."""
+    limits = sorted(set(cutoffs))
+    sizes = F.array(*[F.lit(n) for n in limits])
+    band = F.element_at(F.filter(sizes, lambda n: n >= F.col(position)), 1)
+    listed = scored.where(F.col(position) <= limits[-1]).withColumn("band", band)
+    best = top_k(listed, ["customer_id", "band"], best_first(), k)
+    copied = best.withColumn("cutoff", F.explode(F.filter(sizes, lambda n: n >= F.col("band"))))
+    shown = top_k(copied, ["customer_id", "cutoff"], best_first(), k, "place")
+    keys = ["customer_id", "article_id"]
+    nothing = F.lit(None).cast("int")
+    rows = shown.select(*keys, "cutoff", "place", F.lit(0).cast("long").alias("bought")).unionByName(
+        truth.select(*keys, nothing.alias("cutoff"), nothing.alias("place"), F.lit(1).cast("long").alias("bought"))
+    )
+    per_article = rows.groupBy(*keys).agg(
+        F.sum("bought").alias("bought"),
+        *[F.min(F.when(F.col("cutoff") == n, F.col("place"))).alias(f"_at{n}") for n in limits],
+    )
+    hit = lambda n: F.when(F.col("bought") > 0, F.col(f"_at{n}"))
+    per_customer = per_article.groupBy("customer_id").agg(
+        F.sum("bought").alias("n_actual"),
+        *[F.struct(
+            F.lit(n).alias("cutoff"), F.sort_array(F.collect_list(hit(n))).alias("places"),
+            F.count(f"_at{n}").alias("n_predicted"),
+        ).alias(f"_by{n}") for n in limits],
+    )
+    each = per_customer.select("n_actual", F.inline(F.array(*[F.col(f"_by{n}") for n in limits])))
+    ap = precision_from_places(F.col("places"), F.col("n_actual"), F.lit(k))
+    return each.where(F.col("n_predicted") > 0).groupBy("cutoff").agg(
+        F.avg(ap).alias("map_at_k"), F.count("*").alias("n_customers")
+    )
 
 
 def recall_and_coverage(labelled: DataFrame, truth: DataFrame) -> DataFrame:

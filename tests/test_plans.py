@@ -19,7 +19,7 @@ from shelfrank.plans.stacking import ScoreFormat, normalise, with_stack_label
 from shelfrank.sources.bindings import AFTER_LAST, DS, MODELS, PARAMS
 from shelfrank.operators.ordering import settle
 from shelfrank.sources.store import TableStore, identity, unfinished, write_restartable
-from shelfrank.sources.tables import SCHEMAS, load_transactions, read_csv, write_csv
+from shelfrank.sources.tables import SCHEMAS, load_transactions, read_csv, scan_csv, write_csv
 from test_operators import plain_ap
 
 
@@ -124,6 +124,50 @@ def test_csv_round_trip_and_load(spark, tmp_path):
     assert got.schema["t_dat"].dataType.simpleString() == "date"
 
 
+def test_scan_infers_types_and_sets_bad_records_aside(spark, tmp_path):
+    path = tmp_path / "t.csv"
+    path.write_text(
+        "t_dat,customer_id,article_id,price,sales_channel_id,note\n"
+        "2001-01-02,007,1,1.5,1,3\n2001-01-03,8,2,cheap,1,4\n2001-01-04,9,x,dear,2,5\n2001-01-05,10\n"
+        "2001-01-06,11,3,,2,\n"
+    )
+    sound, aside, inferred = scan_csv(spark, str(path), "transactions")
+    assert [tuple(r) for r in sound.orderBy("t_dat").collect()] == [
+        ("2001-01-02", "007", 1, 1.5, 1, 3), ("2001-01-06", "11", 3, None, 2, None),
+    ]
+    assert dict(sound.dtypes)["note"] == "int" and dict(sound.dtypes)["article_id"] == "bigint"
+    assert inferred["price"] == inferred["article_id"] == "string" and inferred["customer_id"] == "int"
+    assert {r["record"]: r["faults"] for r in aside.collect()} == {
+        "2001-01-03,8,2,cheap,1,4": ["price"], "2001-01-04,9,x,dear,2,5": ["article_id", "price"], "2001-01-05,10": ["record"],
+    }
+    with pytest.raises(ValueError, match="lacks"):
+        scan_csv(spark, str(path), "articles")
+    path.write_text("t_dat,customer_id,article_id,price,sales_channel_id\n")
+    sound, aside, _ = scan_csv(spark, str(path), "transactions")
+    assert sound.count() == aside.count() == 0
+
+
+def test_map_by_cutoff_equals_lists_per_cutoff(spark):
+    rng = random.Random(4)
+    cutoffs, k = [9, 2, 5], 3
+    scored = [(c, a, p, float(rng.randrange(4))) for c in range(12) for p, a in enumerate(rng.sample(range(30), 8), c % 4 + 1)]
+    scored += [(3, scored[25][1], 2, 9.0), (4, 1, None, 9.0), (5, 1, 40, 9.0)]
+    bought = [(c, rng.randrange(30)) for c in range(14) for _ in range(rng.randrange(20))]
+    s = spark.createDataFrame(scored, "customer_id int, article_id int, position int, pred double")
+    t = spark.createDataFrame(bought, "customer_id int, article_id int")
+    got = {r["cutoff"]: (r["map_at_k"], r["n_customers"]) for r in metrics.map_by_cutoff(s, t, cutoffs, k).collect()}
+    for n in cutoffs:
+        aps = []
+        for c in range(12):
+            rows = sorted((-x, a) for d, a, p, x in scored if d == c and p is not None and p <= n)
+            if rows:
+                aps.append(plain_ap([a for d, a in bought if d == c], [a for _, a in rows[:k]], k))
+        assert got[n] == (pytest.approx(sum(aps) / len(aps)), len(aps))
+    plan = metrics.map_by_cutoff(s, t, cutoffs, k)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("WindowGroupLimit") == 2  # before and after the copies to cut-offs
+    assert metrics.map_by_cutoff(s.limit(0), t, cutoffs, k).count() == 0
+
+
 def test_store_computes_once(spark, tmp_path):
     store, calls = TableStore(spark, (tmp_path / "s").as_uri()), []
 
