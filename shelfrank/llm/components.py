@@ -1,24 +1,34 @@
 """Connected components by alternating stars: every round hangs each node's neighbours on the least
-of them, first the larger ones, then the smaller ones, until only stars are left. Minima are combined
-before each shuffle, so a node with very many neighbours is no hot group."""
+of them, first the larger ones, then the smaller ones, until only stars are left. A node's edges are
+dealt into SALTS parts by their other end and meet its least neighbour there, which is copied to the
+parts that exist, so that the edges of a node with very many neighbours are spread over tasks."""
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfrank.llm.scratch import Scratch
 
+SALTS = 64  # parts of a node's edges
+
+
+def _with_least(edges: DataFrame) -> DataFrame:
+    """``edges`` (u, v) with m, the least v of their u. Only one row a part meets at u itself."""
+    salted = edges.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
+    parts = salted.groupBy("u", "salt").agg(F.min("v").alias("m"))
+    least = parts.groupBy("u").agg(F.min("m").alias("m"))
+    return salted.join(parts.select("u", "salt").join(least, "u"), ["u", "salt"]).select("u", "v", "m")
+
 
 def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.union(edges.select("v", "u"))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    both = _with_least(edges.union(edges.select("v", "u")))
+    return both.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """``edges`` lead from the larger to the smaller node, as _large_star leaves them."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(least, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.union(least).distinct()
+    met = _with_least(edges)
+    moved = met.where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return moved.union(met.select("u", F.col("m").alias("v"))).distinct()
 
 
 def _state(edges: DataFrame) -> tuple:

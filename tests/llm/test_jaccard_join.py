@@ -5,7 +5,7 @@ import random
 import pytest
 
 from shelfrank.llm import jaccard_join as J
-from shelfrank.llm.components import components
+from shelfrank.llm.components import _with_least, components
 from shelfrank.llm.scratch import Scratch
 
 PICK = random.Random(2)
@@ -88,6 +88,15 @@ def test_recall_formula():
     assert (1 - J.survival(0.8, J.LAST_DEPTH)) ** n <= 1 - J.TARGET_RECALL < (1 - J.survival(0.8, J.LAST_DEPTH)) ** (n - 1)
 
 
+def test_components_of_a_hub(spark):
+    edges = [(70, n) for n in range(100, 3100)] + [(5, 70), (4000, 4001)]
+    found = components(spark.createDataFrame(edges, "u long, v long"), Scratch(spark, "t"), "hub").collect()
+    want = {n: 5 for n in [5, 70, *range(100, 3100)]} | {4000: 4000, 4001: 4000}
+    assert len(found) == len(want) and {r["node"]: r["root"] for r in found} == want
+    met = _with_least(spark.createDataFrame(edges, "u long, v long")).collect()
+    assert len(met) == len(edges) and {(r["u"], r["m"]) for r in met} == {(70, 100), (5, 70), (4000, 4001)}
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 90), (90, 95), (50, 50), (200, 100), (7, 3)]
     found = components(spark.createDataFrame(edges, "u long, v long"), Scratch(spark, "t"), "c").collect()
