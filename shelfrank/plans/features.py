@@ -5,13 +5,14 @@ It is shuffled once, and every other key-set is rolled up from it; medians and m
 the purchases themselves (``hist``). ``ref`` is ``["week"]`` in a replay and empty otherwise.
 """
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfrank.functions.scalars import ratio, weekly_decay
 from shelfrank.operators import activity
 from shelfrank.operators.joins import bounded
 from shelfrank.operators.ordering import Cuts, exact_median, modal_day_age
+from shelfrank.operators.packed import pack
 from shelfrank.plans.catalogue import (
     AGE_ARTICLE_COUNTS, ARTICLE_COUNTS, ATTRIBUTE_KEYS, CODE_COUNTS, CUSTOMER_COUNTS, PAIR,
     AttributeKey,
@@ -185,52 +186,47 @@ def key_text(key: AttributeKey) -> Column:
     return parts[0] if len(parts) == 1 else F.concat(parts[0], F.lit("|"), parts[1])
 
 
-def article_entries(articles: DataFrame, listed: DataFrame, max_listed: int) -> DataFrame:
-    """Per article the (set, key) entries that some listed article shares; other keys are never
-    looked up. The article itself is the set ``art``."""
-    sets = [(F.lit("art"), F.col("article_id").cast("string"))]
-    sets += [(F.lit(k.suffix), key_text(k)) for k in ATTRIBUTE_KEYS]
-    each = F.explode(F.array(*[F.struct(s.alias("set"), key.alias("key")) for s, key in sets]))
-    entries = articles.select("article_id", each.alias("entry")).where(F.col("entry.key").isNotNull())
+def article_numbers(articles: DataFrame, listed: DataFrame, max_listed: int) -> DataFrame:
+    """One row per article with its number in each key-set, ``nr_<suffix>``; the article itself is the set
+    ``art``. Keys are numbered among those of the listed articles, in order; other keys are never
+    looked up and have no number. The listed keys are bounded by ``max_listed``, so one task can number a set."""
+    sets = {"art": F.col("article_id").cast("string"), **{k.suffix: key_text(k) for k in ATTRIBUTE_KEYS}}
+    each = F.explode(F.array(*[F.struct(F.lit(s).alias("set"), key.alias("key")) for s, key in sets.items()]))
+    entries = articles.select("article_id", each.alias("entry")).select("article_id", "entry.*").where(F.col("key").isNotNull())
     ids = listed.select("article_id").distinct()
-    wanted = entries.join(bounded(ids, max_listed), "article_id", "left_semi").select("entry").distinct()
-    kept = entries.join(bounded(wanted, max_listed * len(sets)), "entry", "left_semi")
-    return kept.groupBy("article_id").agg(F.collect_list("entry").alias("entries"))
+    wanted = entries.join(bounded(ids, max_listed), "article_id", "left_semi").select("set", "key").distinct()
+    numbered = wanted.withColumn("nr", F.row_number().over(Window.partitionBy("set").orderBy("key")) - 1)
+    kept = entries.join(bounded(numbered, max_listed * len(sets)), ["set", "key"])
+    return kept.groupBy("article_id").agg(
+        *[F.max(F.when(F.col("set") == s, F.col("nr"))).alias(f"nr_{s}") for s in sets]
+    )
 
 
-def customer_maps(
-    pairs: DataFrame, articles: DataFrame, listed: DataFrame, max_listed: int, ref: list[str]
-) -> DataFrame:
-    """One row per customer with a map per key-set: key -> merged measures.
+def customer_entries(pairs: DataFrame, numbers: DataFrame, ref: list[str]) -> DataFrame:
+    """One row per customer with packed entries per key-set (``operators.packed``): number of the key ->
+    merged measures.
 
     Pairs move once, to their customer; the key-sets are then grouped in place. What is held
     per customer is at most one entry per attribute value of the listed articles."""
     home = [*ref, "customer_id"]
-    moved = (
-        pairs.join(article_entries(articles, listed, max_listed), "article_id")
-        .select(*home, *_ENTRY, "entries")
-        .repartition(*home)
-    )
+    suffixes = ["art", *[k.suffix for k in ATTRIBUTE_KEYS]]
+    moved = pairs.join(numbers, "article_id").select(*home, *_ENTRY, *[f"nr_{s}" for s in suffixes]).repartition(*home)
+    each = F.explode(F.array(*[F.struct(F.lit(s).alias("set"), F.col(f"nr_{s}").alias("nr")) for s in suffixes]))
     grouped = (
-        moved.select(*home, *_ENTRY, F.explode("entries").alias("entry"))
-        .groupBy(*home, "entry")
+        moved.select(*home, *_ENTRY, each.alias("entry"))
+        .select(*home, *_ENTRY, "entry.*")
+        .where(F.col("nr").isNotNull())
+        .groupBy(*home, "set", "nr")
         .agg(*activity.merged(list(_ENTRY)))
     )
-    value = F.struct(F.col("entry.key").alias("key"), F.struct(*_ENTRY).alias("value"))
-    suffixes = ["art", *[k.suffix for k in ATTRIBUTE_KEYS]]
-    return grouped.groupBy(*home).agg(
-        *[
-            F.map_from_entries(F.collect_list(F.when(F.col("entry.set") == s, value))).alias(f"map_{s}")
-            for s in suffixes
-        ]
-    )
+    return pack(grouped, home, "set", "nr", list(_ENTRY), suffixes)
 
 
-def age_maps(
+def age_entries(
     age_articles: DataFrame, listed: DataFrame, max_listed: int, ref: list[str]
 ) -> DataFrame:
-    """One row per listed article: age group -> counts (one entry per age group)."""
+    """One row per listed article with packed entries: age group -> counts."""
     keys = [*ref, "article_id"]
-    entry = F.struct("age_id", F.struct(*AGE_ARTICLE_COUNTS).alias("value"))
     kept = age_articles.join(bounded(listed.select(*keys), max_listed), keys, "left_semi")
-    return kept.groupBy(*keys).agg(F.map_from_entries(F.collect_list(entry)).alias("map_age"))
+    aged = kept.select(*keys, F.lit("age").alias("set"), F.col("age_id").cast("int").alias("nr"), *AGE_ARTICLE_COUNTS)
+    return pack(aged, keys, "set", "nr", list(AGE_ARTICLE_COUNTS), ["age"])
