@@ -538,6 +538,9 @@ def oracles() -> dict[str, str]:
             "LEFT JOIN cust USING (customer_id) "
             "LEFT JOIN (SELECT * REPLACE (lpad(CAST(article_id AS VARCHAR), 10, '0') AS article_id) FROM f19) USING (article_id)", WIDE
         ),
+        "stack_truth_open_ended": _sql(
+            f"SELECT customer_id, article_id, count(*) AS n_days, max(t_dat) AS newest FROM tx WHERE t_dat > {DS} - 22 GROUP BY 1, 2"
+        ),
         "stack_labelled": _sql(
             "SELECT customer_id, article_id, CAST((customer_id, article_id) IN (SELECT (customer_id, article_id) FROM truth) AS BIGINT) AS target FROM wide0", WIDE
         ),

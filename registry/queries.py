@@ -1,7 +1,7 @@
 """Registered queries: each takes (session, folder) and returns a DataFrame."""
 
 from collections.abc import Callable
-from datetime import date
+from datetime import date, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,7 +28,7 @@ from shelfrank.plans.listwise import ListParams, gradients
 from shelfrank.plans.ranker import TreeParams, mean_score, shared_top
 from shelfrank.plans.recommend import (
     ground_truth, ground_truth_lists, inputs_at, popularity_with_history, published, ranked_lists,
-    training_features, weekly_pairs,
+    stack_truth, training_features, weekly_pairs,
 )
 from shelfrank.plans.stacking import (
     from_lists, long_stack, stack_features, wide_stack, with_article_counts, with_stack_label,
@@ -412,7 +412,15 @@ def stack_features_assembled(t: Tables) -> DataFrame:
 
 def _bought(t: Tables) -> DataFrame:
     """Purchases after the day before the label week."""
-    return _padded(ground_truth(t.transactions(), DS, PARAMS))
+    return _padded(stack_truth(t.transactions(), DS))
+
+
+@query("stack_truth_open_ended")
+def stack_truth_open_ended(t: Tables) -> DataFrame:
+    """Label rows counted from a day three weeks before the newest week: there is no last day to them, so
+    they reach over all weeks that follow."""
+    rows = stack_truth(t.transactions(), DS - timedelta(days=21))
+    return rows.groupBy(*KEYS).agg(F.count("*").alias("n_days"), F.max("t_dat").alias("newest"))
 
 
 @query("stack_labelled")

@@ -39,6 +39,11 @@ def label_period(trans: DataFrame, ds: date, params: RecoParams) -> DataFrame:
     return between_days(trans, ds, ds + timedelta(days=params.label_days - 1))
 
 
+def purchases_after(trans: DataFrame, day: date) -> DataFrame:
+    """Everything bought later than ``day``, without an end; the literal lets the scan skip files."""
+    return trans.where(F.col("t_dat") > F.lit(day))
+
+
 def popular_period(
     trans: DataFrame, ds: date, params: RecoParams, include_label_week: bool
 ) -> DataFrame:

@@ -1,11 +1,11 @@
 """From transactions to ranked lists."""
 
-from datetime import date
+from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfrank.functions.lookback import history, label_period, replay, replayed_span, window_lengths
+from shelfrank.functions.lookback import history, label_period, purchases_after, replay, replayed_span, window_lengths
 from shelfrank.functions.scalars import padded_id
 from shelfrank.operators.joins import bounded, keep_keys, lookup, pair_with_list
 from shelfrank.operators.topk import top_k, top_n
@@ -107,6 +107,11 @@ def ground_truth(trans: DataFrame, ds: date, params: RecoParams) -> DataFrame:
     return label_period(trans, ds, params).select("customer_id", "article_id", "t_dat")
 
 
+def stack_truth(trans: DataFrame, ds: date) -> DataFrame:
+    """Labels of the second stage: one row per customer, article and day from ``ds`` on, however late."""
+    return purchases_after(trans, ds - timedelta(days=1)).select("customer_id", "article_id", "t_dat")
+
+
 def ground_truth_lists(trans: DataFrame, ds: date, params: RecoParams) -> DataFrame:
     """The same as one list per customer; an article bought on two days appears twice. Metrics
     use the row form; this is for writing out."""

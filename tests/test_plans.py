@@ -1,5 +1,6 @@
 """Plans as a whole: metrics, recommendation, stores, ranker, and what plans must not contain."""
 
+from datetime import date
 import random
 
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from shelfrank.plans.ranker import (
     TreeParams, feature_names, fit, load_models, out_of_fold, ready, save_models, score,
 )
 from shelfrank.functions.lookback import replay
-from shelfrank.plans.recommend import additive_top_k, weekly_pairs
+from shelfrank.plans.recommend import additive_top_k, ground_truth, stack_truth, weekly_pairs
 from shelfrank.plans.stacking import ScoreFormat, normalise, with_stack_label
 from shelfrank.sources.bindings import AFTER_LAST, DS, MODELS, PARAMS
 from shelfrank.operators.ordering import settle
@@ -259,6 +260,13 @@ def test_weekly_pairs_move_the_history_once(tables):
     assert plan.count("Exchange") == 1 and plan.index("Generate") < plan.index("Exchange")
 
 
+def test_second_stage_labels_have_no_last_day(spark):
+    rows = spark.sql("SELECT 1L AS customer_id, 2L AS article_id, explode(sequence(DATE'2001-01-01', DATE'2001-03-01', INTERVAL 1 DAY)) AS t_dat")
+    days = [r["t_dat"] for r in stack_truth(rows, date(2001, 1, 8)).orderBy("t_dat").collect()]
+    assert days[0] == date(2001, 1, 8) and days[-1] == date(2001, 3, 1) and len(days) == 53
+    assert ground_truth(rows, date(2001, 1, 8), PARAMS).count() == 7
+
+
 def test_replay_of_wanted_weeks_only(tables, spark):
     trans = tables.transactions().limit(500)
     wanted = trans.select("customer_id").distinct().where("customer_id % 2 = 0").withColumn("_weeks", F.array(F.lit(0), F.lit(3)))
