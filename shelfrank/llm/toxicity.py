@@ -299,7 +299,8 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
 
 
 def without_toxic(documents: DataFrame, model: Model) -> DataFrame:
-    """The rows of ``documents`` (with a column text; all columns stay) with a score below CUT."""
+    """The rows of ``documents`` (with a column text; all columns stay) with a score below CUT. A null or
+    empty text has the score of no evidence, repeated rows stay or go alike, and no rows give no rows."""
     sent = documents.sparkSession.sparkContext.broadcast(model)
     at = documents.columns.index("text")
 
