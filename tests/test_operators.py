@@ -336,3 +336,17 @@ def test_windows_are_nested_and_pairs_roll_up(tables):
 def test_extra_day_makes_longer_windows():
     params = RecoParams()
     assert window_lengths(params, 1) == {"yesterday": 1, "recent": 7, "short": 31, "mid": 91, "hist": 367}
+
+
+# --- rounding, and parts that follow what is made
+
+
+def test_rounding_equals_that_of_the_text(spark):
+    rng = random.Random(11)
+    values = [0.0, -0.0, 0.5, -0.5, 1e-7, -1e-7, 5e-7, 1.0000005, 2.5e-6, 0.1 + 0.2, 1 / 3, 1e300, -1e12, 123456789.1234565, float("nan"), float("inf")]
+    values += [rng.uniform(-10, 10) * 10 ** rng.randrange(-8, 9) for _ in range(20_000)]
+    values += [(rng.randrange(10**9) + 0.5) / 10**6 for _ in range(20_000)] + [None]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    for digits in (2, 6):
+        both = df.select(scalars.round_half_up("x", digits).alias("a"), F.round("x", digits).alias("b"))
+        assert both.where(~F.col("a").cast("string").eqNullSafe(F.col("b").cast("string"))).isEmpty()
