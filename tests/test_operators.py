@@ -350,3 +350,13 @@ def test_rounding_equals_that_of_the_text(spark):
     for digits in (2, 6):
         both = df.select(scalars.round_half_up("x", digits).alias("a"), F.round("x", digits).alias("b"))
         assert both.where(~F.col("a").cast("string").eqNullSafe(F.col("b").cast("string"))).isEmpty()
+
+
+def test_few_customers_with_a_long_list_fill_several_parts(spark):
+    from shelfrank.plans.candidates import customers_by_articles
+
+    customers = spark.range(900).selectExpr("id % 300 as customer_id").distinct()
+    listed = spark.range(15000).selectExpr("id as article_id", "cast(id + 1 as int) as position")
+    made = customers_by_articles(customers, listed, RecoParams())
+    parts = made.groupBy(F.spark_partition_id().alias("part")).agg(F.count("*").alias("n")).collect()
+    assert sum(r["n"] for r in parts) == 300 * 15000 and max(r["n"] for r in parts) < 2_000_000
