@@ -375,3 +375,29 @@ def test_plans_stay_in_the_jvm_without_nested_loops(name, spark, folder):
     plan = plan_of(queries()[name](spark, folder))
     for node in ("Python", "Pandas", "CartesianProduct", "BroadcastNestedLoopJoin"):
         assert node not in plan
+
+
+def test_wide_rows_of_purchases_meet_in_small_parts(spark, folder):
+    """A task's sorts and hash maps grow with its part: the stored purchases' exchanges are read in parts of 16 MB."""
+    queries()["popular_articles_topn"](spark, folder)
+    assert spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == "16m"
+
+
+def test_training_features_move_neither_all_pairs_nor_entries_to_articles(spark, folder):
+    """Purchases of a year are some ten times as many once they are pairs of each week; and a customer's entries are
+    many times a candidate's keys."""
+    from shelfrank.sources.bindings import OLDEST, Tables
+
+    rows = queries()["training_features"](spark, folder)
+    assert not Tables(spark, folder).store.has("weekly_pairs", OLDEST.isoformat())
+    joined = []
+
+    def walk(node):
+        if node.nodeName() == "Join":
+            joined.append({c.split("#")[0] for c in node.output().mkString(",").split(",")})
+        for i in range(node.children().size()):
+            walk(node.children().apply(i))
+
+    walk(rows._jdf.queryExecution().optimizedPlan())
+    assert any("art_buy_hist" in columns for columns in joined) and any("own_ptype" in columns for columns in joined)
+    assert not any({"own_ptype", "art_buy_hist"} <= columns for columns in joined)
