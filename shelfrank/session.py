@@ -17,6 +17,8 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     # HotSpot does not compile methods longer than this; wide rows are then computed in smaller ones.
     "spark.sql.codegen.hugeMethodLimit": "8000",
+    # A part holds rows that grow about fifteenfold in a task's sorts and hash maps.
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16m",
 }
 
 
