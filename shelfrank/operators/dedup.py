@@ -1,5 +1,7 @@
 """Duplicate removal and audits."""
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +22,18 @@ def first_per_key(
     )
 
 
+def alone_and_shared(df: DataFrame, keys: list[str], member: str) -> tuple[DataFrame, DataFrame]:
+    """Rows (keys, member) parted by whether theirs is the only member of its key: the first table holds each
+    such row once, the second all rows of the other keys. Rows without a member may be left out.
+
+    Both come from the first and last member per key, so a key with very many rows never meets in one task."""
+    ends = df.groupBy(*keys).agg(F.min(member).alias("_first"), F.max(member).alias("_last"))
+    alone = ends.where(F.col("_first") == F.col("_last")).select(*keys, F.col("_first").alias(member))
+    several = ends.where(F.col("_first") < F.col("_last")).select(*[F.col(k).alias(f"_{k}") for k in keys])
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    return alone, df.select(*keys, member).join(several, same, "left_semi")
+
+
 def duplicate_audit(df: DataFrame, keys: list[str], per: str) -> DataFrame:
     """Number of keys and of keys with more than one row, per table name."""
     sizes = df.groupBy(per, *keys).agg(F.count("*").alias("_n"))

@@ -13,12 +13,12 @@ from conftest import as_set, plan_of
 from shelfrank.functions import scalars
 from shelfrank.functions.lookback import history, replay, reference_days, window_lengths
 from shelfrank.operators import activity
-from shelfrank.operators.dedup import first_per_key, positive_wins
+from shelfrank.operators.dedup import alone_and_shared, first_per_key, positive_wins
 from shelfrank.operators.encode import count_encode, frequency_codes, narrow, value_counts
 from shelfrank.operators.fill import FillPolicy
 from shelfrank.operators.folds import balanced_folds, consecutive_group_ids, fill_lightest, hash_folds
 from shelfrank.operators.joins import lookup, pair_with_list
-from shelfrank.operators.ordering import exact_median, modal_day_age, number_rows, range_cuts
+from shelfrank.operators.ordering import exact_median, modal_day_age, number_rows, range_cuts, settle
 from shelfrank.operators.sample import draw_places
 from shelfrank.operators.topk import fold_top_k, top_k, with_rank_and_z
 from shelfrank.params import RecoParams
@@ -154,6 +154,37 @@ def test_first_row_per_key(spark):
     assert as_set(hashed, "k", "p") == {(1, "a"), (2, "z")}
 
 
+def test_alone_and_shared_part_all_rows(spark):
+    rows = [(1, 1, 10), (1, 2, 11), (1, 2, 12), (1, 2, 12), (2, 1, 13), (2, 1, 13), (None, 1, 14), (None, 2, 15), (None, 2, 16)]
+    alone, shared = alone_and_shared(spark.createDataFrame(rows, "c int, d int, o int"), ["c", "d"], "o")
+    assert sorted(tuple(r)[2] for r in alone.collect()) == [10, 13, 14]
+    assert sorted(tuple(r)[2] for r in shared.collect()) == [11, 12, 12, 15, 16]
+
+
+def test_orders_alone_on_their_day_are_moved_once(spark, tables, monkeypatch):
+    """Lines meet their order by one exchange; what follows another one holds lines of shared orders only."""
+    # orders 1 and 2 share a day, 3 is alone and holds an article twice, once in two lines of one number
+    orders = [(1, 7, date(2000, 1, 1)), (2, 7, date(2000, 1, 1)), (3, 7, date(2000, 1, 2)), (4, None, date(2000, 1, 2)), (5, 7, None)]
+    lines = [(1, 2, "F", 50, 1.0), (2, 1, "O", 50, 2.0), (2, 1, "O", 51, 2.5), (3, 2, "F", 50, 3.0), (3, 1, "O", 50, 4.5),
+             (3, 1, "F", 50, 4.5), (3, 1, "F", 50, 4.75), (4, 1, "F", None, 5.0), (5, 1, "F", 50, 6.0), (6, 1, "F", 50, 7.0)]
+    given = {
+        "orders": spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderdate date"),
+        "lineitem": spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_linestatus string, l_partkey long, l_extendedprice double"),
+    }
+    monkeypatch.setattr(tables, "raw", lambda name: settle(given[name]))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    made = tables.make_transactions()
+    plan = plan_of(made)
+    got = {tuple(r) for r in made.collect()}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    day = [date(2000, 1, d) for d in (1, 2)]
+    assert made.count() == len(got)
+    assert got == {(7, 50, day[0], 1.0, 2), (7, 51, day[0], 2.5, 1), (7, 50, day[1], 4.5, 2), (None, None, day[1], 5.0, 2)}
+    of_alone = plan.split("Union", 1)[1].split("\n   +- ")[0]
+    assert "hashpartitioning(l_orderkey" in of_alone and "min_by" not in of_alone and "min_by" in plan
+
+
 def test_merging_needs_no_sort(spark, tables):
     for df in (tables.make_transactions(), modal_day_age(spark.createDataFrame([(1, 2)], "g int, age int"), ["g"], "age", "m")):
         plan = plan_of(df)
