@@ -1,12 +1,17 @@
 """Key lookups, membership filters and the pairing of rows with a bounded list."""
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shelfrank.operators.ordering import settle
+
 # A table is only sent to every executor when the caller knows a bound on its rows, and the bound
 # times the width of a row is at most this. Tables whose size depends on the data carry no hint: Spark measures them at
 # run time and broadcasts, sort-merges or splits a skewed partition accordingly.
 BROADCAST_BYTES = 128 * 1024 * 1024
+VALUE_BYTES = 400  # a dozen attributes, some of them text
 KEY_BYTES = 160  # a row of two text keys and a few numbers
 SPREAD = 64
 ROWS_PER_TASK = 1_000_000  # rows that one task makes
@@ -20,6 +25,20 @@ def lookup(df: DataFrame, dim: DataFrame, on: str | list[str], check: bool = Fal
     return df.join(dim, keys, "left")
 
 
+def distinct_values(dim: DataFrame, key: str, columns: list[str], name: str, row_bytes: int = VALUE_BYTES) -> tuple[DataFrame, DataFrame] | None:
+    """The attributes of a table split off it: ``key`` with the number ``name`` of its attributes, and these once per
+    number, with a broadcast hint. None where too many differ for that.
+
+    Rows that are shuffled on after a lookup then carry a number in place of the attributes. Values that differ are
+    numbered by the least key that has them."""
+    values = settle(dim.where(F.col(key).isNotNull()).groupBy(*columns).agg(F.min(key).alias(name)))
+    if not fits(values.count(), row_bytes):
+        return None
+    there = values.select(F.col(name), *[F.col(c).alias(f"_{c}") for c in columns])
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in columns])
+    return dim.select(key, *columns).join(F.broadcast(there), same).select(key, name), F.broadcast(values)
+
+
 def require_unique(dim: DataFrame, keys: list[str]) -> None:
     if not dim.groupBy(*keys).count().where("count > 1").isEmpty():
         raise ValueError(f"more than one row per {keys}")

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from shelfrank.functions.scalars import capped_bin, flag_if, flag_unless
 from shelfrank.operators.encode import frequency_codes, mean_filled, ordinal_encode, value_counts
-from shelfrank.operators.joins import lookup
+from shelfrank.operators.joins import distinct_values, lookup
 from shelfrank.params import RecoParams
 
 ARTICLE_COLUMNS = [
@@ -57,7 +57,16 @@ def clean_customers(customers: DataFrame, age_groups: DataFrame, params: RecoPar
 def enrich(
     rows: DataFrame, articles: DataFrame, customers: DataFrame, bins: bool = False
 ) -> DataFrame:
-    """Article and customer attributes beside every row."""
-    wanted = CUSTOMER_COLUMNS + (CUSTOMER_BINS if bins else [])
-    rows = lookup(rows, articles.select("article_id", *ARTICLE_COLUMNS), "article_id")
-    return lookup(rows, customers.select("customer_id", *wanted), "customer_id")
+    """Article and customer attributes beside every row. Rows go on to their customer with a number for the
+    article's attributes, unless more of these differ than can be broadcast."""
+    people = customers.select("customer_id", *CUSTOMER_COLUMNS, *(CUSTOMER_BINS if bins else []))
+    split = distinct_values(articles, "article_id", ARTICLE_COLUMNS, "_look")
+    if split is None:
+        rows = lookup(rows, articles.select("article_id", *ARTICLE_COLUMNS), "article_id")
+        return lookup(rows, people, "customer_id")
+    numbered, looks = split
+    known = lookup(lookup(rows, numbered, "article_id"), people, "customer_id")
+    others = [c for c in rows.columns if c not in ("customer_id", "article_id")]
+    return lookup(known, looks, "_look").select(
+        "customer_id", "article_id", *others, *ARTICLE_COLUMNS, *[c for c in people.columns if c != "customer_id"]
+    )

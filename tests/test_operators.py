@@ -12,7 +12,7 @@ import pytest
 from conftest import as_set, plan_of
 from shelfrank.functions import scalars
 from shelfrank.functions.lookback import history, replay, reference_days, window_lengths
-from shelfrank.operators import activity
+from shelfrank.operators import activity, joins
 from shelfrank.operators.dedup import alone_and_shared, first_per_key, positive_wins
 from shelfrank.operators.encode import count_encode, frequency_codes, narrow, value_counts
 from shelfrank.operators.fill import FillPolicy
@@ -22,6 +22,7 @@ from shelfrank.operators.ordering import exact_median, modal_day_age, number_row
 from shelfrank.operators.sample import draw_places
 from shelfrank.operators.topk import fold_top_k, top_k, with_rank_and_z
 from shelfrank.params import RecoParams
+from shelfrank.plans import clean
 
 
 def one(df):
@@ -391,3 +392,28 @@ def test_few_customers_with_a_long_list_fill_several_parts(spark):
     made = customers_by_articles(customers, listed, RecoParams())
     parts = made.groupBy(F.spark_partition_id().alias("part")).agg(F.count("*").alias("n")).collect()
     assert sum(r["n"] for r in parts) == 300 * 15000 and max(r["n"] for r in parts) < 2_000_000
+
+
+# --- attributes beside rows
+
+
+def test_attributes_travel_as_a_number(spark, monkeypatch):
+    """A number in place of the article's attributes goes on to the customer, or the attributes if too many differ."""
+    values = lambda i: [None if i == 2 else f"v{i % 3}" for _ in clean.ARTICLE_COLUMNS]
+    articles = spark.createDataFrame([(a, *values(a)) for a in range(9)], "article_id long, " + ", ".join(f"{c} string" for c in clean.ARTICLE_COLUMNS))
+    people = clean.CUSTOMER_COLUMNS + clean.CUSTOMER_BINS
+    customers = spark.createDataFrame([(c, *[c * 10] * len(people)) for c in range(3)], "customer_id long, " + ", ".join(f"{c} int" for c in people))
+    trans = spark.createDataFrame([(0, 0, 1.0), (0, 2, 2.0), (2, 8, 3.0), (1, 99, 4.0), (7, 3, 5.0), (None, None, 6.0)], "customer_id long, article_id long, price double")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    got = clean.enrich(trans, articles, customers, bins=True)
+    plan, rows = plan_of(got), {tuple(r) for r in got.collect()}
+    monkeypatch.setattr(joins, "BROADCAST_BYTES", 0)
+    plain = clean.enrich(trans, articles, customers, bins=True)
+    plain_plan, plain_rows = plan_of(plain), {tuple(r) for r in plain.collect()}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    look = lambda a: tuple(values(a) if a is not None and a < 9 else [None] * len(clean.ARTICLE_COLUMNS))
+    own = lambda c: tuple([c * 10 if c is not None and c < 3 else None] * len(people))
+    assert rows == plain_rows == {tuple(r) + look(r[1]) + own(r[0]) for r in trans.collect()}
+    assert got.columns == plain.columns and got.dtypes == plain.dtypes
+    assert "BroadcastHashJoin [_look" in plan and "_look" not in plain_plan
