@@ -7,15 +7,16 @@ from pyspark.sql import functions as F
 import pytest
 
 from conftest import as_set, plan_of
-from registry.queries import registered as queries
+from registry.queries import registered as queries, rounded
 from shelfrank.plans import flows, metrics
+from shelfrank.plans.assembly import all_candidates, given_candidates
 from shelfrank.plans.catalogue import candidate_policy, stack_policy
 from shelfrank.plans.candidates import negatives, popular_by_week, positives
 from shelfrank.plans.ranker import (
     TreeParams, feature_names, fit, load_models, out_of_fold, ready, save_models, score,
 )
 from shelfrank.functions.lookback import replay
-from shelfrank.plans.recommend import additive_top_k, ground_truth, stack_truth, weekly_pairs
+from shelfrank.plans.recommend import additive_top_k, ground_truth, inputs_at, stack_truth, weekly_pairs
 from shelfrank.plans.stacking import ScoreFormat, normalise, with_stack_label
 from shelfrank.sources.bindings import AFTER_LAST, DS, MODELS, PARAMS
 from shelfrank.operators.ordering import settle
@@ -401,3 +402,25 @@ def test_training_features_move_neither_all_pairs_nor_entries_to_articles(spark,
     walk(rows._jdf.queryExecution().optimizedPlan())
     assert any("art_buy_hist" in columns for columns in joined) and any("own_ptype" in columns for columns in joined)
     assert not any({"own_ptype", "art_buy_hist"} <= columns for columns in joined)
+
+
+def test_candidates_are_made_of_whole_sides_in_one_projection(spark, folder):
+    """A candidate is a wide row: each further projection copies it again, and a customer's entries with it."""
+    node = queries()["candidate_features_assembled"](spark, folder)._jdf.queryExecution().optimizedPlan()
+    above = []
+    while node.nodeName() != "Join":
+        above.append(node.nodeName())
+        node = node.children().apply(0)
+    assert above == ["Project"] and node.output().size() <= 40  # of 142 features
+
+
+def test_all_candidates_equal_given_ones(tables):
+    """What is filled and derived on one side equals what is filled and derived on the whole row."""
+    t = tables
+    customers = t.label_customers().where("customer_id % 2 = 0")
+    x = inputs_at(t.transactions(), t.articles(), t.customers(), customers, t.popular(), DS, PARAMS)
+    made = settle(rounded(all_candidates(x)))
+    given = given_candidates(x, settle(made.select("customer_id", "article_id")))
+    assert set(made.columns) == set(given.columns) and dict(made.dtypes) == dict(given.dtypes)
+    given = settle(rounded(given.select(*made.columns)))
+    assert made.count() == given.count() > 0 and made.exceptAll(given).isEmpty()
